@@ -1,7 +1,7 @@
 """Token ids as Arrow IPC files of fixed-size-list batches.
 
 A shard is one Arrow file. Each row is one sequence of exactly ``seq_len`` ids with a mask of the
-same length (1 = a token, 0 = padding after the shard's last document). Every batch but the last
+same length (true = a token, false = padding after the shard's last document); ids are uint16 where the vocabulary fits, else uint32. Every batch but the last
 holds ``batch_rows`` sequences, so token ``t`` of a shard is in batch ``t // (seq_len *
 batch_rows)`` at a computable place of a flat buffer: nothing is parsed or copied to reach it. A
 second small Arrow file per shard lists the documents (doc_id, offset, n_tokens) in order.
@@ -36,6 +36,10 @@ _MERGING_SPACE = re.compile(r"\s (?:\s|\Z)")
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
 
 
+def id_type(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE spells bytes as printable letters: printable Latin-1 as itself, the rest from U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -44,7 +48,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Whole texts to little-endian uint32 ids with a ``tokenizers`` file.
+    """Whole texts to ids with a ``tokenizers`` file, as little-endian bytes of the narrowest type that holds them.
 
     In a byte-level BPE, the pre-tokenizer always cuts before a single space that follows or leads
     a word, so the pieces of ``text.split(" ")`` encode alone and repeated pieces come from a
@@ -59,12 +63,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.letters, self.model = _byte_letters(), self.tokenizer.model
 
     def _model(self, piece: str) -> bytes:
         spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.model.tokenize(spelled)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
 
     def _learn(self, pieces: list[str]) -> None:
         """Cache the ids of pieces that follow a space."""
@@ -88,7 +93,7 @@ class Encoder:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in done]
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in done]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if _MERGING_SPACE.search(t) or any(a in t for a in self.added)]
@@ -113,8 +118,8 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _schema(seq_len: int) -> pa.Schema:
-    return pa.schema([("input_ids", pa.list_(pa.uint32(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+def _schema(seq_len: int, dtype: str) -> pa.Schema:
+    return pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
 
 
 _DOCS = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
@@ -145,28 +150,30 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, seq_len: int = SEQ_L
             return
         shard, mine = TaskContext.get().partitionId(), uuid.uuid4().hex
         encoder, per = _encoder(tokenizer), seq_len * batch_rows
+        dtype, width = encoder.dtype, np.dtype(encoder.dtype).itemsize
+        schema = _schema(seq_len, dtype)
         fs, root = open_fs(out)
         fs.create_dir(root, recursive=True)
         names = [f"{root}/shard-{shard:06d}.arrow", f"{root}/shard-{shard:06d}.docs.arrow"]
         total = n_docs = held = 0
         pending: list[bytes] = []
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        end = np.array([END_ID], dtype=dtype).tobytes()
 
-        with fs.open_output_stream(f"{names[0]}.{mine}") as sink, pa.ipc.new_file(sink, _schema(seq_len)) as ids, fs.open_output_stream(f"{names[1]}.{mine}") as sink2, pa.ipc.new_file(sink2, _DOCS) as index:
+        with fs.open_output_stream(f"{names[0]}.{mine}") as sink, pa.ipc.new_file(sink, schema) as ids, fs.open_output_stream(f"{names[1]}.{mine}") as sink2, pa.ipc.new_file(sink2, _DOCS) as index:
 
             def emit(flat: np.ndarray, n: int) -> None:
-                mask = (np.arange(len(flat)) < n).astype("u1")
-                ids.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(flat), seq_len), pa.FixedSizeListArray.from_arrays(pa.array(mask), seq_len)], schema=_schema(seq_len)))
+                mask = np.arange(len(flat)) < n
+                ids.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(flat), seq_len), pa.FixedSizeListArray.from_arrays(pa.array(mask), seq_len)], schema=schema))
 
             def drain(last: bool) -> None:
                 nonlocal pending, held
-                flat = np.frombuffer(b"".join(pending), dtype="<u4")
+                flat = np.frombuffer(b"".join(pending), dtype=dtype)
                 full = len(flat) // per * per
                 for k in range(0, full, per):
                     emit(flat[k : k + per], per)
                 rest = flat[full:]
                 if last and len(rest):
-                    padded = np.zeros(-(-len(rest) // seq_len) * seq_len, dtype="<u4")
+                    padded = np.zeros(-(-len(rest) // seq_len) * seq_len, dtype=dtype)
                     padded[: len(rest)] = rest
                     emit(padded, len(rest))
                     rest = rest[:0]
@@ -179,7 +186,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, seq_len: int = SEQ_L
                     lengths = []
                     for raw in encoder.encode(texts[a:b]):
                         pending += (raw, end)
-                        lengths.append(len(raw) // 4 + 1)
+                        lengths.append(len(raw) // width + 1)
                         held += lengths[-1]
                         if held >= 4 * per:
                             drain(False)
@@ -222,13 +229,13 @@ class Shard:
             start, n = start + len(part), n - len(part)
 
     def ids(self, start: int, n: int) -> np.ndarray:
-        return np.concatenate([np.empty(0, "<u4"), *self.pieces(start, n)]).astype("<u4")
+        return np.concatenate([np.empty(0, "<u4"), *self.pieces(start, n)])
 
     def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
         """Row ``row``: (ids, mask), both of seq_len."""
         rows = self.per // self.seq_len
         batch = self.file.get_batch(row // rows)
-        return tuple(batch.column(c).slice(row % rows, 1).flatten().to_numpy() for c in (0, 1))
+        return tuple(batch.column(c).slice(row % rows, 1).flatten().to_numpy(zero_copy_only=c == 0) for c in (0, 1))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +248,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for start, n in zip(docs.column(1).to_pylist(), docs.column(2).to_pylist(), strict=True):
                     crc = 0
                     for part in shard.pieces(start, n):
-                        crc = zlib.crc32(np.ascontiguousarray(part, dtype="<u4"), crc)
+                        crc = zlib.crc32(part.astype("<u4"), crc)
                     crcs.append(crc)
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([row["shard"]] * len(crcs), pa.int32()), "doc_id": docs.column(0), "offset": docs.column(1), "n_tokens": docs.column(2), "ids_crc32": pa.array(crcs, pa.int64())})
 
