@@ -168,20 +168,27 @@ def allocate(tables: list[np.ndarray], values: list[np.ndarray], radius: int) ->
     return out
 
 
-def _probes(groups: list[list[int]], counts, radius: int):
+def _rows(groups: list[list[int]], counts, radius: int, block: int, probing: bool):
+    """fp -> (fp, part, own, value, cut): its own part values, or the values that it probes.
+
+    cut spreads the fingerprints of one own value over lists of about ``block`` members.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = allocations(counts.value, radius)
+        tables = allocations(counts.value, radius) if probing else None
         masks = [_masks(len(g), 2) for g in groups]
         for batch in batches:
             raw = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             fps = raw.view(np.uint64)
             values = [part_value(fps, g) for g in groups]
-            chosen = allocate(tables, values, radius)
+            chosen = allocate(tables, values, radius) if probing else np.zeros((len(groups), len(raw)), np.int64)
+            mixed = (fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for i, at in enumerate(values):
+                cut = (mixed % np.maximum(1, np.ceil(counts.value[i][at] / block)).astype(np.uint64)).astype(np.int32)
                 for t in range(3):
                     who = np.flatnonzero(chosen[i] >= t)
                     for m in masks[i][t] if len(who) else ():
-                        yield pa.RecordBatch.from_pydict({"fp": pa.array(raw[who]), "part": pa.array(np.full(len(who), i, np.int32)), "own": pa.array(at[who].astype(np.int32)), "value": pa.array((at[who] ^ m).astype(np.int32))})
+                        yield pa.RecordBatch.from_pydict({"fp": pa.array(raw[who]), "part": pa.array(np.full(len(who), i, np.int32)), "own": pa.array(at[who].astype(np.int32)), "value": pa.array((at[who] ^ m).astype(np.int32)), "cut": pa.array(cut[who])})
 
     return run
 
@@ -207,7 +214,7 @@ class Forest:
         return True
 
 
-def _links(radius: int):
+def _links(accept: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(0), batch.column(1)
@@ -215,7 +222,7 @@ def _links(radius: int):
             flat = [c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (left, right)]
             starts = [np.concatenate([[0], np.cumsum(s)]) for s in sizes]
             pairs = sizes[0].astype(np.int64) * sizes[1]
-            out_a, out_b, k = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+            out_a, out_b, out_d, k = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)], 0
             while k < batch.num_rows:
                 # rows k..end together give at most a few million comparisons
                 end = k + max(1, int(np.searchsorted(np.cumsum(pairs[k:]), 1_500_000, side="right")))
@@ -223,42 +230,45 @@ def _links(radius: int):
                 a = np.repeat(flat[0][starts[0][k] : starts[0][end]], reps)
                 first = np.repeat(np.repeat(starts[1][k:end], sizes[0][k:end]), reps)
                 b = flat[1][first + np.arange(len(a)) - np.repeat(np.cumsum(reps) - reps, reps)]
-                near = (np.bitwise_count((a ^ b).view(np.uint64)) <= radius) & (a != b)
+                apart = np.bitwise_count((a ^ b).view(np.uint64))
+                near = (apart <= accept) & (a != b)
                 out_a.append(a[near])
                 out_b.append(b[near])
+                out_d.append(apart[near])
                 k = end
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
+            a, b, d = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_d)
+            nearest = np.argsort(d, kind="stable")  # the forest keeps the closest links
+            a, b, d = a[nearest], b[nearest], d[nearest]
             nodes, ids = np.unique(np.concatenate([a, b]), return_inverse=True)
             forest = Forest(len(nodes))
             ids_a, ids_b = ids[: len(a)].tolist(), ids[len(a) :].tolist()
             kept = [i for i, (x, y) in enumerate(zip(ids_a, ids_b, strict=True)) if forest.join(x, y)]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a[kept], pa.int64()), "b": pa.array(b[kept], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a[kept], pa.int64()), "b": pa.array(b[kept], pa.int64()), "apart": pa.array(d[kept].astype(np.int32))})
 
     return compare
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, block: int = BLOCK) -> DataFrame:
-    """a, b: links that connect everything within the radius. ``distinct``: one row per fp."""
+def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, block: int = BLOCK, accept: int | None = None) -> DataFrame:
+    """a, b, apart: links that connect everything within ``radius``. ``distinct``: one row per fp.
+
+    ``accept`` over ``radius`` also keeps wider pairs among the candidates; those are not guaranteed.
+    """
     spark = distinct.sparkSession
     groups = bit_groups(distinct, parts)
     own = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), _value_column(g).alias("value")) for i, g in enumerate(groups)])).alias("k")
-    index = distinct.select("fp", own).select("fp", "k.part", "k.value")
-    sized = stored(index.groupBy("part", "value").agg(F.count("*").alias("n")), "simhash-counts")
-    counts = [np.zeros(1 << len(g), np.int64) for g in groups]
+    sized = distinct.select(own).select("k.part", "k.value").groupBy("part", "value").agg(F.count("*").alias("n"))
+    counts = [np.zeros(1 << len(g), np.float32) for g in groups]
     for part, value, n in sized.toPandas().itertuples(index=False):  # at most parts x 2^(64 / parts) rows
         counts[part][value] = n
-    bc = spark.sparkContext.broadcast([c.astype(np.float32) for c in counts])
-    probes = distinct.select("fp").mapInArrow(_probes(groups, bc, radius), "fp long, part int, own int, value int")
+    bc = spark.sparkContext.broadcast(counts)
 
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        """Lists of about ``block`` members that have one own value, so that a crowded value makes many lists."""
-        cut = F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), F.ceil(F.col("n") / block)))
-        counted = rows.join(sized.withColumnRenamed("value", "own"), ["part", "own"])
-        return counted.groupBy("part", "value", "own", cut.alias("cut")).agg(F.collect_list("fp").alias(name)).drop("own", "cut")
+    def blocks(name: str, probing: bool) -> DataFrame:
+        rows = distinct.select("fp").mapInArrow(_rows(groups, bc, radius, block, probing), "fp long, part int, own int, value int, cut int")
+        return rows.groupBy("part", "value", "own", "cut").agg(F.collect_list("fp").alias(name)).drop("own", "cut")
 
-    met = blocks(probes, "left").join(blocks(index.withColumn("own", F.col("value")), "right"), ["part", "value"])
+    met = blocks("left", True).join(blocks("right", False), ["part", "value"])
     met = met.where((F.size("left") > 1) | (F.size("right") > 1) | (F.col("left")[0] != F.col("right")[0]))
-    return met.select("left", "right").mapInArrow(_links(radius), "a long, b long")
+    return met.select("left", "right").mapInArrow(_links(radius if accept is None else accept), "a long, b long, apart int")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -282,11 +292,40 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS, shingle: int = SHINGLE, word: str = _WORD.pattern) -> DataFrame:
-    """doc_id, fp, component_id for every row."""
+def _similar(least: float, shingle: int, pattern: str):
+    word = re.compile(pattern)
+
+    def hashes(text: str | None) -> set[int]:
+        words = word.findall(lower_ascii(text or ""))
+        return {xxhash.xxh64_intdigest(" ".join(words[i : i + shingle]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - shingle + 1))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = hashes(x), hashes(y)
+                keep.append(len(a & b) >= least * len(a | b))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def verified(edges: DataFrame, docs: DataFrame, first: DataFrame, least: float, shingle: int, word: str = _WORD.pattern) -> DataFrame:
+    """The edges (pairs of fp) whose representatives' shingle sets have a Jaccard similarity of ``least`` or more."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(first, "fp")
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(ends, "first_id").dropDuplicates(["fp"]).select("fp", "text"), "simhash-texts")
+    both = edges.select("a", "b").distinct().join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_similar(least, shingle, word), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS, shingle: int = SHINGLE, word: str = _WORD.pattern, accept: int | None = None, least: float | None = None) -> DataFrame:
+    """doc_id, fp, component_id for every row. With ``least``, links must also reach that Jaccard similarity."""
     fps = stored(fingerprints(docs, shingle, word), "simhash")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    member = components(links(distinct.select("fp"), radius, parts))
+    edges = stored(links(distinct.select("fp"), radius, parts, accept=accept), "simhash-links")
+    if least is not None:
+        edges = verified(edges, docs, distinct, least, shingle, word)
+    member = components(edges)
     named = distinct.join(member, distinct.fp == member.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = stored(named, "simhash-roots")
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
