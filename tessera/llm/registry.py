@@ -1,13 +1,27 @@
 """The training-data queries by name. SQL is given only where it can express a whole result."""
 
+from tessera.llm.ann import op3_nearest
+from tessera.llm.decontaminate import op10_decontaminate
+from tessera.llm.language_id import op1_language_id
+from tessera.llm.licenses import op7_licenses
 from tessera.llm.mixing import op4_mixing
+from tessera.llm.pii import op9_pii
+from tessera.llm.simhash import op8_simhash
 from tessera.llm.token_binary import op5_token_binary
+from tessera.llm.toxicity import op6_toxicity
 from tessera.llm.warc_zip import op2_warc_zip
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_warc_zip": op2_warc_zip,
+    "op3_nearest": op3_nearest,
     "op4_mixing": op4_mixing,
     "op5_token_binary": op5_token_binary,
+    "op6_toxicity": op6_toxicity,
+    "op7_licenses": op7_licenses,
+    "op8_simhash": op8_simhash,
+    "op9_pii": op9_pii,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}

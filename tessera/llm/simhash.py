@@ -72,6 +72,19 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, word: str = _WORD.patt
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(shingle, word), "doc_id long, fp long")
 
 
+def fingerprinted(docs: DataFrame, shingle: int = SHINGLE, word: str = _WORD.pattern) -> DataFrame:
+    """All columns of docs with their fingerprint as _fp."""
+    pattern = re.compile(word)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([fingerprint(t or "", shingle, pattern) for t in batch.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64))], names=[*batch.schema.names, "_fp"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{fields}, _fp long")
+
+
 def bit_groups(fps: DataFrame, parts: int = PARTS) -> list[list[int]]:
     """Parts of bit positions: each part grows by the bit most correlated with it. Reads 64 x 64 counts."""
 
