@@ -1,7 +1,7 @@
 """WARC records inside ZIP packages, read by byte range without extraction.
 
 Writing: each task packs its records into one ``.zip`` with two *stored* members,
-``archive/data.warc`` and ``indexes/index.cdx``. Sizes are unknown while streaming, so both
+``archive/data.warc.gz``, in which each record is a gzip member of its own, and ``indexes/index.cdx``. Sizes are unknown while streaming, so both
 members carry data descriptors and the package ends with a ZIP64 directory as well as the plain
 one. Payload equality is SHA-1 plus length; the smallest page_id of equal payloads is the
 ``response`` and the others are ``revisit`` records without payload.
@@ -32,7 +32,7 @@ from tessera.llm.common import open_fs, publish, scratch, stored, table
 
 MIN_REVISIT_BYTES = 0
 CHUNK_BYTES = 8 << 20
-WARC, INDEX = "archive/data.warc", "indexes/index.cdx"
+WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 # Fixed values of the ZIP format: signatures of its structures.
 LOCAL, CENTRAL, END, END64, LOCATOR, DESCRIPTOR = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50, 0x08074B50
 FULL32, FULL16 = 0xFFFFFFFF, 0xFFFF
@@ -53,6 +53,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def gzipped(raw: bytes) -> bytes:
+    """A gzip member, without time stamp, so that reruns write equal bytes."""
+    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+    return packer.compress(raw) + packer.flush()
+
+
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     head, _, rest = raw.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
@@ -160,7 +166,7 @@ def write_archives(pages: DataFrame, out: str, min_revisit_bytes: int = MIN_REVI
                     packer = Packer(sink)
                     packer.begin(WARC)
                 payload = row["payload"]
-                raw = record(row["page_id"], row["url"], payload, "response" if row["response"] else "revisit", row["first_id"], base32_sha1(payload))
+                raw = gzipped(record(row["page_id"], row["url"], payload, "response" if row["response"] else "revisit", row["first_id"], base32_sha1(payload)))
                 index.append(b"%d %d\n" % (packer.write(raw), len(raw)))
                 n, done = n + 1, done + len(raw)
         if packer is None:
@@ -223,7 +229,7 @@ def _records(with_payload: bool):
                 with fs.open_input_file(at) as source:
                     raw, at = source.read_at(sum(row["lengths"]), row["start"]), 0
                 for n in row["lengths"]:
-                    fields, payload = parse_record(raw[at : at + n])
+                    fields, payload = parse_record(zlib.decompress(raw[at : at + n], 31))
                     at += n
                     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response" and base32_sha1(payload) != digest:
