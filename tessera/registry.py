@@ -226,7 +226,7 @@ def close_centroids(spark, sf_dir):
     return matching.similarity_join(a, b, ["one"], -0.05, "va", "vb", c("id_a") < c("id_b")).select("id_a", "id_b", r6("sim").alias("sim"))
 
 
-@query(f"WITH {OBS}, cells AS (SELECT obs_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM obs), lap AS (SELECT m.obs_id, 4 * m.x - a.x - b.x - d.x - e.x AS y FROM cells m JOIN cells a ON a.obs_id = m.obs_id AND a.pos = m.pos - 1 JOIN cells b ON b.obs_id = m.obs_id AND b.pos = m.pos + 1 JOIN cells d ON d.obs_id = m.obs_id AND d.pos = m.pos - 8 JOIN cells e ON e.obs_id = m.obs_id AND e.pos = m.pos + 8 WHERE m.pos % 8 BETWEEN 1 AND 6 AND m.pos // 8 BETWEEN 1 AND 6) SELECT obs_id, round(var_pop(y), 6) AS variance FROM lap GROUP BY obs_id")
+@query(f"WITH {OBS}, cells AS (SELECT obs_id, v, unnest(range(9, 55)) AS i FROM obs) SELECT obs_id, round(var_pop(4 * v[i + 1] - v[i] - v[i + 2] - v[i - 7] - v[i + 9]), 6) AS variance FROM cells WHERE i % 8 BETWEEN 1 AND 6 AND i // 8 BETWEEN 1 AND 6 GROUP BY obs_id")
 def laplacian_variance(spark, sf_dir):
     """Sharpness kernel, each vector read as an 8 x 8 grid: variance of the four-neighbour stencil."""
     v = V.doubles(c("embedding"))
