@@ -206,7 +206,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SA
 
     left = blocks(asked.mapInArrow(_queries(h, dim, asks), _PACKED), "qi", "qv")
     right = blocks(rows.mapInArrow(_index(h, dim, cuts), _PACKED), "vi", "vv")
-    met = left.join(right, ["tbl", "bucket"]).select("qi", "qv", "vi", "vv").mapInArrow(_rank(k), "query_id long, vec_id long, score double")
+    # a query gives many probes, which size estimates do not see, so broadcasting is ruled out
+    met = left.hint("merge").join(right.hint("merge"), ["tbl", "bucket"]).select("qi", "qv", "vi", "vv").mapInArrow(_rank(k), "query_id long, vec_id long, score double")
     merged = met.groupBy("query_id", "vec_id", "score").agg(F.count("*").alias("seen"))
     each = F.array_sort(F.collect_list(F.struct("score", "vec_id")))
     ranked = merged.groupBy("query_id").agg(F.slice(each, 1, k).alias("best"))

@@ -275,11 +275,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, block:
         counts[part][value] = n
     bc = spark.sparkContext.broadcast(counts)
 
+    spread = distinct.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+
     def blocks(name: str, probing: bool) -> DataFrame:
-        rows = distinct.select("fp").mapInArrow(_rows(groups, bc, radius, block, probing), "fp long, part int, own int, value int, cut int")
+        rows = spread.mapInArrow(_rows(groups, bc, radius, block, probing), "fp long, part int, own int, value int, cut int")
         return rows.groupBy("part", "value", "own", "cut").agg(F.collect_list("fp").alias(name)).drop("own", "cut")
 
-    met = blocks("left", True).join(blocks("right", False), ["part", "value"])
+    # a row gives many probes, which size estimates do not see, so broadcasting is ruled out
+    met = blocks("left", True).hint("merge").join(blocks("right", False).hint("merge"), ["part", "value"])
     met = met.where((F.size("left") > 1) | (F.size("right") > 1) | (F.col("left")[0] != F.col("right")[0]))
     return met.select("left", "right").mapInArrow(_links(radius if accept is None else accept), "a long, b long, apart int")
 
