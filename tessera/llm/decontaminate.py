@@ -81,6 +81,11 @@ def item_windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     return cuts.select("item_id", "c.n", F.explode("c.keys").alias("key"))
 
 
+def _runs_of(n: int) -> Callable[[Column], Column]:
+    """All runs of ``n`` words."""
+    return lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: run(w, i, n)))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, span: int = SPAN, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(per document row key: n_words), (row key, at, n, item_id: an item's window that stands at word ``at``)."""
     if k + window - 1 > span:
@@ -105,10 +110,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW
     out = pieces.join(tests_small.where(F.col("n") == span), "key").select("doc_id", "th", "at", "n", "item_id")
     for n in sorted(lengths):
 
-        def runs(w: Column, n: int = n) -> Column:
-            return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: run(w, i, n)))
-
-        every = base.select("doc_id", "th", F.posexplode(let(words(F.col("t")), runs)).alias("at", "key"))
+        every = base.select("doc_id", "th", F.posexplode(let(words(F.col("t")), _runs_of(n))).alias("at", "key"))
         out = out.unionByName(every.join(tests_small.where(F.col("n") == n), "key").select("doc_id", "th", "at", "n", "item_id"))
     return base.select("doc_id", "th", F.size(words(F.col("t"))).cast("long").alias("n_words")), out
 

@@ -107,7 +107,7 @@ def directory(source, size: int) -> dict[str, tuple[int, int, int, int]]:
     """name -> (data offset, size, method, crc). ``source`` needs read_at(n, offset) only."""
     tail = source.read_at(min(size, 65_557), max(0, size - 65_557))
     at = tail.rfind(struct.pack("<I", END))
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(struct.pack("<I", END), 0, at)  # a signature inside the comment
     if at < 0:
         raise ValueError("no end of central directory")

@@ -1,0 +1,243 @@
+"""Training-data operators on small frames: brute force, exact round trips, and odd rows."""
+
+import base64
+import hashlib
+import io
+import random
+import re
+import zipfile
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tessera.llm import ann, decontaminate, language_id, licenses, mixing, pii, simhash, token_binary, toxicity, warc_zip
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra int"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, rng.randrange(12, 200)) for _ in range(60)]
+    texts += [None, "", "   ", "!", "x", texts[0], texts[0], texts[1] + " tail", "É " * 30, "word " * 5000]
+    rows = [(i, t, ["en", "de", None][i % 3], ["a", "b", "c", None][i % 4], len(t or ""), 7) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows + [(5, texts[5], "en", "a", 1, 7), (None, texts[3], None, None, 0, 7)], SCHEMA)
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    assert simhash.near_duplicates(none).count() == 0
+    assert mixing.mix(none).count() == 0
+    assert decontaminate.contamination(none, none.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+    assert token_binary.encode_documents(none).count() == 0
+    assert pii.find_pii(none).count() == licenses.scan_licenses(none).count() == 0
+    assert language_id.identify(docs, language_id.fit(none)).where("lang_pred <> 'und'").count() == 0
+    assert toxicity.scored(docs.select("doc_id", "text"), toxicity.fit(none.select("text", F.lit(1).alias("toxic")))).where("score > 0").count() == 0
+    empty = spark.createDataFrame([], "id long, vec array<float>")
+    assert ann.nearest(empty, empty).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc_zip.read_archives(warc_zip.write_archives(pages, warc_zip.scratch(spark, "w"))).count() == 0
+
+
+def test_tokens_round_trip(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted(token_binary.encode_documents(docs, seq_len=64, batch_rows=4).collect(), key=lambda r: r.start)
+    at = 0
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r.doc_id, []).append(r.text or "")
+    for r in got:
+        assert r.start == at
+        crcs = [zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for t in texts[r.doc_id]]
+        assert r.ids_crc32 in crcs
+        at += r.n_tokens
+    ids = [r.doc_id for r in got]
+    assert ids[0] is None and ids[1:] == sorted(ids[1:])
+
+
+def test_encoder_equals_library():
+    import public_tokenizers
+
+    enc = token_binary.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(1)
+    bits = [" ", "  ", "\n", "\t", "a", "Bc", "'s", "'", "12", "é", ".", "!!", "　", "<|endoftext|>", "\U0001f600"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    assert enc.encode(texts) == enc._library(texts)
+
+
+def test_warc(spark):
+    rows = [(1, "http://x/é", "aa", 1), (2, "u", None, 1), (3, None, "", 1), (4, "u", "aa", 1), (9, "u", "é" * 100_000, 1), (0, "u", "aa", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, extra int")
+    out = warc_zip.scratch(spark, "warc")
+    manifest = warc_zip.write_archives(pages, out)
+    got = {r.page_id: r for r in warc_zip.read_archives(manifest).collect()}
+    for i, _, html, _ in rows:
+        raw = (html or "").encode()
+        assert got[i].payload_bytes == len(raw) and got[i].payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {0: ("response", None), 1: ("revisit", 0), 2: ("response", None), 3: ("revisit", 2), 4: ("revisit", 0), 9: ("response", None)}
+    for r in manifest.collect():  # the standard library reads the packages too
+        with zipfile.ZipFile(r.path.removeprefix("file://")) as z:
+            assert z.namelist() == [warc_zip.WARC, warc_zip.INDEX] and z.testzip() is None
+
+
+def test_zip_directory_of_others():
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("a.txt", b"hello")
+        z.comment = b"PK\x05\x06 not the end"
+
+    class Source:
+        def read_at(self, n, at):
+            return raw.getvalue()[at : at + n]
+
+    place, size, method, crc = warc_zip.directory(Source(), len(raw.getvalue()))["a.txt"]
+    assert raw.getvalue()[place : place + size] == b"hello" and method == 0 and crc == zlib.crc32(b"hello")
+
+
+def test_mixing(docs):
+    got = mixing.mix(docs)
+    rows = got.collect()
+    assert len(rows) == docs.count()
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix(docs).collect()), key=repr)
+    sources = {r.source: (r.source_size, r.target) for r in rows}
+    total = sum(s for s, _ in sources.values())
+    assert sum(t for _, t in sources.values()) == pytest.approx(1.5 * total)
+    left, goal, weight, final = dict(sources), 1.5 * total, {}, {}
+    for k, s in enumerate(sorted(sources, key=lambda s: (s is None, s or ""))):
+        weight[s] = (5, 2, 1)[k % 3]
+    while left:  # share by weight, stop at the cap, share the rest again
+        share = {s: goal * weight[s] / sum(weight[x] for x in left) for s in left}
+        full = [s for s in left if share[s] > 2 * left[s][0]]
+        if not full:
+            final |= share
+            break
+        for s in full:
+            final[s] = 2 * left[s][0]
+            goal -= final[s]
+            del left[s]
+    for s, (_, target) in sources.items():
+        assert target == pytest.approx(final[s])
+        assert abs(sum(r.taken for r in rows if r.source == s) - target) <= max(r.size for r in rows) * 2
+    assert all(r.taken <= 2 * r.size for r in rows)
+
+
+def test_winnowing(spark, docs):
+    texts = {r.doc_id: r.text for r in docs.where("doc_id is not null").collect()}
+    cut = lambda i, a, b: " ".join((texts[i]).split()[a:b])
+    items = [(1, cut(0, 3, 25)), (2, cut(10, 0, 12).upper()), (3, "word word"), (4, None), (5, "no such passage is anywhere in these ten plus words at all"), (6, cut(0, 3, 25)), (7, "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.n_words): r for r in decontaminate.contamination(docs, bench).collect()}
+    word, lower = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), {c: c + 32 for c in range(65, 91)}
+    windows = {}
+    for i, t in items:
+        w = word.findall((t or "").translate(lower))
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).add(i)
+    for r in docs.collect():
+        w, hit, found = word.findall((r.text or "").translate(lower)), set(), set()
+        for n in {len(k) for k in windows}:
+            for k in range(len(w) - n + 1):
+                if x := windows.get(tuple(w[k : k + n])):
+                    found |= x
+                    hit |= set(range(k, k + n))
+        g = got[r.doc_id, len(w)]
+        assert (g.n_hit, g.n_items, g.contaminated) == (len(hit), len(found), bool(hit))
+        assert g.items_sha256 == hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+
+
+def test_simhash(docs):
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == docs.count()
+    fps = sorted({r.fp & (2**64 - 1) for r in rows})
+    up = {f: f for f in fps}
+
+    def root(f):
+        while up[f] != f:
+            f = up[f]
+        return f
+
+    for i, a in enumerate(fps):
+        for b in fps[i + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                up[root(b)] = root(a)
+    first = {}
+    for r in rows:
+        if r.doc_id is not None:
+            k = root(r.fp & (2**64 - 1))
+            first[k] = min(first.get(k, r.doc_id), r.doc_id)
+    assert all(r.component_id == first[root(r.fp & (2**64 - 1))] for r in rows)
+    assert simhash.fingerprint("One two") == xxhash.xxh64_intdigest("one two", 42) and simhash.fingerprint("") == 0
+
+
+def test_language(spark):
+    rng = random.Random(2)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(300))
+    rows = [(i, make(letters), lang) for i in range(60) for lang, letters in (("aa", "abc  d"), ("bb", "xyz  w"))]
+    model = language_id.fit(spark.createDataFrame(rows, "i int, text string, lang string"))
+    tests = spark.createDataFrame([(1, make("abc  d")), (2, make("xyz  w")), (3, None), (4, "12 ?"), (5, make("abc  d") * 4000)], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(tests, model).collect()}
+    assert [got[i][0] for i in range(1, 6)] == ["aa", "bb", "und", "und", "aa"] and got[3][1] == 0
+    tree = language_id.Tree(model)
+    p = np.exp2(-tree.bits.reshape(-1, 256, 2).astype(float)).sum(1)
+    assert np.allclose(p, 1, atol=1e-3)  # each context is a distribution over bytes
+    raw = make("abc  d").encode()
+    assert np.allclose(tree.code_lengths([raw, b"", raw])[0], tree.position_bits(np.frombuffer(language_id.PAD + raw, np.uint8)).sum(0), rtol=1e-5)
+
+
+def test_toxicity(spark):
+    rng = random.Random(3)
+    rows = [(prose(rng, 40) + (" vile " if k % 6 == 0 else " ") + prose(rng, 20), int(k % 6 == 0)) for k in range(1200)]
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    assert lexicon.weights.keys() == {"vile"}
+    assert lexicon.score("so V1LE indeed") > 0.5 > max(lexicon.score("so vileness"), lexicon.score(None), lexicon.score(""))
+    assert toxicity.Lexicon({"vile": 3.0}, ["vile smell"]).features("vile smell")[0] == 0
+
+
+def test_licenses():
+    s = licenses.Scanner()
+    assert s.scan(None) == {"n_words": 0, "base": [], "spans": []}
+    got = s.scan("pre CC-BY. Licensed under the Apache License, Version 2.0. x All Rights Reserved all rights reserved")
+    assert [p[0] for p in got["base"]] == [1, 12, 15]
+    assert {x[2] for x in got["spans"]} >= {"apache-2.0"}
+    rng, words = random.Random(5), ["all", "rights", "reserved", "cc", "by", "general", "public", "license", "x"]
+    for _ in range(500):
+        w = [rng.choice(words) for _ in range(rng.randrange(20))]
+        want = sorted(k for k in range(len(w)) for p in licenses.BASE if w[k : k + len(p.split())] == p.split())
+        assert [p[0] for p in s.scan(" ".join(w))["base"]] == want
+
+
+def test_pii(spark):
+    text = "mail a.b@x.co.uk or 10.0.0.256 10.0.0.25 card 4111 1111 1111 1111 tel +49 (170) 123-4567; call (212) 555-0187; bob [at] site [dot] org"
+    r = pii.find_pii(spark.createDataFrame([(1, text), (2, None), (3, "7" * 50_000 + "@" * 10)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (r[0].n_email, r[0].n_ip, r[0].n_card, r[0].n_phone) == (1, 1, 1, 1)
+    assert "phone:" in r[0].spans and r[1].spans == "" and r[2].n_email == 0
+    assert [text[s.start : s.end] for s in r[0].all_spans][:2] == ["a.b@x.co.uk", "10.0.0.25"]
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((400, 16)).astype(np.float32)
+    x[7] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0] * 3)]
+    df = spark.createDataFrame(rows, "id long, vec array<float>")
+    got = ann.nearest(df, df.where("id % 20 = 3")).collect()
+    x, hit, n = x.astype(float), 0, 0
+    for q in range(3, 400, 20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.score for r in mine] == pytest.approx([d[r.vec_id] for r in mine], rel=1e-12) and q not in {r.vec_id for r in mine}
+        hit, n = hit + len({r.vec_id for r in mine} & set(np.argsort(d)[:10].tolist())), n + 10
+    assert hit / n >= 0.9 and {r.query_id for r in got} == set(range(3, 400, 20))
