@@ -109,7 +109,6 @@ def hits(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW
     tests_small = _small(tests, broadcast_rows)
     out = pieces.join(tests_small.where(F.col("n") == span), "key").select("doc_id", "th", "at", "n", "item_id")
     for n in sorted(lengths):
-
         every = base.select("doc_id", "th", F.posexplode(let(words(F.col("t")), _runs_of(n))).alias("at", "key"))
         out = out.unionByName(every.join(tests_small.where(F.col("n") == n), "key").select("doc_id", "th", "at", "n", "item_id"))
     return base.select("doc_id", "th", F.size(words(F.col("t"))).cast("long").alias("n_words")), out
