@@ -274,10 +274,10 @@ def crops(spark, sf_dir):
     return o.select("obs_id", c("e.x0").alias("ex0"), c("b.y0").alias("by0"), r6("k.x0").alias("cx0"), r6("k.y1").alias("cy1"), r6("t.x0").alias("tx0"), r6("t.y1").alias("ty1"))
 
 
-@query(f"WITH {OBS}, f AS (SELECT obs_id, face_w, face_h, greatest(400.0 / face_w, 300.0 / face_h) AS scale FROM obs) SELECT obs_id, round(scale, 6) AS scale, round((400.0 - face_w * scale) / 2, 6) AS dx, round((300.0 - face_h * scale) * 0.1, 6) AS dy FROM f")
+@query(f"WITH {OBS}, f AS (SELECT obs_id, face_w, face_h, greatest(400.0 / face_w, 300.0 / face_h) AS scale FROM obs) SELECT obs_id, round(scale, 6) AS scale, round((400.0 - face_w * scale) / 2, 6) + 0.0::DOUBLE AS dx, round((300.0 - face_h * scale) * 0.1, 6) + 0.0::DOUBLE AS dy FROM f")
 def fit_transform(spark, sf_dir):
     f = _obs(spark, sf_dir).select("obs_id", layout.fit(F.lit(400.0), F.lit(300.0), c("face_w"), c("face_h")).alias("f"))
-    return f.select("obs_id", r6("f.scale").alias("scale"), r6("f.dx").alias("dx"), r6("f.dy").alias("dy"))
+    return f.select("obs_id", r6("f.scale").alias("scale"), (r6("f.dx") + 0.0).alias("dx"), (r6("f.dy") + 0.0).alias("dy"))  # no negative zeros
 
 
 @query(f"WITH {OBS}, g AS (SELECT stream_id, label, count(*) AS n FROM obs GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY label) - 1 AS i, count(*) OVER (PARTITION BY stream_id) AS m FROM g), q AS (SELECT *, CASE WHEN m = 1 THEN 1 ELSE 2 END AS k FROM p) SELECT stream_id, label, (i % k)::INT AS grid_col, (i // k)::INT AS grid_row, round(40 + (i % k) * ((1080 - 40 * (k + 1)) / k + 40), 6)::DOUBLE AS cell_x, 'Person ' || (i + 1) AS name, n || CASE WHEN n = 1 THEN ' Appearance' ELSE ' Appearances' END AS badge FROM q")
