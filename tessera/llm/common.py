@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -56,3 +56,9 @@ def publish(fs: pafs.FileSystem, temporary: str, final: str) -> None:
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, mod n; NULL ids give NULL."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def unit_draw(rows: DataFrame, seed: int) -> Column:
+    """A draw in [0, 1) by a hash of the text and, where there is one, the id: copies are drawn one by one."""
+    keys = [c for c in ("doc_id", "text") if c in rows.columns]
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(float(1 << 53))

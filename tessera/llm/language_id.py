@@ -8,7 +8,8 @@ text's code length under a language is the exact sum of -log2 over its UTF-8 byt
 code wins, and the score is the winner's share of 2^-length (the posterior under equal priors).
 
 Fitting reads a bounded, documented sample: about ``docs_per_lang`` whole documents a language,
-chosen by a hash. Counting is distributed; the model keeps the ``contexts`` most frequent
+chosen by a hash of id and text, so that a text with many copies is drawn as often as its share
+and not all or nothing. Counting is distributed; the model keeps the ``contexts`` most frequent
 contexts of the longest order a language, so it is bounded too. Every document is scored whole.
 
 Defined results: NULL text and text without a letter give ``und`` with score 0, as does everything
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, stored, table
+from tessera.llm.common import crc_mod, stored, table, unit_draw
 
 ORDER, DOCS_PER_LANG, CONTEXTS, GRAMS_PER_LANG, SEED = 3, 3000, 4096, 400_000, 11
 PAD = b"\n" * ORDER
@@ -58,13 +59,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """labelled(lang, text) -> language -> (grams, counts), at most GRAMS_PER_LANG each."""
+    """labelled(lang, text, doc_id if there is one) -> language -> (grams, counts), at most GRAMS_PER_LANG each."""
     rows = labelled.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, docs_per_lang / n)).otherwise(share)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "text"), 11) / F.lit(float(1 << 53))
+    draw = unit_draw(labelled, SEED)
     grams = rows.where(draw < share).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = stored(grams, "ppm-grams")
     model = {}
@@ -196,5 +197,5 @@ def identify(docs: DataFrame, model: dict, id_column: str = "doc_id", held_out=N
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
-    model = fit(docs.where(crc_mod("doc_id", 4) != 2).select("lang", "text"))
+    model = fit(docs.where(crc_mod("doc_id", 4) != 2).select("doc_id", "lang", "text"))
     return identify(docs, model, held_out=held)

@@ -9,7 +9,8 @@ much as toxic ones, cancel the term inside them. The score is a logistic functio
 found, plain and per word of the text.
 
 Fitting reads at most about ``rows_per_class`` labelled documents of each class, chosen by a
-hash; every document is scored whole.
+hash of id and text; copies of a text in the sample count once, so a text with many copies neither
+fills the sample nor hides a term. Every document is scored whole.
 
 Defined results: NULL and empty texts score as texts without terms; documents without id are not
 learned from and not held out; repeated label rows count once per distinct label; with no labels
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, stored, table
+from tessera.llm.common import crc_mod, stored, table, unit_draw
 
 ROWS_PER_CLASS, MIN_DOCS, MIN_ODDS, MIN_Z, MIN_SPREAD, MAX_TERMS, SEED = 6000, 5, 4.0, 4.0, 0.25, 5000, 5
 
@@ -128,14 +129,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 30, rid
 
 
 def fit(labelled: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Lexicon:
-    """labelled(text, toxic 0/1) -> lexicon."""
-    rows = labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
+    """labelled(text, toxic 0/1, doc_id if there is one) -> lexicon."""
+    rows = labelled.where("toxic in (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Lexicon({}, [])
     share = F.when(F.col("toxic") == 1, min(1.0, rows_per_class / sizes[1])).otherwise(min(1.0, rows_per_class / sizes[0]))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "text"), 11) / F.lit(float(1 << 53))
-    sample = stored(rows.where(draw < share), "toxic-sample")
+    drawn = rows.where(unit_draw(labelled, SEED) < share)
+    sample = stored(drawn.select("text", "toxic").distinct(), "toxic-sample")
     seen = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = seen.get(1, 0), seen.get(0, 0)
     if not n1 or not n0:
@@ -185,7 +186,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts with labels whose crc32(doc_id) mod 5 is not 0: what may be learned from."""
     known = labels.where(crc_mod("doc_id", 5) != 0).select("doc_id", "toxic").where("toxic is not null").distinct()
-    return docs.select(F.col("doc_id").alias("d"), "text").join(known, F.col("d") == F.col("doc_id")).select("text", "toxic")
+    return docs.select(F.col("doc_id").alias("d"), "text").join(known, F.col("d") == F.col("doc_id")).select("doc_id", "text", "toxic")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
