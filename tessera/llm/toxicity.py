@@ -129,12 +129,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 30, rid
 
 
 def fit(labelled: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Lexicon:
-    """labelled(text, toxic 0/1, doc_id if there is one) -> lexicon."""
+    """labelled(text, toxic 0/1, and if there are: doc_id, weight) -> lexicon."""
     rows = labelled.where("toxic in (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    weight = F.col("weight") if "weight" in labelled.columns else F.lit(1.0)
+    sizes = {r["toxic"]: r for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(weight).alias("mass")).collect()}
     if len(sizes) < 2:
         return Lexicon({}, [])
-    share = F.when(F.col("toxic") == 1, min(1.0, rows_per_class / sizes[1])).otherwise(min(1.0, rows_per_class / sizes[0]))
+    share = F.when(F.col("toxic") == 1, min(1.0, rows_per_class / sizes[1]["n"])).otherwise(min(1.0, rows_per_class / sizes[0]["n"]))
     drawn = rows.where(unit_draw(labelled, SEED) < share)
     sample = stored(drawn.select("text", "toxic").distinct(), "toxic-sample")
     seen = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -160,7 +161,7 @@ def fit(labelled: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Lexicon:
 
     got = sample.mapInArrow(features, "a double, b double, toxic int").toPandas()  # at most about 2 x rows_per_class rows
     y = got["toxic"].to_numpy(float)
-    lexicon.coefficients = _logistic(got[["a", "b"]].to_numpy(float), y, np.where(y == 1, sizes[1] / n1, sizes[0] / n0))
+    lexicon.coefficients = _logistic(got[["a", "b"]].to_numpy(float), y, np.where(y == 1, sizes[1]["mass"] / n1, sizes[0]["mass"] / n0))
     return lexicon
 
 
@@ -183,10 +184,19 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.mapInArrow(_scorer(shared), f"{fields}, score double, predicted int")
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with labels whose crc32(doc_id) mod 5 is not 0: what may be learned from."""
-    known = labels.where(crc_mod("doc_id", 5) != 0).select("doc_id", "toxic").where("toxic is not null").distinct()
-    return docs.select(F.col("doc_id").alias("d"), "text").join(known, F.col("d") == F.col("doc_id")).select("doc_id", "text", "toxic")
+def labelled(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
+    """doc_id, text, toxic, weight: texts with labels whose crc32(doc_id) mod 5 is not 0.
+
+    Labels are drawn before they meet the texts, at most about ``rows_per_class`` of each class, so no
+    text is shuffled; ``weight`` says for how many labels of its class a drawn one stands.
+    """
+    known = labels.where(crc_mod("doc_id", 5) != 0).where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, min(1.0, rows_per_class / sizes.get(1, 1))).otherwise(min(1.0, rows_per_class / sizes.get(0, 1)))
+    # the salt keeps this draw apart from the one in fit()
+    drawn = known.where(unit_draw(known, SEED + 1) < share).select(F.col("doc_id").alias("label_id"), "toxic", (1 / share).alias("weight"))
+    drawn = stored(drawn, "toxic-labels")
+    return docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic", "weight")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

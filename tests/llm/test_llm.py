@@ -205,6 +205,28 @@ def test_toxicity(spark):
     assert toxicity.Lexicon({"vile": 3.0}, ["vile smell"]).features("vile smell")[0] == 0
 
 
+def test_training_draws(spark):
+    """A text that holds a third of all rows neither fills nor empties the sample, nor hides its term."""
+    rng = random.Random(8)
+    hot = prose(rng, 30) + " vile " + prose(rng, 10)
+    texts = [hot if k % 3 == 0 else prose(rng, 40) + (" vile " if k % 5 == 0 else " ") + prose(rng, 5) for k in range(3000)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(" vile " in t)) for k, t in enumerate(texts)] * 2 + [(None, 1), (7, None), (10**6, 0)], "doc_id long, toxic int")
+    got = toxicity.labelled(docs, labels, rows_per_class=300)
+    rows = got.collect()
+    want = {1: 0, 0: 0}
+    for k, t in enumerate(texts):
+        if zlib.crc32(str(k).encode()) % 5:
+            want[int(" vile " in t)] += 1
+    for c in (0, 1):
+        mine = [r for r in rows if r.toxic == c]
+        assert 220 < len(mine) < 380 and sum(r.weight for r in mine) == pytest.approx(want[c], rel=0.25)
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows)
+    assert toxicity.fit(got, rows_per_class=300).weights.keys() == {"vile"}
+    drawn = docs.where(language_id.unit_draw(docs, 11) < 0.2)
+    assert 100 < drawn.where(F.col("text") == hot).count() < 300
+
+
 def test_licenses():
     s = licenses.Scanner()
     assert s.scan(None) == {"n_words": 0, "base": [], "spans": []}
