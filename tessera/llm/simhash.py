@@ -262,7 +262,7 @@ def _links(accept: int):
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, block: int = BLOCK, accept: int | None = None) -> DataFrame:
-    """a, b, apart: links that connect everything within ``radius``. ``distinct``: one row per fp.
+    """a < b, apart: links that connect everything within ``radius``, each once. ``distinct``: one row per fp.
 
     ``accept`` over ``radius`` also keeps wider pairs among the candidates; those are not guaranteed.
     """
@@ -284,7 +284,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, block:
     # a row gives many probes, which size estimates do not see, so broadcasting is ruled out
     met = blocks("left", True).hint("merge").join(blocks("right", False).hint("merge"), ["part", "value"])
     met = met.where((F.size("left") > 1) | (F.size("right") > 1) | (F.col("left")[0] != F.col("right")[0]))
-    return met.select("left", "right").mapInArrow(_links(radius if accept is None else accept), "a long, b long, apart int")
+    found = met.select("left", "right").mapInArrow(_links(radius if accept is None else accept), "a long, b long, apart int")
+    # a crowded part value meets in many block pairs, and each of them may give the same link either way round
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
