@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,34 +43,54 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_LOWER)
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, word: re.Pattern = _WORD) -> int:
+def _remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes for further fingerprint k by the SplitMix64 finaliser; k = 0 leaves them as they are."""
+    if not k:
+        return hashes
+    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint_set(text: str, shingle: int = SHINGLE, word: re.Pattern = _WORD, prints: int = 1) -> list[int]:
+    """``prints`` fingerprints of one text whose errors are independent; the first is ``fingerprint``."""
     words = word.findall(lower_ascii(text))
     if not words:
-        return 0
-    n, ones, digest = max(1, len(words) - shingle + 1), np.zeros(64, np.int64), xxhash.xxh64_intdigest
+        return [0] * prints
+    n, ones, digest = max(1, len(words) - shingle + 1), np.zeros((prints, 64), np.int64), xxhash.xxh64_intdigest
     for a in range(0, n, _SLICE):
         b = min(n, a + _SLICE)
         runs = zip(*(words[a + k : b + k] for k in range(shingle)), strict=True) if len(words) >= shingle else [words]
         hashes = np.fromiter((digest(" ".join(r).encode("utf-8", "surrogatepass"), SEED) for r in runs), np.uint64, b - a)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > n, bitorder="little")
-    return int(bits.view("<u8")[0])
+        for k in range(prints):
+            ones[k] += np.unpackbits(_remixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, word: re.Pattern = _WORD) -> int:
+    return fingerprint_set(text, shingle, word)[0]
+
 
+def _fp_names(prints: int) -> list[str]:
+    return ["fp", *(f"fp_{k}" for k in range(1, prints))]
 
-def _fingerprints(shingle: int, word: str):
+
+def _fingerprints(shingle: int, word: str, prints: int):
     pattern = re.compile(word)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t or "", shingle, pattern) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            values = np.array([fingerprint_set(t or "", shingle, pattern, prints) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, prints).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(values[:, k]) for k in range(prints))], names=["doc_id", *_fp_names(prints)])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, word: str = _WORD.pattern) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(shingle, word), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, word: str = _WORD.pattern, prints: int = 1) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), then fp_1, fp_2 and so on for further ``prints``."""
+    schema = ", ".join(["doc_id long", *(f"{n} long" for n in _fp_names(prints))])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(shingle, word, prints), schema)
 
 
 def fingerprinted(docs: DataFrame, shingle: int = SHINGLE, word: str = _WORD.pattern) -> DataFrame:
@@ -336,14 +357,42 @@ def verified(edges: DataFrame, docs: DataFrame, first: DataFrame, least: float,
     return both.mapInArrow(_similar(least, shingle, word), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS, shingle: int = SHINGLE, word: str = _WORD.pattern, accept: int | None = None, least: float | None = None) -> DataFrame:
-    """doc_id, fp, component_id for every row. With ``least``, links must also reach that Jaccard similarity."""
-    fps = stored(fingerprints(docs, shingle, word), "simhash")
+def _further(fps: DataFrame, name: str, radius: int, parts: int, accept: int | None) -> DataFrame:
+    """Links by a further fingerprint, between first fingerprints: the least fp stands for all that share the further one."""
+    pairs = stored(fps.select("fp", name).distinct(), "simhash-pairs")
+    stands = stored(pairs.groupBy(name).agg(F.min("fp").alias("rep")), "simhash-stands")
+    equal = pairs.join(stands, name).where("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
+    near = links(stands.select(F.col(name).alias("fp")), radius, parts, accept=accept)
+    near = near.join(stands.toDF("a", "rep_a"), "a").join(stands.toDF("b", "rep_b"), "b").where("rep_a <> rep_b")
+    return equal.union(near.select(F.least("rep_a", "rep_b"), F.greatest("rep_a", "rep_b")))
+
+
+def _between(edges: DataFrame, member: DataFrame) -> DataFrame:
+    """The edges that lead from one group to another; those inside a group add nothing."""
+    both = edges.join(member.toDF("a", "root_a"), "a", "left").join(member.toDF("b", "root_b"), "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS, shingle: int = SHINGLE, word: str = _WORD.pattern, accept: int | None = None, least: float | None = None, prints: int = 1) -> DataFrame:
+    """doc_id, fp, component_id for every row. With ``least``, links must also reach that Jaccard similarity.
+
+    ``prints`` searches so many independent fingerprints: a similar pair that lies apart in one of them
+    is met in another. Links of the further ones count where they join two groups of the first. Without
+    ``least``, rows are linked if any of their fingerprints are.
+    """
+    fps = stored(fingerprints(docs, shingle, word, prints), "simhash")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    edges = stored(links(distinct.select("fp"), radius, parts, accept=accept), "simhash-links")
+    edges = stored(links(distinct.select("fp"), radius, parts, accept=accept).select("a", "b"), "simhash-links")
     if least is not None:
         edges = verified(edges, docs, distinct, least, shingle, word)
     member = components(edges)
+    if prints > 1:
+        member = stored(member, "simhash-member")
+        more = reduce(DataFrame.union, [_further(fps, name, radius, parts, accept) for name in _fp_names(prints)[1:]])
+        more = stored(_between(more.distinct(), member), "simhash-links")
+        if least is not None:
+            more = verified(more, docs, distinct, least, shingle, word)
+        member = components(member.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     named = distinct.join(member, distinct.fp == member.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = stored(named, "simhash-roots")
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
