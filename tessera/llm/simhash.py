@@ -373,23 +373,38 @@ def _between(edges: DataFrame, member: DataFrame) -> DataFrame:
     return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS, shingle: int = SHINGLE, word: str = _WORD.pattern, accept: int | None = None, least: float | None = None, prints: int = 1) -> DataFrame:
+def _within(edges: DataFrame, fps: DataFrame, names: list[str], total: int) -> DataFrame:
+    """The edges whose ends differ in at most ``total`` bits over all their fingerprints."""
+    of = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *names[1:])).alias("m")).select("fp", F.array("fp", *[f"m.{n}" for n in names[1:]]).alias("bits"))
+    both = edges.join(of.toDF("a", "bits_a"), "a").join(of.toDF("b", "bits_b"), "b")
+    apart = reduce(Column.__add__, [F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(len(names))])
+    return both.where(apart <= total).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS, shingle: int = SHINGLE, word: str = _WORD.pattern, accept: int | None = None, least: float | None = None, prints: int = 1, total: int = 64) -> DataFrame:
     """doc_id, fp, component_id for every row. With ``least``, links must also reach that Jaccard similarity.
 
     ``prints`` searches so many independent fingerprints: a similar pair that lies apart in one of them
     is met in another. Links of the further ones count where they join two groups of the first. Without
-    ``least``, rows are linked if any of their fingerprints are.
+    ``least``, rows are linked if any of their fingerprints are. Texts are read only for links of at most
+    ``total`` differing bits over all fingerprints.
     """
     fps = stored(fingerprints(docs, shingle, word, prints), "simhash")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    edges = stored(links(distinct.select("fp"), radius, parts, accept=accept).select("a", "b"), "simhash-links")
+    edges = links(distinct.select("fp"), radius, parts, accept=accept).select("a", "b")
+    if prints > 1 and least is not None:
+        edges = _within(edges, fps, _fp_names(prints), total)
+    edges = stored(edges, "simhash-links")
     if least is not None:
         edges = verified(edges, docs, distinct, least, shingle, word)
     member = components(edges)
     if prints > 1:
         member = stored(member, "simhash-member")
         more = reduce(DataFrame.union, [_further(fps, name, radius, parts, accept) for name in _fp_names(prints)[1:]])
-        more = stored(_between(more.distinct(), member), "simhash-links")
+        more = _between(more.distinct(), member)
+        if least is not None:
+            more = _within(more, fps, _fp_names(prints), total)
+        more = stored(more, "simhash-links")
         if least is not None:
             more = verified(more, docs, distinct, least, shingle, word)
         member = components(member.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
