@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import ann, decontaminate, language_id, licenses, mixing, pii, simhash, token_binary, toxicity, warc_zip
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra int"
@@ -181,6 +182,32 @@ def test_simhash(docs):
     assert simhash.fingerprint("One two") == xxhash.xxh64_intdigest("one two", 42) and simhash.fingerprint("") == 0
 
 
+def test_near_duplicates_of_several_fingerprints(spark):
+    """Pairs of 0.8 or more over five-word shingles share a group, and each group hangs together by such pairs."""
+    rng, rows = random.Random(5), []
+    for k in range(30):
+        words = prose(rng, 150).split()
+        rows.append((len(rows), " ".join(words)))
+        for at in rng.sample(range(5, 140), 3):
+            rows.append((len(rows), " ".join([*words[:at], f"new{k}", *words[at + 1 :]])))
+    rows += [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, rows[0][1])]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **corpus_pipeline.NEAR).collect()}
+    sets = {d: {tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for d, t in rows}
+    up = {d: d for d in sets}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    assert found == {d: root(d) for d in sets}
+
+
 def test_language(spark):
     rng = random.Random(2)
     make = lambda letters: "".join(rng.choice(letters) for _ in range(300))
