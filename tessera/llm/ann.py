@@ -5,7 +5,8 @@ probability; the directory of a table is the full grid of intervals, at most int
 buckets. A query visits buckets in the order of their estimated success: the chance that a
 neighbour lies in the bucket, a product of normal probabilities whose centre and spread were measured
 on neighbours within the sample. It stops when the visited chance reaches ``success``. Candidates of all tables are
-merged and ranked by their exact Euclidean distance in double precision.
+merged and ranked by their exact Euclidean distance in double precision, then by id; matrix products only
+bound distances, and every candidate within their rounding error of the k-th is ranked exactly.
 
 Interval borders and the law of neighbours come from a bounded sample of ``sample`` vectors; every
 vector is indexed. Vectors of one bucket form blocks of at most about ``block`` rows, queries likewise, and
@@ -147,6 +148,34 @@ def _rank(k: int):
         rank = np.arange(len(q)) - np.repeat(first, np.diff([*first, len(q)]))
         return q[rank < k], v[rank < k], d[rank < k]
 
+    def distinct(ids: np.ndarray, raw: list[bytes]) -> list[int]:
+        """Of equal vectors, the k + 1 smallest ids, each once: no other can be among the k best of a query."""
+        seen, some = {}, []
+        for j in np.argsort(ids, kind="stable").tolist():
+            mine = seen.setdefault(raw[j], [])
+            if len(mine) <= k and (not mine or mine[-1] != ids[j]):
+                mine.append(ids[j])
+                some.append(j)
+        return some
+
+    def closest(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each query in a block, ids ascending. The product only bounds the distances; they come from the difference."""
+        size, twice = (q**2).sum(1)[:, None] + (v**2).sum(1)[None], 2 * q @ v.T
+        # rounding moves product and difference by less than this part of q^2 + v^2
+        slack = 8 * (q.shape[1] + 8) * np.finfo(float).eps
+        other = q_ids[:, None] != v_ids[None]
+        upper = np.where(other, size * (1 + slack) - twice, np.inf)
+        first = np.flatnonzero(np.concatenate([[True], v_ids[1:] != v_ids[:-1]]))
+        if len(first) < len(v_ids):  # rows that repeat an id may collapse to one result
+            upper = np.minimum.reduceat(upper, first, axis=1)
+        keep = other
+        if k < upper.shape[1]:
+            keep = other & ~(size * (1 - slack) - twice > np.partition(upper, k - 1, axis=1)[:, k - 1 : k])
+        at_q, at_v = np.nonzero(keep)
+        step = max(1, 4_000_000 // q.shape[1])
+        exact = [np.sqrt(((v[at_v[a : a + step]] - q[at_q[a : a + step]]) ** 2).sum(1)) for a in range(0, len(at_q), step)]
+        return best(q_ids[at_q], v_ids[at_v], np.concatenate([np.empty(0), *exact]))
+
     def out(held):
         return pa.RecordBatch.from_pydict({"query_id": pa.array(held[0]), "vec_id": pa.array(held[1]), "score": pa.array(held[2])})
 
@@ -158,14 +187,11 @@ def _rank(k: int):
                 qi, qv, vi, vv = (batch.column(j)[i] for j in range(4))
                 q_ids, v_ids = qi.values.to_numpy().astype(np.int64), vi.values.to_numpy().astype(np.int64)
                 q = np.frombuffer(b"".join(qv.as_py()), np.float64).reshape(len(q_ids), -1)
-                v = np.frombuffer(b"".join(vv.as_py()), np.float64).reshape(len(v_ids), -1)
-                d = (q**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T
-                d[q_ids[:, None] == v_ids[None]] = np.inf
-                n = min(len(v_ids), 2 * k + 8)  # the product only preselects; rank and score come from the difference
-                top = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(v_ids) else np.tile(np.arange(n), (len(q_ids), 1))
-                exact = np.sqrt(((v[top] - q[:, None]) ** 2).sum(2))
-                ok = np.isfinite(np.take_along_axis(d, top, 1)).ravel()
-                fresh.append((np.repeat(q_ids, n)[ok], v_ids[top].ravel()[ok], exact.ravel()[ok]))
+                raw = vv.as_py()
+                some = distinct(v_ids, raw)
+                v_ids, v = v_ids[some], np.frombuffer(b"".join([raw[j] for j in some]), np.float64).reshape(len(some), -1)
+                q_ids, v_ids, exact = closest(q_ids, q, v_ids, v)
+                fresh.append((q_ids, v_ids, exact))
                 waiting += len(fresh[-1][0])
                 if waiting > 500_000:
                     held, fresh, waiting = best(*(np.concatenate(c) for c in zip(held, *fresh, strict=True))), [none], 0

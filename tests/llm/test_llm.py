@@ -290,3 +290,22 @@ def test_nearest(spark):
         assert [r.score for r in mine] == pytest.approx([d[r.vec_id] for r in mine], rel=1e-12) and q not in {r.vec_id for r in mine}
         hit, n = hit + len({r.vec_id for r in mine} & set(np.argsort(d)[:10].tolist())), n + 10
     assert hit / n >= 0.9 and {r.query_id for r in got} == set(range(3, 400, 20))
+
+
+def test_nearest_among_equal_vectors(spark):
+    """2,000 copies of one vector, and others far from the origin: the k best by (distance, id), as in brute force."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((2300, 8)) + 1e6
+    x[:2000] = x[0]
+    order = rng.permutation(2300)
+    ids = 5 * order + 3
+    schema = "id long, vec array<double>"
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    df = spark.createDataFrame(rows + rows[:40] * 20, schema)
+    asked = [*ids[:2000:250].tolist(), *ids[2000::60].tolist()]
+    got = ann.nearest(df, spark.createDataFrame([r for r in rows if r[0] in asked], schema), success=1.0).collect()
+    for q in asked:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        want = sorted((a, int(i)) for a, i in zip(d, ids, strict=True) if i != q)[:10]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in mine] == [i for _, i in want] and [r.score for r in mine] == pytest.approx([a for a, _ in want], rel=1e-12)
