@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, mixing, simhash, token_binary, toxicity
 from tessera.llm.common import scratch, stored, table
 
-# similarity of 0.8 on five-word shingles; in each of three fingerprints links within 7 bits are certain, wider ones up to 15 where probed.
-# At a similarity of 0.8 two texts differ in 29 of all 192 bits on average, standard deviation 5; 45 is three of these above.
-NEAR = {"shingle": 5, "radius": 7, "accept": 15, "least": 0.8, "prints": 3, "total": 45}
+# all pairs of a similarity of 0.8 on sets of five-word shingles are links
+NEAR = {"shingle": 5, "least": 0.8}
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -331,83 +330,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _similar(least: float, shingle: int, pattern: str):
-    word = re.compile(pattern)
-
-    def hashes(text: str | None) -> set[int]:
-        words = word.findall(lower_ascii(text or ""))
-        return {xxhash.xxh64_intdigest(" ".join(words[i : i + shingle]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - shingle + 1))}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = hashes(x), hashes(y)
-                keep.append(len(a & b) >= least * len(a | b))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def verified(edges: DataFrame, docs: DataFrame, first: DataFrame, least: float, shingle: int, word: str = _WORD.pattern) -> DataFrame:
-    """The edges (pairs of fp) whose representatives' shingle sets have a Jaccard similarity of ``least`` or more."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(first, "fp")
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(ends, "first_id").dropDuplicates(["fp"]).select("fp", "text"), "simhash-texts")
-    both = edges.select("a", "b").distinct().join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_similar(least, shingle, word), "a long, b long")
-
-
-def _further(fps: DataFrame, name: str, radius: int, parts: int, accept: int | None) -> DataFrame:
-    """Links by a further fingerprint, between first fingerprints: the least fp stands for all that share the further one."""
-    pairs = stored(fps.select("fp", name).distinct(), "simhash-pairs")
-    stands = stored(pairs.groupBy(name).agg(F.min("fp").alias("rep")), "simhash-stands")
-    equal = pairs.join(stands, name).where("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
-    near = links(stands.select(F.col(name).alias("fp")), radius, parts, accept=accept)
-    near = near.join(stands.toDF("a", "rep_a"), "a").join(stands.toDF("b", "rep_b"), "b").where("rep_a <> rep_b")
-    return equal.union(near.select(F.least("rep_a", "rep_b"), F.greatest("rep_a", "rep_b")))
-
-
-def _between(edges: DataFrame, member: DataFrame) -> DataFrame:
-    """The edges that lead from one group to another; those inside a group add nothing."""
-    both = edges.join(member.toDF("a", "root_a"), "a", "left").join(member.toDF("b", "root_b"), "b", "left")
-    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
-def _within(edges: DataFrame, fps: DataFrame, names: list[str], total: int) -> DataFrame:
-    """The edges whose ends differ in at most ``total`` bits over all their fingerprints."""
-    of = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *names[1:])).alias("m")).select("fp", F.array("fp", *[f"m.{n}" for n in names[1:]]).alias("bits"))
-    both = edges.join(of.toDF("a", "bits_a"), "a").join(of.toDF("b", "bits_b"), "b")
-    apart = reduce(Column.__add__, [F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(len(names))])
-    return both.where(apart <= total).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS, shingle: int = SHINGLE, word: str = _WORD.pattern, accept: int | None = None, least: float | None = None, prints: int = 1, total: int = 64) -> DataFrame:
-    """doc_id, fp, component_id for every row. With ``least``, links must also reach that Jaccard similarity.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS, shingle: int = SHINGLE, word: str = _WORD.pattern, least: float | None = None) -> DataFrame:
+    """doc_id, fp, component_id for every row. With ``least``, links are all pairs of that Jaccard similarity, and fp stands for the shingle set."""
+    if least is not None:
+        from tessera.llm import jaccard
 
-    ``prints`` searches so many independent fingerprints: a similar pair that lies apart in one of them
-    is met in another. Links of the further ones count where they join two groups of the first. Without
-    ``least``, rows are linked if any of their fingerprints are. Texts are read only for links of at most
-    ``total`` differing bits over all fingerprints.
-    """
-    fps = stored(fingerprints(docs, shingle, word, prints), "simhash")
+        named = stored(jaccard.similar(docs, least, shingle, word), "near-roots")
+        first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        return named.join(first, "root").select("doc_id", "fp", "component_id")
+    fps = stored(fingerprints(docs, shingle, word), "simhash")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    edges = links(distinct.select("fp"), radius, parts, accept=accept).select("a", "b")
-    if prints > 1 and least is not None:
-        edges = _within(edges, fps, _fp_names(prints), total)
-    edges = stored(edges, "simhash-links")
-    if least is not None:
-        edges = verified(edges, docs, distinct, least, shingle, word)
+    edges = stored(links(distinct.select("fp"), radius, parts).select("a", "b"), "simhash-links")
     member = components(edges)
-    if prints > 1:
-        member = stored(member, "simhash-member")
-        more = reduce(DataFrame.union, [_further(fps, name, radius, parts, accept) for name in _fp_names(prints)[1:]])
-        more = _between(more.distinct(), member)
-        if least is not None:
-            more = _within(more, fps, _fp_names(prints), total)
-        more = stored(more, "simhash-links")
-        if least is not None:
-            more = verified(more, docs, distinct, least, shingle, word)
-        member = components(member.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     named = distinct.join(member, distinct.fp == member.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = stored(named, "simhash-roots")
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

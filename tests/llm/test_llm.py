@@ -309,3 +309,43 @@ def test_nearest_among_equal_vectors(spark):
         want = sorted((a, int(i)) for a, i in zip(d, ids, strict=True) if i != q)[:10]
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
         assert [r.vec_id for r in mine] == [i for _, i in want] and [r.score for r in mine] == pytest.approx([a for a, _ in want], rel=1e-12)
+
+
+def jaccard_roots(rows, least=0.8):
+    """Brute force: the group of each row by its place, over sets of five-word shingles."""
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in ((t or "").lower().split() for _, t in rows)]
+    up = list(range(len(rows)))
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return [root(d) for d in range(len(rows))]
+
+
+def grouped(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(df, **corpus_pipeline.NEAR).collect()
+    return {r.doc_id: r.component_id for r in got}
+
+
+def test_near_duplicates_of_a_crowded_template(spark):
+    """Texts around one passage with similarities on both sides of 0.8: no link is lost to candidates that fail."""
+    rng = random.Random(9)
+    shared, rows = prose(rng, 100).split(), []
+    for _ in range(25):
+        own = prose(rng, 24).split()
+        base = shared + own
+        rows.append((len(rows), " ".join(base)))
+        for at in rng.sample(range(100, 120), 2):
+            rows.append((len(rows), " ".join([*base[:at], prose(rng, 1) + "x", *base[at + 1 :]])))
+        at = rng.sample(range(6, 118), 2)
+        rows.append((len(rows), " ".join(w if i not in at else f"y{i}" for i, w in enumerate(base))))
+    want = jaccard_roots(rows)
+    assert 1 < len(set(want)) < len(rows) and grouped(spark, rows) == dict(enumerate(want))
