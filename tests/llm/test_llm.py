@@ -349,3 +349,14 @@ def test_near_duplicates_of_a_crowded_template(spark):
         rows.append((len(rows), " ".join(w if i not in at else f"y{i}" for i, w in enumerate(base))))
     want = jaccard_roots(rows)
     assert 1 < len(set(want)) < len(rows) and grouped(spark, rows) == dict(enumerate(want))
+
+
+def test_near_duplicates_just_over_the_limit(spark):
+    """Pairs of 0.8 and a little more, and just under: all decided as by brute force."""
+    rng, rows = random.Random(12), []
+    for k in range(120):
+        words = prose(rng, rng.choice((40, 84, 120, 300))).split()
+        changes = [w if i % 53 else f"new{k}" for i, w in enumerate(words)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changes[: round(len(words) * rng.uniform(0.86, 1))]))]
+    want = jaccard_roots(rows)
+    assert 130 < len(set(want)) < 235 and grouped(spark, rows) == dict(enumerate(want))
