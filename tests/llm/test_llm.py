@@ -360,3 +360,13 @@ def test_near_duplicates_just_over_the_limit(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changes[: round(len(words) * rng.uniform(0.86, 1))]))]
     want = jaccard_roots(rows)
     assert 130 < len(set(want)) < 235 and grouped(spark, rows) == dict(enumerate(want))
+
+
+def test_near_duplicates_count_repeated_shingles_once(spark):
+    """A repeated passage neither parts texts of one set nor joins texts that differ in the rest."""
+    rng = random.Random(13)
+    line, body, rows = prose(rng, 20), prose(rng, 200), []
+    rows += [(0, f"{line} " * 2 + body), (1, f"{line} " * 90 + body), (2, f"{line} " * 400 + body)]
+    rows += [(3 + k, f"{line} " * 400 + prose(rng, 60)) for k in range(4)]
+    want = jaccard_roots(rows)
+    assert want == [0, 0, 0, 3, 4, 5, 6] and grouped(spark, rows) == dict(enumerate(want))
