@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, simhash, token_binary, toxicity
+from tessera.llm import decontaminate, jaccard, mixing, token_binary, toxicity
 from tessera.llm.common import scratch, stored, table
 
 # all pairs of a similarity of 0.8 on sets of five-word shingles are links
@@ -26,24 +26,20 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document of smallest doc_id stays, once."""
-    found = simhash.near_duplicates(docs, **NEAR)
-    # one (doc_id, fp) of each group; a group without any id has no name, so its fingerprint stands in
-    group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
-    first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("m")).select(F.col("m.doc_id").alias("first_id"))
-    first = stored(first.groupBy("first_id").agg(F.count("*").alias("groups")), "near-first")
-    rows = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "row_id")
-    chosen = stored(first.join(rows, F.col("first_id").eqNullSafe(F.col("row_id"))).select("first_id", "rows"), "near-chosen")
-    once = docs.join(chosen.where("rows = 1"), docs["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
-    shared = stored(chosen.where("rows > 1").select("first_id"), "near-shared")
+    """Of each near-duplicate group the document of smallest doc_id (then hash of text) stays, once; NULL ids come last."""
+    found = stored(jaccard.similar(docs, **NEAR), "near-roots")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("m")).select(F.col("m.doc_id").alias("first_id"), F.col("m.th").alias("first_th"))
+    rows = found.groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
+    chosen = stored(first.join(rows, F.col("first_id").eqNullSafe(F.col("doc_id")) & (F.col("first_th") == F.col("th"))).select("first_id", "first_th", "rows"), "near-chosen")
+
+    def of(some: DataFrame) -> DataFrame:
+        return docs.join(some, docs["doc_id"].eqNullSafe(F.col("first_id")) & (F.xxhash64(docs["text"]) == F.col("first_th")), "left_semi")
+
+    shared = chosen.where("rows > 1")
     if shared.isEmpty():
-        return once
-    # rows that share a doc_id: the least text of each of their groups stays
-    again = docs.join(shared, docs["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
-    named = found.select(F.col("doc_id").alias("f_id"), F.col("fp").alias("f_fp"), group.alias("g")).distinct()
-    marked = simhash.fingerprinted(again, NEAR["shingle"]).join(named, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("_fp") == F.col("f_fp")))
-    again = marked.groupBy("doc_id", "g").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text")).alias("r")).select("r.*")
-    return once.unionByName(again)
+        return of(chosen)
+    again = of(shared).groupBy("doc_id", F.xxhash64("text").alias("th")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r")).select("r.*")
+    return of(chosen.where("rows = 1")).unionByName(again)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

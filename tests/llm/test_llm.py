@@ -370,3 +370,20 @@ def test_near_duplicates_count_repeated_shingles_once(spark):
     rows += [(3 + k, f"{line} " * 400 + prose(rng, 60)) for k in range(4)]
     want = jaccard_roots(rows)
     assert want == [0, 0, 0, 3, 4, 5, 6] and grouped(spark, rows) == dict(enumerate(want))
+
+
+def test_one_of_each_near_group_stays(spark):
+    """NULL and repeated ids: each group keeps its least row once, whatever ids other groups have."""
+    rng = random.Random(14)
+    texts = [prose(rng, 100) for _ in range(7)]
+    near = [" ".join([*t.split()[:50], "other", *t.split()[51:]]) for t in texts]
+    rows = [(1, texts[0]), (2, near[0]), (None, texts[1]), (None, near[1]), (7, texts[2]), (7, texts[3]), (8, near[2]), (9, near[3])]
+    rows += [(None, texts[4]), (3, near[4]), (4, texts[5]), (4, texts[5]), (None, None), (None, ""), (6, texts[6]), (6, near[6])]
+    want = {}
+    for row, root in zip(rows, jaccard_roots(rows), strict=True):
+        want.setdefault(root, []).append(row)
+    got = [tuple(r) for r in corpus_pipeline.keep_one_of_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert len(got) == len(want) == 8
+    for group in want.values():
+        least = min((d is None, d or 0) for d, _ in group)
+        assert len([r for r in got if r in group and (r[0] is None, r[0] or 0) == least]) == 1
