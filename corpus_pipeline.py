@@ -70,7 +70,7 @@ STAGES = [
     ("token_binary", write_tokens),
 ]
 
-ORACLE_SQL = None  # hashing, learning and tokenizing can't be put in SQL; tests hold stages against brute force
+ORACLE_SQL = None  # hashing, learning and tokenizing can't be put in SQL; of the stages, near_duplicates is tested against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
