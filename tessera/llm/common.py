@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (out, path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote for these, once nothing reads it any more."""
+    for df in tables:
+        _, path = _WRITTEN.pop(id(df))
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

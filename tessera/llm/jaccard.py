@@ -1,14 +1,18 @@
-"""Groups of texts whose shingle sets are similar: an exact join, no sampling of candidates.
+"""Near-duplicates by the similarity of shingle sets: SimHash groups most copies, an exact join finds the rest.
 
-Two sets of Jaccard similarity ``least`` or more share an element among the first n - ceil(least n) + 1
-of each, in any order common to all sets. The order puts shingles that are frequent in a part of the
-rows last, so the prefixes hold rare ones; it decides cost only. Pairs that meet in a prefix are
-cut by bounds that no similar pair breaks (sizes, positions, and the bits in which two parity sketches differ),
-and the rest by comparing the sets. Links are compared before anything is left out on their account:
-a first round compares each set with a few leaders of its list, the second all pairs that the links of the
-first have not joined.
+A 64-bit SimHash can't decide a Jaccard similarity of ``least`` = 0.8: such pairs differ by about 10 bits, with a
+spread of 3, so no radius that is worth searching finds all of them. Two searches therefore follow each other,
+and both hand their pairs to the same check of the sets:
 
-NULL text counts as empty; texts without words share one set.
+1. SimHash by the generalised pigeonhole principle (``simhash.links``) over the distinct sets, with wide links kept.
+   It joins copies and crowded families of near copies by few links each.
+2. The pairs that are not in one group yet, by prefixes: two sets of similarity ``least`` share an element
+   among the first n - ceil(least n) + 1 of each, in any order common to all sets. The order puts shingles that are
+   frequent in a part of the rows last, so the prefixes hold rare ones; it decides cost only. Pairs that meet are cut
+   by bounds that no similar pair breaks: sizes, positions, and the bits in which two parity sketches differ.
+
+The second search is complete by itself, so what the first one misses or leaves out of its forest is not lost.
+Shingles and sets are told apart by 64-bit hashes. NULL text counts as empty; texts without words share one set.
 """
 
 from __future__ import annotations
@@ -23,24 +27,55 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm import simhash
+from tessera.llm.common import discard, stored
 from tessera.llm.simhash import _WORD, components, lower_ascii
 
-PART, FREQUENT, ORDERED, SLICE, CHUNK = 8, 3, 1_000_000, 4096, 1_000_000
-LEADERS = np.array([1, 0x1E3779B97F4A7C15, 0x3F58476D1CE4E5B9, 0x14D049BB133111EB])
-_SETS = "doc_id long, th long, fp long, n int, s0 long, s1 long, s2 long, s3 long, tokens binary"
+PART, FREQUENT, ORDERED, SLICE, CHUNK, WORDS_HELD, ACCEPT = 8, 3, 1_000_000, 2048, 500_000, 500_000, 14
+_SKETCH = ("s0", "s1", "s2", "s3")
+_SETS = "doc_id long, th long, fp long, sim long, n int, s0 long, s1 long, s2 long, s3 long, tokens binary"
 _POSTINGS = "token long, fp long, n int, pos int"
 
 
+class _Words(dict):
+    """Word -> 64-bit hash, as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_WORDS = _Words()
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """The SplitMix64 finaliser."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def shingle_set(text: str | None, shingle: int, word: re.Pattern) -> np.ndarray:
-    """The hashes of a text's distinct shingles, ascending."""
+    """The hashes of a text's distinct shingles, ascending. A shingle's hash chains those of its words."""
     words = word.findall(lower_ascii(text or ""))
-    if len(words) <= shingle:
-        runs = {" ".join(words)}
-    else:
-        runs = {" ".join(r) for r in zip(*(words[k : len(words) - shingle + 1 + k] for k in range(shingle)), strict=True)}
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(r.encode("utf-8", "surrogatepass")) for r in runs), np.uint64, len(runs)))
+    if len(words) < shingle:
+        return np.array([xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), len(words))], np.uint64)
+    if len(_WORDS) > WORDS_HELD:
+        _WORDS.clear()
+    each = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    n = len(words) - shingle + 1
+    h = each[:n].copy()
+    for k in range(1, shingle):
+        h = _mix(h) + each[k : k + n]
+    return np.unique(_mix(h))
+
+
+def _majority(tokens: np.ndarray) -> np.uint64:
+    """SimHash of a set: a bit is 1 if it is set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(tokens), 1 << 16):
+        ones += np.unpackbits(tokens[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(tokens), bitorder="little").view(np.uint64)[0]
 
 
 def _sets(shingle: int, pattern: str):
@@ -54,7 +89,8 @@ def _sets(shingle: int, pattern: str):
                 raw = [s.tobytes() for s in sets]
                 sketch = np.stack([np.packbits((np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64) for s in sets])
                 fps = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)), pa.array(raw, pa.binary())], names=[c.split()[0] for c in _SETS.split(", ")])
+                sims = np.array([_majority(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps), pa.array(sims), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)), pa.array(raw, pa.binary())], names=[c.split()[0] for c in _SETS.split(", ")])
 
     return run
 
@@ -112,35 +148,37 @@ def _several(rows: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rows], names=["token", "fp", "n", "pos"])
 
 
-def _pairs(least: float, leaders: bool):
-    """Lists of (fp, n, pos, root) -> a < b: each with a leader, or all of different roots, within the bounds of size and position."""
+def _pairs(least: float):
+    """Lists of sets that meet in a token -> a < b: all of different roots within the bounds of size, position and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, waiting = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                fp, n, pos, root = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(4))
-                which, of = batch.column(4)[i].as_py(), batch.column(5)[i].as_py()
+                members, across = batch.column(0)[i].values, batch.column(1)[i].as_py()
+                fp, n, pos, root, cut, *sketch = (members.field(k).to_numpy(zero_copy_only=False) for k in range(9))
                 order = np.lexsort((fp, n))
-                fp, n, pos, root = fp[order], n[order].astype(np.int64), pos[order].astype(np.int64), root[order]
-                to = np.searchsorted(n, n / least + 1e-9, side="right")
-                # a leader meets all of its list; leaders are least by fp, a hash, so lists of one family tend to agree on them
-                mine = np.unique([(fp * m).argmin() for m in LEADERS]) if leaders else np.arange(which, len(fp), of)
-                begin = np.searchsorted(n, n * least - 1e-9) if leaders else np.arange(len(fp)) + 1
-                ends = np.cumsum(to[mine] - begin[mine])
+                fp, n, pos, root, cut = fp[order], n[order].astype(np.int64), pos[order].astype(np.int64), root[order], cut[order]
+                sketch = np.stack(sketch, 1)[order].view(np.uint64)
+                reach = np.searchsorted(n, n / least + 1e-9, side="right") - np.arange(len(fp)) - 1
+                ends = np.cumsum(reach)
                 a = 0
-                while a < len(mine):
+                while a < len(fp):
                     z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, side="right")))
-                    own = mine[a:z]
-                    reps = to[own] - begin[own]
-                    x = np.repeat(own, reps)
-                    y = np.repeat(begin[own], reps) + np.arange(len(x)) - np.repeat(np.cumsum(reps) - reps, reps)
-                    most = np.minimum(n[x] - pos[x], n[y] - pos[y])
-                    good = (root[x] != root[y]) & (most >= least / (1 + least) * (n[x] + n[y]) - 1e-9)
+                    reps = reach[a:z]
+                    x = np.repeat(np.arange(a, z), reps)
+                    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(reps) - reps, reps)
+                    a = z
+                    good = root[x] != root[y]
+                    if across:
+                        good &= cut[x] != cut[y]
+                    x, y = x[good], y[good]
+                    both = n[x] + n[y]
+                    good = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= least / (1 + least) * both - 1e-9
+                    good[good] = np.bitwise_count(sketch[x[good]] ^ sketch[y[good]]).sum(1, dtype=np.int64) <= (1 - least) / (1 + least) * both[good] + 1e-9
                     x, y = fp[x[good]], fp[y[good]]
                     out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
                     waiting += len(x)
-                    a = z
                     if waiting > CHUNK:
                         yield table(out)
                         out, waiting = [], 0
@@ -148,11 +186,8 @@ def _pairs(least: float, leaders: bool):
             yield table(out)
 
     def table(out: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.concatenate(out)
-        both = both[np.lexsort((both[:, 1], both[:, 0]))]
-        fresh = np.ones(len(both), bool)
-        fresh[1:] = (both[1:] != both[:-1]).any(1)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[fresh, k])) for k in (0, 1)], names=["a", "b"])
+        both = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -174,40 +209,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs of fp whose sets have a similarity of ``least`` or more."""
     pairs = stored(pairs.distinct(), "jaccard-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    known = stored(sets.drop("doc_id", "th").join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "jaccard-ends")
-    sketch = known.select("fp", F.struct("n", "s0", "s1", "s2", "s3").alias("k"))
-    both = pairs.join(sketch.toDF("a", "ka"), "a").join(sketch.toDF("b", "kb"), "b")
-    apart = sum(F.bit_count(F.col(f"ka.s{k}").bitwiseXOR(F.col(f"kb.s{k}"))) for k in range(4))
-    both = both.where(apart <= F.lit((1 - least) / (1 + least)) * (F.col("ka.n") + F.col("kb.n")) + 1e-9).select("a", "b")
-    both = stored(both, "jaccard-close")
-    tokens = known.select("fp", "tokens")
-    return stored(both.join(tokens.toDF("a", "x"), "a").join(tokens.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a long, b long"), "jaccard-links")
+    tokens = stored(sets.select("fp", "tokens").join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "jaccard-ends")
+    links = stored(pairs.join(tokens.toDF("a", "x"), "a").join(tokens.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a long, b long"), "jaccard-links")
+    discard(pairs, tokens)
+    return links
+
 
+def _close(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sizes and parity sketches allow the similarity."""
+    k = known.select("fp", F.struct("n", *_SKETCH).alias("k"))
+    both = pairs.join(k.toDF("a", "ka"), "a").join(k.toDF("b", "kb"), "b")
+    apart = sum(F.bit_count(F.col(f"ka.{s}").bitwiseXOR(F.col(f"kb.{s}"))) for s in _SKETCH)
+    return both.where(apart <= F.lit((1 - least) / (1 + least)) * (F.col("ka.n") + F.col("kb.n")) + 1e-9).select("a", "b")
 
-def similar(docs: DataFrame, least: float, shingle: int, word: str = _WORD.pattern) -> DataFrame:
+
+def similar(docs: DataFrame, least: float, shingle: int, word: str = _WORD.pattern, radius: int = simhash.RADIUS, parts: int | None = None, accept: int = ACCEPT) -> DataFrame:
     """doc_id, th (hash of the text), fp (hash of its shingle set), root (the group) for every row."""
     spark = docs.sparkSession
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(_sets(shingle, word), _SETS), "jaccard-sets")
+    known = stored(sets.select("fp", "sim", "n", *_SKETCH).dropDuplicates(["fp"]), "jaccard-known")
+
+    # 1. SimHash: links of fingerprints, and of the sets that share one, stand for pairs of sets
+    first = stored(known.groupBy("sim").agg(F.min("fp").alias("rep")), "jaccard-sims")
+    met = simhash.links(first.select(F.col("sim").alias("fp")), radius, parts, accept=accept)
+    apart = met.join(first.toDF("a", "ra"), "a").join(first.toDF("b", "rb"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    same = known.join(first, "sim").where("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
+    links = _verified(_close(apart.union(same), known, least), sets, least)
+    member = stored(components(links), "jaccard-member")
+
+    # 2. prefixes, for the pairs that these groups don't hold
     part = sets.where(F.pmod(F.xxhash64("fp"), F.lit(PART)) == 0).select("tokens").mapInArrow(_counts, "token long, n long")
     often = part.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(ORDERED).toArrow()
-    known, freq = (often.column(k).to_numpy() for k in ("token", "n"))
-    by = np.argsort(known)
-    order = spark.sparkContext.broadcast((known[by], freq[by]))
+    token, freq = (often.column(k).to_numpy() for k in ("token", "n"))
+    by = np.argsort(token)
+    order = spark.sparkContext.broadcast((token[by], freq[by]))
     postings = sets.select("fp", "tokens", "n").mapInArrow(_prefixes(order, least), _POSTINGS)
     live = stored(postings.repartition(wide, "token").sortWithinPartitions("token", "fp").mapInArrow(_shared, _POSTINGS), "jaccard-postings")
-
-    def pairs(rows: DataFrame, leaders: bool) -> DataFrame:
-        m = rows.groupBy("token").agg(F.collect_list(F.struct("fp", "n", "pos", "root")).alias("m"))
-        slices = F.lit(1) if leaders else F.ceil(F.size("m") / SLICE).cast("int")
-        m = m.where(F.size("m") > 1).select("m", slices.alias("of")).select("m", "of", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("which"))
-        if not leaders:
-            m = m.repartition(wide)
-        return m.select("m.fp", "m.n", "m.pos", "m.root", "which", "of").mapInArrow(_pairs(least, leaders), "a long, b long")
-
-    links = _verified(pairs(live.withColumn("root", F.col("fp")), True), sets, least)
-    member = stored(components(links), "jaccard-member")
-    joined = live.join(member, live.fp == member.node, "left").select("token", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
-    more = _verified(pairs(joined, False), sets, least)
+    # a crowded token is dealt in blocks, and each pair of its blocks is a list of its own
+    crowded = live.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > SLICE).select(F.col("token").alias("hot"), F.ceil(F.col("c") / SLICE).cast("int").alias("cuts"))
+    rows = live.join(member, live.fp == member.node, "left").join(known.select(F.col("fp").alias("of"), *_SKETCH), F.col("fp") == F.col("of"))
+    rows = rows.join(crowded, F.col("token") == F.col("hot"), "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    rows = rows.withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    lists = rows.groupBy("token", F.least("cut", "other").alias("low"), F.greatest("cut", "other").alias("high")).agg(F.collect_list(F.struct("fp", "n", "pos", F.coalesce("root", "fp").alias("root"), "cut", *_SKETCH)).alias("m"))
+    lists = lists.where(F.size("m") > 1).select("m", (F.col("low") < F.col("high")).alias("across"))
+    more = _verified(lists.mapInArrow(_pairs(least), "a long, b long"), sets, least)
     member = components(member.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    return sets.select("doc_id", "th", "fp").join(member, F.col("fp") == F.col("node"), "left").select("doc_id", "th", "fp", F.coalesce("root", "fp").alias("root"))
+    out = stored(sets.select("doc_id", "th", "fp").join(member, F.col("fp") == F.col("node"), "left").select("doc_id", "th", "fp", F.coalesce("root", "fp").alias("root")), "jaccard-roots")
+    discard(sets, known, first, live)
+    return out

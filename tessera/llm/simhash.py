@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stored, table
 
-RADIUS, PARTS, BLOCK, SHINGLE, SEED = 3, 4, 512, 3, 42
+RADIUS, PARTS, WIDER, BLOCK, SHINGLE, SEED = 3, 4, 30_000_000, 512, 3, 42
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _SLICE = 1 << 17
@@ -42,67 +42,30 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_LOWER)
 
 
-def _remixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes for further fingerprint k by the SplitMix64 finaliser; k = 0 leaves them as they are."""
-    if not k:
-        return hashes
-    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def fingerprint_set(text: str, shingle: int = SHINGLE, word: re.Pattern = _WORD, prints: int = 1) -> list[int]:
-    """``prints`` fingerprints of one text whose errors are independent; the first is ``fingerprint``."""
+def fingerprint(text: str, shingle: int = SHINGLE, word: re.Pattern = _WORD) -> int:
+    """Bitwise majority of the XXH64 of the shingles of one text, repeats included; 0 without words."""
     words = word.findall(lower_ascii(text))
     if not words:
-        return [0] * prints
-    n, ones, digest = max(1, len(words) - shingle + 1), np.zeros((prints, 64), np.int64), xxhash.xxh64_intdigest
+        return 0
+    n, ones, digest = max(1, len(words) - shingle + 1), np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for a in range(0, n, _SLICE):
         b = min(n, a + _SLICE)
         runs = zip(*(words[a + k : b + k] for k in range(shingle)), strict=True) if len(words) >= shingle else [words]
         hashes = np.fromiter((digest(" ".join(r).encode("utf-8", "surrogatepass"), SEED) for r in runs), np.uint64, b - a)
-        for k in range(prints):
-            ones[k] += np.unpackbits(_remixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
-
-
-def fingerprint(text: str, shingle: int = SHINGLE, word: re.Pattern = _WORD) -> int:
-    return fingerprint_set(text, shingle, word)[0]
-
-
-def _fp_names(prints: int) -> list[str]:
-    return ["fp", *(f"fp_{k}" for k in range(1, prints))]
-
-
-def _fingerprints(shingle: int, word: str, prints: int):
-    pattern = re.compile(word)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.array([fingerprint_set(t or "", shingle, pattern, prints) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, prints).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(values[:, k]) for k in range(prints))], names=["doc_id", *_fp_names(prints)])
-
-    return run
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, word: str = _WORD.pattern, prints: int = 1) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), then fp_1, fp_2 and so on for further ``prints``."""
-    schema = ", ".join(["doc_id long", *(f"{n} long" for n in _fp_names(prints))])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(shingle, word, prints), schema)
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprinted(docs: DataFrame, shingle: int = SHINGLE, word: str = _WORD.pattern) -> DataFrame:
-    """All columns of docs with their fingerprint as _fp."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, word: str = _WORD.pattern) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long)."""
     pattern = re.compile(word)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t or "", shingle, pattern) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64))], names=[*batch.schema.names, "_fp"])
+            values = np.array([fingerprint(t or "", shingle, pattern) for t in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, _fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def bit_groups(fps: DataFrame, parts: int = PARTS) -> list[list[int]]:
@@ -202,13 +165,15 @@ def allocate(tables: list[np.ndarray], values: list[np.ndarray], radius: int) ->
 
 
 def _rows(groups: list[list[int]], counts, radius: int, block: int, probing: bool):
-    """fp -> (fp, part, own, value, cut): its own part values, or the values that it probes.
+    """fp -> (fp, part, own, value, cut, lists): its own part values, or the values that it probes.
 
-    cut spreads the fingerprints of one own value over lists of about ``block`` members.
+    cut spreads the fingerprints of one own value over lists of about ``block`` members; ``lists`` says
+    how many of them the value has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = allocations(counts.value, radius) if probing else None
+        lists = [np.ceil(c / block).astype(np.int32) for c in counts.value]
         masks = [_masks(len(g), 2) for g in groups]
         for batch in batches:
             raw = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -217,11 +182,13 @@ def _rows(groups: list[list[int]], counts, radius: int, block: int, probing: boo
             chosen = allocate(tables, values, radius) if probing else np.zeros((len(groups), len(raw)), np.int64)
             mixed = (fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for i, at in enumerate(values):
-                cut = (mixed % np.maximum(1, np.ceil(counts.value[i][at] / block)).astype(np.uint64)).astype(np.int32)
+                cut = (mixed % np.maximum(1, lists[i][at]).astype(np.uint64)).astype(np.int32)
                 for t in range(3):
-                    who = np.flatnonzero(chosen[i] >= t)
-                    for m in masks[i][t] if len(who) else ():
-                        yield pa.RecordBatch.from_pydict({"fp": pa.array(raw[who]), "part": pa.array(np.full(len(who), i, np.int32)), "own": pa.array(at[who].astype(np.int32)), "value": pa.array((at[who] ^ m).astype(np.int32)), "cut": pa.array(cut[who])})
+                    probing_at = np.flatnonzero(chosen[i] >= t)
+                    for m in masks[i][t] if len(probing_at) else ():
+                        who = probing_at[lists[i][at[probing_at] ^ m] > 0]  # a value that no fingerprint has needs no probe
+                        if len(who):
+                            yield pa.RecordBatch.from_pydict({"fp": pa.array(raw[who]), "part": pa.array(np.full(len(who), i, np.int32)), "own": pa.array(at[who].astype(np.int32)), "value": pa.array((at[who] ^ m).astype(np.int32)), "cut": pa.array(cut[who]), "lists": pa.array(lists[i][at[who] ^ m])})
 
     return run
 
@@ -281,12 +248,17 @@ def _links(accept: int):
     return compare
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, block: int = BLOCK, accept: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, parts: int | None = None, block: int = BLOCK, accept: int | None = None) -> DataFrame:
     """a < b, apart: links that connect everything within ``radius``, each once. ``distinct``: one row per fp.
 
-    ``accept`` over ``radius`` also keeps wider pairs among the candidates; those are not guaranteed.
+    ``accept`` over ``radius`` also keeps wider pairs among the candidates; those are not guaranteed. Without
+    ``parts`` there are four, of 16 bits, up to ``WIDER`` fingerprints, and beyond that three, of 21 or 22 bits.
     """
     spark = distinct.sparkSession
+    if parts is None:
+        parts = PARTS if distinct.count() <= WIDER else 3
+    if radius > 3 * parts - 1:
+        raise ValueError(f"{parts} parts with thresholds of at most 2 can't cover a radius of {radius}")
     groups = bit_groups(distinct, parts)
     own = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), _value_column(g).alias("value")) for i, g in enumerate(groups)])).alias("k")
     sized = distinct.select(own).select("k.part", "k.value").groupBy("part", "value").agg(F.count("*").alias("n"))
@@ -298,11 +270,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, block:
     spread = distinct.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
 
     def blocks(name: str, probing: bool) -> DataFrame:
-        rows = spread.mapInArrow(_rows(groups, bc, radius, block, probing), "fp long, part int, own int, value int, cut int")
-        return rows.groupBy("part", "value", "own", "cut").agg(F.collect_list("fp").alias(name)).drop("own", "cut")
+        rows = spread.mapInArrow(_rows(groups, bc, radius, block, probing), "fp long, part int, own int, value int, cut int, lists int")
+        return rows.groupBy("part", "value", "own", "cut").agg(F.collect_list("fp").alias(name), F.first("lists").alias("lists"))
 
+    # each list of probes meets each list of the value under a key of its own, so a crowded value is many keys
+    left = blocks("left", True).select("part", "value", "left", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("cut"))
+    right = blocks("right", False).select("part", "value", "cut", "right")
     # a row gives many probes, which size estimates do not see, so broadcasting is ruled out
-    met = blocks("left", True).hint("merge").join(blocks("right", False).hint("merge"), ["part", "value"])
+    met = left.hint("merge").join(right.hint("merge"), ["part", "value", "cut"])
     met = met.where((F.size("left") > 1) | (F.size("right") > 1) | (F.col("left")[0] != F.col("right")[0]))
     found = met.select("left", "right").mapInArrow(_links(radius if accept is None else accept), "a long, b long, apart int")
     # a crowded part value meets in many block pairs, and each of them may give the same link either way round
@@ -330,12 +305,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS, shingle: int = SHINGLE, word: str = _WORD.pattern, least: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, parts: int | None = None, shingle: int = SHINGLE, word: str = _WORD.pattern, least: float | None = None) -> DataFrame:
     """doc_id, fp, component_id for every row. With ``least``, links are all pairs of that Jaccard similarity, and fp stands for the shingle set."""
     if least is not None:
         from tessera.llm import jaccard
 
-        named = stored(jaccard.similar(docs, least, shingle, word), "near-roots")
+        named = jaccard.similar(docs, least, shingle, word, radius, parts)
         first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         return named.join(first, "root").select("doc_id", "fp", "component_id")
     fps = stored(fingerprints(docs, shingle, word), "simhash")
