@@ -27,7 +27,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document of smallest doc_id (then hash of text) stays, once; NULL ids come last."""
-    found = stored(jaccard.similar(docs, **NEAR), "near-roots")
+    found = jaccard.similar(docs, **NEAR)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("m")).select(F.col("m.doc_id").alias("first_id"), F.col("m.th").alias("first_th"))
     rows = found.groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
     chosen = stored(first.join(rows, F.col("first_id").eqNullSafe(F.col("doc_id")) & (F.col("first_th") == F.col("th"))).select("first_id", "first_th", "rows"), "near-chosen")
