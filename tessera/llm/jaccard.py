@@ -10,6 +10,7 @@ and both hand their pairs to the same check of the sets:
    among the first n - ceil(least n) + 1 of each, in any order common to all sets. The order puts shingles that are
    frequent in a part of the rows last, so the prefixes hold rare ones; it decides cost only. Pairs that meet are cut
    by bounds that no similar pair breaks: sizes, positions, and the bits in which two parity sketches differ.
+   Of what is left each set is first compared with its least partner, then all pairs of groups that still differ.
 
 The second search is complete by itself, so what the first one misses or leaves out of its forest is not lost.
 Shingles and sets are told apart by 64-bit hashes. NULL text counts as empty; texts without words share one set.
@@ -32,8 +33,9 @@ from tessera.llm.common import discard, stored
 from tessera.llm.simhash import _WORD, components, lower_ascii
 
 PART, FREQUENT, ORDERED, SLICE, CHUNK, WORDS_HELD, ACCEPT = 8, 3, 1_000_000, 2048, 500_000, 500_000, 14
+SKETCH_BITS, FILTER_BITS = 2048, 1 << 27
 _SKETCH = ("s0", "s1", "s2", "s3")
-_SETS = "doc_id long, th long, fp long, sim long, n int, s0 long, s1 long, s2 long, s3 long, tokens binary"
+_SETS = "doc_id long, th long, row long, fp long, sim long, n int, s0 long, s1 long, s2 long, s3 long, sketch binary, prefix binary"
 _POSTINGS = "token long, fp long, n int, pos int"
 
 
@@ -78,46 +80,73 @@ def _majority(tokens: np.ndarray) -> np.uint64:
     return np.packbits(ones * 2 > len(tokens), bitorder="little").view(np.uint64)[0]
 
 
-def _sets(shingle: int, pattern: str):
+def _parity(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Which of ``bits`` places get an odd number of tokens. Sketches differ in at most as many bits as sets in elements."""
+    return np.packbits((np.bincount((tokens >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8))
+
+
+def _sets(shingle: int, pattern: str, order, least: float):
     word = re.compile(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [shingle_set(t, shingle, word) for t in part.column(2).to_pylist()]
-                raw = [s.tobytes() for s in sets]
-                sketch = np.stack([np.packbits((np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64) for s in sets])
-                fps = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)
+                sets = [shingle_set(t, shingle, word) for t in part.column(3).to_pylist()]
+                small = np.stack([_parity(s, 256).view(np.int64) for s in sets])
+                fps = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 sims = np.array([_majority(s) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps), pa.array(sims), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)), pa.array(raw, pa.binary())], names=[c.split()[0] for c in _SETS.split(", ")])
+                columns = [*part.columns[:3], pa.array(fps), pa.array(sims), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(small[:, k])) for k in range(4))]
+                columns += [pa.array([_parity(s, SKETCH_BITS).tobytes() for s in sets], pa.binary()), pa.array([_prefix(s.view(np.int64), order.value, least).tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SETS.split(", ")])
 
     return run
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefix(tokens: np.ndarray, order: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first n - ceil(least n) + 1 tokens, in the order of their known frequency, then of their value."""
+    known, freq = order
+    if len(known):
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        tokens = tokens[np.lexsort((tokens, np.where(known[at] == tokens, freq[at], 0)))]
+    return tokens[: len(tokens) - math.ceil(least * len(tokens) - 1e-9) + 1]
+
+
+def _counts(shingle: int, pattern: str):
+    word = re.compile(pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle, word) for t in batch.column(0).to_pylist()]
+            tokens, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"token": pa.array(tokens), "n": pa.array(n.astype(np.int64))})
+
+    return run
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tokens, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
-        yield pa.RecordBatch.from_pydict({"token": pa.array(tokens), "n": pa.array(n.astype(np.int64))})
+        raw = batch.column(1).to_pylist()
+        sizes = np.array([len(r) // 8 for r in raw], np.int64)
+        who = np.repeat(np.arange(len(sizes)), sizes)
+        pos = np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        fps, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(fps[who]), pa.array(n[who]), pa.array(pos.astype(np.int32))], names=["token", "fp", "n", "pos"])
+
 
+def _tokens(shingle: int, pattern: str, wanted):
+    """Rows (row, text) that pass the filter -> (fp, tokens)."""
+    word = re.compile(pattern)
 
-def _prefixes(order, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, freq = order.value
+        bits = wanted.value
         for batch in batches:
-            out, sizes = [], []
-            for raw in batch.column(1).to_pylist():
-                s = np.frombuffer(raw, np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.lexsort((s, np.where(known[at] == s, freq[at], 0)))]
-                sizes.append(len(s) - math.ceil(least * len(s) - 1e-9) + 1)
-                out.append(s[: sizes[-1]])
-            sizes = np.array(sizes, np.int64)
-            who = np.repeat(np.arange(len(sizes)), sizes)
-            pos = np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            fps, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *out])), pa.array(fps[who]), pa.array(n[who]), pa.array(pos.astype(np.int32))], names=["token", "fp", "n", "pos"])
+            at = batch.column(0).to_numpy(zero_copy_only=False) & (64 * len(bits) - 1)
+            some = np.flatnonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            texts = batch.column(1).take(pa.array(some))
+            for k in range(0, len(some), 500):
+                raw = [shingle_set(t, shingle, word).tobytes() for t in texts.slice(k, 500).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"fp": pa.array(np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)), "tokens": pa.array(raw, pa.binary())})
 
     return run
 
@@ -154,34 +183,35 @@ def _pairs(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, waiting = [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                members, across = batch.column(0)[i].values, batch.column(1)[i].as_py()
-                fp, n, pos, root, cut, *sketch = (members.field(k).to_numpy(zero_copy_only=False) for k in range(9))
-                order = np.lexsort((fp, n))
-                fp, n, pos, root, cut = fp[order], n[order].astype(np.int64), pos[order].astype(np.int64), root[order], cut[order]
-                sketch = np.stack(sketch, 1)[order].view(np.uint64)
-                reach = np.searchsorted(n, n / least + 1e-9, side="right") - np.arange(len(fp)) - 1
-                ends = np.cumsum(reach)
-                a = 0
-                while a < len(fp):
-                    z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, side="right")))
-                    reps = reach[a:z]
-                    x = np.repeat(np.arange(a, z), reps)
-                    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(reps) - reps, reps)
-                    a = z
-                    good = root[x] != root[y]
-                    if across:
-                        good &= cut[x] != cut[y]
-                    x, y = x[good], y[good]
-                    both = n[x] + n[y]
-                    good = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= least / (1 + least) * both - 1e-9
-                    good[good] = np.bitwise_count(sketch[x[good]] ^ sketch[y[good]]).sum(1, dtype=np.int64) <= (1 - least) / (1 + least) * both[good] + 1e-9
-                    x, y = fp[x[good]], fp[y[good]]
-                    out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-                    waiting += len(x)
-                    if waiting > CHUNK:
-                        yield table(out)
-                        out, waiting = [], 0
+            lists = batch.column(0)
+            at = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))  # whose member a row is
+            members, across = lists.flatten(), batch.column(1).to_numpy(zero_copy_only=False)[at]
+            fp, n, pos, root, cut, *sketch = (members.field(k).to_numpy(zero_copy_only=False) for k in range(9))
+            order = np.lexsort((fp, n, at))
+            at, across, fp, root, cut = at[order], across[order], fp[order], root[order], cut[order]
+            n, pos, sketch = n[order].astype(np.int64), pos[order].astype(np.int64), np.stack(sketch, 1)[order].view(np.uint64)
+            # partners follow in the same list, up to the largest size that can be similar
+            place = at.astype(np.int64) << 32
+            reach = np.searchsorted(place + n, place + np.floor(n / least + 1e-9).astype(np.int64), side="right") - np.arange(len(fp)) - 1
+            ends = np.cumsum(reach)
+            a = 0
+            while a < len(fp):
+                z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, side="right")))
+                reps = reach[a:z]
+                x = np.repeat(np.arange(a, z), reps)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(reps) - reps, reps)
+                a = z
+                good = (root[x] != root[y]) & (~across[x] | (cut[x] != cut[y]))
+                x, y = x[good], y[good]
+                both = n[x] + n[y]
+                good = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= least / (1 + least) * both - 1e-9
+                good[good] = np.bitwise_count(sketch[x[good]] ^ sketch[y[good]]).sum(1, dtype=np.int64) <= (1 - least) / (1 + least) * both[good] + 1e-9
+                x, y = fp[x[good]], fp[y[good]]
+                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                waiting += len(x)
+                if waiting > CHUNK:
+                    yield table(out)
+                    out, waiting = [], 0
         if waiting:
             yield table(out)
 
@@ -205,46 +235,81 @@ def _similar(least: float):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs of fp whose sets have a similarity of ``least`` or more."""
-    pairs = stored(pairs.distinct(), "jaccard-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    tokens = stored(sets.select("fp", "tokens").join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "jaccard-ends")
-    links = stored(pairs.join(tokens.toDF("a", "x"), "a").join(tokens.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a long, b long"), "jaccard-links")
-    discard(pairs, tokens)
-    return links
+def _near(least: float):
+    """Pairs with sizes and wide sketches -> those whose sketches allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (3, 4))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            good = apart <= (1 - least) / (1 + least) * batch.column(2).to_numpy(zero_copy_only=False) + 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def _bits(rows: DataFrame) -> np.ndarray:
+    """A filter of row keys, at most ``FILTER_BITS`` wide: beyond that it lets more rows through, never fewer."""
+    size = 1 << 12
+    while size < min(FILTER_BITS, 16 * rows.count()):
+        size *= 2
+    at = F.col("row").bitwiseAND(F.lit(size - 1))
+    one = F.expr("shiftleft(1L, cast(row & 63 AS INT))")
+    got = rows.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+class _Check:
+    """Decides candidate pairs of sets, first by sketches, then by the sets, which are cut anew from the texts of the pairs alone."""
+
+    def __init__(self, docs: DataFrame, known: DataFrame, least: float, shingle: int, word: str):
+        self.docs, self.known, self.least, self.shingle, self.word = docs, known, least, shingle, word
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        k = self.known.select("fp", "n", "sketch")
+        both = pairs.distinct().join(k.toDF("a", "na", "x"), "a").join(k.toDF("b", "nb", "y"), "b")
+        return stored(both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y").mapInArrow(_near(self.least), "a long, b long"), "jaccard-near")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        rows = stored(self.known.select("fp", "row").join(ends, "fp", "left_semi"), "jaccard-ends")
+        wanted = self.docs.sparkSession.sparkContext.broadcast(_bits(rows))
+        tokens = self.docs.select(_row_key(), "text").mapInArrow(_tokens(self.shingle, self.word, wanted), "fp long, tokens binary")
+        tokens = stored(tokens.join(rows.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "jaccard-tokens")
+        links = stored(pairs.join(tokens.toDF("a", "x"), "a").join(tokens.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(self.least), "a long, b long"), "jaccard-links")
+        discard(rows, tokens)
+        return links
 
 
-def _close(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sizes and parity sketches allow the similarity."""
-    k = known.select("fp", F.struct("n", *_SKETCH).alias("k"))
-    both = pairs.join(k.toDF("a", "ka"), "a").join(k.toDF("b", "kb"), "b")
-    apart = sum(F.bit_count(F.col(f"ka.{s}").bitwiseXOR(F.col(f"kb.{s}"))) for s in _SKETCH)
-    return both.where(apart <= F.lit((1 - least) / (1 + least)) * (F.col("ka.n") + F.col("kb.n")) + 1e-9).select("a", "b")
+def _row_key():
+    return F.xxhash64("doc_id", "text").alias("row")
 
 
 def similar(docs: DataFrame, least: float, shingle: int, word: str = _WORD.pattern, radius: int = simhash.RADIUS, parts: int | None = None, accept: int = ACCEPT) -> DataFrame:
     """doc_id, th (hash of the text), fp (hash of its shingle set), root (the group) for every row."""
     spark = docs.sparkSession
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(_sets(shingle, word), _SETS), "jaccard-sets")
-    known = stored(sets.select("fp", "sim", "n", *_SKETCH).dropDuplicates(["fp"]), "jaccard-known")
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0).select("text").mapInArrow(_counts(shingle, word), "token long, n long")
+    often = part.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(ORDERED).toArrow()
+    token, freq = (often.column(k).to_numpy() for k in ("token", "n"))
+    by = np.argsort(token)
+    order = spark.sparkContext.broadcast((token[by], freq[by]))
+    sets = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), _row_key(), "text").mapInArrow(_sets(shingle, word, order, least), _SETS), "jaccard-sets")
+    once = sets.groupBy("fp").agg(*[F.min(c).alias(c) for c in ("row", "sim", "n", *_SKETCH)])
+    known = stored(once.join(sets.select("row", "sketch").dropDuplicates(["row"]), "row"), "jaccard-known")
+    check = _Check(docs, known, least, shingle, word)
 
     # 1. SimHash: links of fingerprints, and of the sets that share one, stand for pairs of sets
     first = stored(known.groupBy("sim").agg(F.min("fp").alias("rep")), "jaccard-sims")
     met = simhash.links(first.select(F.col("sim").alias("fp")), radius, parts, accept=accept)
     apart = met.join(first.toDF("a", "ra"), "a").join(first.toDF("b", "rb"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     same = known.join(first, "sim").where("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
-    links = _verified(_close(apart.union(same), known, least), sets, least)
-    member = stored(components(links), "jaccard-member")
+    member = stored(components(check.links(check.near(apart.union(same)))), "jaccard-member")
 
     # 2. prefixes, for the pairs that these groups don't hold
-    part = sets.where(F.pmod(F.xxhash64("fp"), F.lit(PART)) == 0).select("tokens").mapInArrow(_counts, "token long, n long")
-    often = part.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(ORDERED).toArrow()
-    token, freq = (often.column(k).to_numpy() for k in ("token", "n"))
-    by = np.argsort(token)
-    order = spark.sparkContext.broadcast((token[by], freq[by]))
-    postings = sets.select("fp", "tokens", "n").mapInArrow(_prefixes(order, least), _POSTINGS)
+    postings = sets.select("fp", "prefix", "n").mapInArrow(_postings, _POSTINGS)
     live = stored(postings.repartition(wide, "token").sortWithinPartitions("token", "fp").mapInArrow(_shared, _POSTINGS), "jaccard-postings")
     # a crowded token is dealt in blocks, and each pair of its blocks is a list of its own
     crowded = live.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > SLICE).select(F.col("token").alias("hot"), F.ceil(F.col("c") / SLICE).cast("int").alias("cuts"))
@@ -253,8 +318,15 @@ def similar(docs: DataFrame, least: float, shingle: int, word: str = _WORD.patte
     rows = rows.withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     lists = rows.groupBy("token", F.least("cut", "other").alias("low"), F.greatest("cut", "other").alias("high")).agg(F.collect_list(F.struct("fp", "n", "pos", F.coalesce("root", "fp").alias("root"), "cut", *_SKETCH)).alias("m"))
     lists = lists.where(F.size("m") > 1).select("m", (F.col("low") < F.col("high")).alias("across"))
-    more = _verified(lists.mapInArrow(_pairs(least), "a long, b long"), sets, least)
-    member = components(member.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    pairs = check.near(lists.mapInArrow(_pairs(least), "a long, b long"))
+    # each set with its least partner first: that joins most of a crowded family, and only pairs of different groups are left
+    least_of = pairs.groupBy("a").agg(F.min("b").alias("b")).union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct()
+    member = stored(components(check.links(stored(least_of, "jaccard-least")).union(member.toDF("a", "b"))), "jaccard-member")
+    at = member.toDF("of", "root")
+    rest = pairs.join(at.toDF("a", "ra"), "a", "left").join(at.toDF("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    rest = stored(rest, "jaccard-rest")
+    if not rest.isEmpty():
+        member = stored(components(check.links(rest).union(member.toDF("a", "b"))), "jaccard-member")
     out = stored(sets.select("doc_id", "th", "fp").join(member, F.col("fp") == F.col("node"), "left").select("doc_id", "th", "fp", F.coalesce("root", "fp").alias("root")), "jaccard-roots")
-    discard(sets, known, first, live)
+    discard(sets, known, first, live, pairs, rest)
     return out
