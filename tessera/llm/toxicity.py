@@ -3,7 +3,8 @@
 Folding lowers, maps homoglyphs to ASCII letters and digit substitutions to the letters that they
 stand for, so disguised terms meet the lexicon. The lexicon is learned: a term's weight is the
 log odds of its document rate in toxic over clean labelled documents; it needs enough toxic
-documents, a clear excess and many different neighbours (copies of one text repeat the same
+documents, an excess that chance does not explain (a likelihood-ratio test at ``ERRORS`` over all words
+tested, which holds for small samples too) and many different neighbours (copies of one text repeat the same
 ones). Exception phrases, a term with the word before or after it that clean documents use as
 much as toxic ones, cancel the term inside them. The score is a logistic function of the weight
 found, plain and per word of the text.
@@ -19,6 +20,8 @@ of both classes every score is 0; an empty table gives no rows; extra columns ar
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_mod, stored, table, unit_draw
 
-ROWS_PER_CLASS, MIN_DOCS, MIN_ODDS, MIN_Z, MIN_SPREAD, MAX_TERMS, SEED = 6000, 5, 4.0, 4.0, 0.25, 5000, 5
+ROWS_PER_CLASS, MIN_DOCS, MIN_ODDS, ERRORS, MIN_SPREAD, SEED = 6000, 5, 4.0, 0.05, 0.25, 5
 
 # Look-alike characters and the digits and signs that replace letters.
 HOMOGLYPHS = {"а": "a", "ɑ": "a", "α": "a", "в": "b", "с": "c", "ϲ": "c", "ԁ": "d", "е": "e", "ε": "e", "ɡ": "g", "һ": "h", "н": "h", "і": "i", "ι": "i", "ı": "i", "ј": "j", "κ": "k", "к": "k", "ӏ": "l", "м": "m", "ո": "n", "о": "o", "ο": "o", "р": "p", "ρ": "p", "ԛ": "q", "г": "r", "ѕ": "s", "т": "t", "τ": "t", "υ": "u", "ν": "v", "ѵ": "v", "ԝ": "w", "ω": "w", "х": "x", "χ": "x", "у": "y", "γ": "y", "ᴢ": "z"}
@@ -108,7 +111,10 @@ class Lexicon:
             if (start and t[start - 1].isalnum()) or (end + 1 < len(t) and t[end + 1].isalnum()):
                 continue
             (spared if exception else hits).append((start, end, weight))
-        total = sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in spared))
+        # the furthest end among the exceptions that begin at or before a hit decides whether one covers it
+        spared.sort()
+        begins, reach = [x for x, _, _ in spared], list(itertools.accumulate((y for _, y, _ in spared), max))
+        total = sum(w for a, b, w in hits if not (k := bisect.bisect_right(begins, a)) or reach[k - 1] < b)
         return float(np.log1p(total)), float(np.log1p(100 * total / (20 + t.count(" "))))
 
     def score(self, text: str | None) -> float:
@@ -128,6 +134,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 30, rid
     return tuple(float(v) for v in c)
 
 
+def _log_share(n, docs: int, both, every: int):
+    """What one class adds to the log likelihood ratio of its documents with a word against an equal rate in both."""
+    rest, others = docs - n, every - both
+    part = F.when(n > 0, n * F.log(n * every / (both * docs))).otherwise(0.0)
+    return part + F.when(rest > 0, rest * F.log(rest * every / (others * docs))).otherwise(0.0)
+
+
 def fit(labelled: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Lexicon:
     """labelled(text, toxic 0/1, and if there are: doc_id, weight) -> lexicon."""
     rows = labelled.where("toxic in (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
@@ -145,13 +158,18 @@ def fit(labelled: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Lexicon:
     counted = sample.mapInArrow(_terms, "word string, before string, clean long, toxic long").groupBy("word", "before").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     terms = counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count("before").alias("near"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
-    z = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    good = terms.where(F.col("toxic") >= MIN_DOCS).select("word", odds.alias("odds"), z.alias("z"), "near", "toxic").where((F.col("odds") >= float(np.log(MIN_ODDS))) & (F.col("z") >= MIN_Z) & (F.col("near") >= MIN_DOCS) & (F.col("near") >= MIN_SPREAD * F.col("toxic")))
-    weights = {r["word"]: float(r["odds"]) for r in good.orderBy(F.desc("z"), "word").limit(MAX_TERMS).collect()}
+    both = F.col("toxic") + F.col("clean")
+    ratio = sum(_log_share(F.col(k), n, both, n0 + n1) for k, n in (("toxic", n1), ("clean", n0)))
+    tested = terms.where(F.col("toxic") >= MIN_DOCS).select("word", odds.alias("odds"), ratio.alias("ratio"), "near", "toxic")
+    tested = stored(tested, "toxic-terms")
+    # by chance a word reaches a log likelihood ratio of x with a probability of about exp(-x)
+    enough = float(np.log(max(1, tested.count()) / ERRORS))
+    good = tested.where((F.col("odds") >= float(np.log(MIN_ODDS))) & (F.col("ratio") >= enough) & (F.col("near") >= MIN_DOCS) & (F.col("near") >= MIN_SPREAD * F.col("toxic")))
+    weights = {r["word"]: float(r["odds"]) for r in good.collect()}  # words of the bounded sample that stand out
     if not weights:
         return Lexicon({}, [])
     phrases = sample.mapInArrow(_phrases(frozenset(weights)), "phrase string, toxic int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    exceptions = [r["phrase"] for r in phrases.where((F.col("c") >= MIN_DOCS) & (F.col("c") / n0 >= F.col("t") / n1)).orderBy(F.desc("c"), "phrase").limit(MAX_TERMS).collect()]
+    exceptions = [r["phrase"] for r in phrases.where((F.col("c") >= MIN_DOCS) & (F.col("c") / n0 >= F.col("t") / n1)).collect()]
     lexicon = Lexicon(weights, exceptions)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +189,7 @@ def _scorer(shared):
         for batch in batches:
             score = np.array([lexicon.score(t) for t in batch.column("text").to_pylist()], np.float64)
             names = batch.schema.names
-            kept = [c for c in names if c != "_scored"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
     return run
 
@@ -184,6 +201,18 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.mapInArrow(_scorer(shared), f"{fields}, score double, predicted int")
 
 
+def clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of docs, with the columns that they have, whose text scores under 0.5. One pass, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
     """doc_id, text, toxic, weight: texts with labels whose crc32(doc_id) mod 5 is not 0.
 
