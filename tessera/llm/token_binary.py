@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +64,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}  # punctuation at the end of a word; apart from the pieces, which follow a space
         self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.letters, self.model = _byte_letters(), self.tokenizer.model
 
@@ -83,10 +85,9 @@ class Encoder:
             if word not in cache:
                 cache[word] = self._model(" " + word)
             if marks:
-                key = "\0" + marks
-                if key not in cache:
-                    cache[key] = self._model(marks)
-                cache[piece] = cache[word] + cache[key]
+                if marks not in self.marks:
+                    self.marks[marks] = self._model(marks)
+                cache[piece] = cache[word] + self.marks[marks]
         for k in range(0, len(odd), 5_000):
             part = odd[k : k + 5_000]
             cache.update(zip(part, self._library([" " + p for p in part]), strict=True))
@@ -101,6 +102,7 @@ class Encoder:
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
+            self.marks.clear()
         out, heads, pieces = [], [], []
         for i, t in enumerate(texts):
             head, *rest = ("",) if i in slow else t.split(" ")
@@ -250,17 +252,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for part in shard.pieces(start, n):
                         crc = zlib.crc32(part.astype("<u4"), crc)
                     crcs.append(crc)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([row["shard"]] * len(crcs), pa.int32()), "doc_id": docs.column(0), "offset": docs.column(1), "n_tokens": docs.column(2), "ids_crc32": pa.array(crcs, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": docs.column(0), "start": pc.add(docs.column(1), row["base"]), "n_tokens": docs.column(2), "ids_crc32": pa.array(crcs, pa.int64()), "shard": pa.array([row["shard"]] * len(crcs), pa.int32())})
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """One row per document, from the files: doc_id, start over all shards, n_tokens, ids_crc32, shard."""
-    spread = manifest.select("shard", "path", "docs_path").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
-    read = spread.mapInArrow(_read, "shard int, doc_id long, offset long, n_tokens long, ids_crc32 long")
-    # one row a shard, so this window is over the file list, never over documents
+    # one row a shard, so this window is over the file list; each shard is read with the ids before it, and documents meet no join
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select(F.col("shard").alias("s"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return read.join(base, read.shard == base.s).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    placed = manifest.select("shard", "path", "docs_path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"))
+    spread = placed.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
+    return spread.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, out: str | None = None, seq_len: int = SEQ_LEN, batch_rows: int = BATCH_ROWS) -> DataFrame:
