@@ -9,7 +9,8 @@ code wins, and the score is the winner's share of 2^-length (the posterior under
 
 Fitting reads a bounded, documented sample: about ``docs_per_lang`` whole documents a language,
 chosen by a hash of id and text, so that a text with many copies is drawn as often as its share
-and not all or nothing. Counting is distributed; the model keeps the ``contexts`` most frequent
+and not all or nothing. Counting is distributed and inside texts, so it is the same under any partitioning;
+the model keeps the ``GRAMS_PER_LANG`` most frequent runs and of them the ``contexts`` most frequent
 contexts of the longest order a language, so it is bounded too. Every document is scored whole.
 
 Defined results: NULL text and text without a letter give ``und`` with score 0, as does everything
@@ -20,11 +21,12 @@ ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_mod, stored, table, unit_draw
@@ -50,10 +52,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.setdefault(lang, []).append(PAD + text.encode("utf-8", "surrogatepass"))
         for lang, parts in texts.items():
             raw = np.frombuffer(b"".join(parts), np.uint8)
+            coded = np.ones(len(raw), bool)  # the padding is context, never a symbol, so no run crosses two texts
+            starts = np.cumsum([0, *map(len, parts[:-1])])
+            for k in range(ORDER):
+                coded[starts + k] = False
             for k in range(0, len(raw) - ORDER, _STEP):
                 b = raw[k : k + _STEP + ORDER].astype(np.uint32)
                 gram = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
-                merge(lang, *np.unique(gram, return_counts=True))
+                merge(lang, *np.unique(gram[coded[k + ORDER : k + ORDER + len(gram)]], return_counts=True))
     for lang, (grams, counts) in held.items():
         yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": pa.array(grams.astype(np.int64)), "n": pa.array(counts.astype(np.int64))})
 
@@ -68,39 +74,31 @@ def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> dict[str, tu
     draw = unit_draw(labelled, SEED)
     grams = rows.where(draw < share).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = stored(grams, "ppm-grams")
-    model = {}
-    for lang in sorted(sizes):
-        most = grams.where(F.col("lang") == lang).select("gram", "n").orderBy(F.desc("n"), "gram").limit(GRAMS_PER_LANG).toPandas()
-        if len(most):
-            model[lang] = (most["gram"].to_numpy(np.int64), most["n"].to_numpy(np.float64))
-    return model
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    most = grams.withColumn("rank", rank).where(F.col("rank") <= GRAMS_PER_LANG).select("lang", "gram", "n").toPandas()
+    return {lang: (own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.float64)) for lang, own in most.groupby("lang")}
 
 
-class Tree:
-    """All languages' context trees over one shared set of contexts, as a table state x byte -> bits."""
+class Table:
+    """One language's context tree as a table state x byte -> bits, over contexts that the language has."""
 
-    def __init__(self, model: dict[str, tuple[np.ndarray, np.ndarray]], contexts: int = CONTEXTS):
-        self.langs = sorted(model)
-        counts = {lang: self._orders(*model[lang], contexts) for lang in self.langs}
-        kept = [np.unique(np.concatenate([counts[x][k][0] for x in self.langs])) for k in range(ORDER + 1)]
+    def __init__(self, grams: np.ndarray, n: np.ndarray, contexts: int = CONTEXTS):
+        orders = self._orders(grams, n, contexts)
+        kept = [np.unique(ctx) for ctx, _, _ in orders]
         starts = np.cumsum([0, *map(len, kept)])
-        bits = np.empty((starts[-1], 256, len(self.langs)), np.float32)
-        for j, lang in enumerate(self.langs):
-            below = np.full((1, 256), 1 / 256)
-            for k in range(ORDER + 1):
-                ctx, sym, n = counts[lang][k]
-                parent = below[np.searchsorted(kept[k - 1], kept[k] & (256 ** (k - 1) - 1))] if k > 1 else np.repeat(below, len(kept[k]), 0)
-                seen = np.zeros((len(kept[k]), 256))
-                if len(ctx):
-                    seen[np.searchsorted(kept[k], ctx), sym] = n
-                total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-                free = np.where(seen > 0, 0, parent).sum(1, keepdims=True)
-                rest = np.where(seen > 0, 0, parent) / np.maximum(free, 1e-300)
-                escape = np.where(free > 0, kinds, 0)
-                p = np.where(total > 0, (seen + escape * rest) / np.maximum(total + escape, 1e-300), parent)
-                bits[starts[k] : starts[k + 1], :, j] = -np.log2(np.maximum(p, 1e-12))
-                below = p
-        self.bits = bits.reshape(-1, len(self.langs))
+        self.bits = np.empty((starts[-1], 256), np.float32)
+        below = np.full((1, 256), 1 / 256)
+        for k, (ctx, sym, count) in enumerate(orders):
+            parent = below[np.searchsorted(kept[k - 1], kept[k] & (256 ** (k - 1) - 1))] if k > 1 else np.repeat(below, len(kept[k]), 0)
+            seen = np.zeros((len(kept[k]), 256))
+            seen[np.searchsorted(kept[k], ctx), sym] = count
+            total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
+            free = np.where(seen > 0, 0, parent).sum(1, keepdims=True)
+            rest = np.where(seen > 0, 0, parent) / np.maximum(free, 1e-300)
+            escape = np.where(free > 0, kinds, 0)
+            below = (seen + escape * rest) / (total + escape)
+            self.bits[starts[k] : starts[k + 1]] = -np.log2(np.maximum(below, 1e-12))
+        self.flat = self.bits.ravel()
         # the state of a position: its longest kept context
         one = np.full(256, starts[0], np.int32)
         one[kept[1]] = starts[1] + np.arange(len(kept[1]))
@@ -128,14 +126,26 @@ class Tree:
             out.append((ctx, sym, total))
         return out
 
+    def position_bits(self, far: np.ndarray, near: np.ndarray, d: np.ndarray, s: np.ndarray) -> np.ndarray:
+        state = self.three[self.pair[far] * 256 + d]
+        short = state < 0
+        state[short] = self.two[near[short]]
+        return self.flat[state * 256 + s]
+
+
+class Tree:
+    """A table for each language; memory and time are linear in the languages."""
+
+    def __init__(self, model: dict[str, tuple[np.ndarray, np.ndarray]], contexts: int = CONTEXTS):
+        self.langs = sorted(model)
+        self.tables = [Table(*model[lang], contexts) for lang in self.langs]
+
     def position_bits(self, raw: np.ndarray) -> np.ndarray:
         """raw: ORDER bytes of context, then the bytes to code. (n, languages) code lengths in bits."""
         b = raw.astype(np.int32)
         a, c, d, s = b[:-3], b[1:-2], b[2:-1], b[3:]
-        state = self.three[self.pair[a << 8 | c] * 256 + d]
-        short = state < 0
-        state[short] = self.two[(c << 8 | d)[short]]
-        return self.bits[state * 256 + s]
+        far, near = a << 8 | c, c << 8 | d
+        return np.stack([t.position_bits(far, near, d, s) for t in self.tables], 1)
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """(texts, languages): bits of each whole text, in slices of bounded size."""
@@ -161,15 +171,15 @@ class Tree:
         return out
 
 
-_TREES: dict[int, Tree] = {}
+_TREES: dict[str, Tree] = {}
 
 
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tuple((k, len(v[0]), float(v[1].sum())) for k, v in shared.value.items()))
+        key, model = shared.value
         if key not in _TREES:
             _TREES.clear()
-            _TREES[key] = Tree(shared.value)
+            _TREES[key] = Tree(model)
         tree = _TREES[key]
         for batch in batches:
             texts, letter = batch.column("text").to_pylist(), batch.column("letter").to_pylist()
@@ -189,7 +199,7 @@ def identify(docs: DataFrame, model: dict, id_column: str = "doc_id", held_out=N
     rows = docs.select(F.col(id_column).alias("doc_id"), "text", has_letter.alias("letter"), (F.lit(False) if held_out is None else held_out).alias("held_out"))
     if not model:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(_scorer(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
