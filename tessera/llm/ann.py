@@ -15,12 +15,14 @@ alone.
 
 Defined results: vectors that are NULL, zero, of another length than most of the sample, or hold NULL or
 non-finite components take no part, as query or candidate; ties go to the smaller id; a query with
-fewer than k candidates gets all found; rows that repeat a vec_id are candidates of their own, but
-never of a query with that id; an empty table gives no rows; extra columns are ignored.
+fewer than k candidates in its buckets goes to all buckets, so it has k results or all there are; rows that
+repeat both vec_id and vector count once, as candidate and as query; rows that repeat only vec_id are candidates of
+their own, but never of a query with that id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import copy
 import itertools
 import math
 from collections import Counter
@@ -98,24 +100,48 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return good, column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-_PACKED = "tbl int, bucket int, cut int, id long, vec binary"
+_PACKED = "tbl int, bucket int, cut int, lists int, id long, vec binary"
 
 
-def _index(h, dim: int, cuts: int):
+def _spread(ids: np.ndarray, over) -> np.ndarray:
+    return ((((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.asarray(over, np.uint64))).astype(np.int32)
+
+
+def _sizes(h, dim: int):
+    """Vectors of each bucket: at most tables x intervals^hashes rows a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((h.value.tables, len(h.value.grid)), np.int64)
+        for batch in batches:
+            _, x = _matrix(batch.column(1), dim)
+            for t in range(h.value.tables):
+                n[t] += np.bincount(h.value.buckets(x, t), minlength=n.shape[1])
+        tbl, bucket = np.nonzero(n)
+        yield pa.RecordBatch.from_pydict({"tbl": pa.array(tbl.astype(np.int32)), "bucket": pa.array(bucket.astype(np.int32)), "n": pa.array(n[tbl, bucket])})
+
+    return run
+
+
+def _index(h, dim: int, lists, dtype: str):
+    """A vector goes to one of the lists of its bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, x = _matrix(batch.column(1), dim)
             if not len(good):
                 continue
-            ids, raw = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[good], [r.tobytes() for r in x]
-            spread = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % cuts
+            ids, raw = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[good], [r.tobytes() for r in x.astype(dtype)]
             for t in range(h.value.tables):
-                yield pa.RecordBatch.from_pydict({"tbl": pa.array(np.full(len(ids), t, np.int32)), "bucket": pa.array(h.value.buckets(x, t).astype(np.int32)), "cut": pa.array(spread.astype(np.int32)), "id": pa.array(ids), "vec": pa.array(raw, pa.binary())})
+                at = h.value.buckets(x, t)
+                n = lists.value[t][at]
+                yield pa.RecordBatch.from_pydict({"tbl": pa.array(np.full(len(ids), t, np.int32)), "bucket": pa.array(at.astype(np.int32)), "cut": pa.array(_spread(ids, n)), "lists": pa.array(n), "id": pa.array(ids), "vec": pa.array(raw, pa.binary())})
 
     return run
 
 
-def _queries(h, dim: int, cuts: int):
+def _queries(h, dim: int, cuts: int, lists, dtype: str):
+    """A query goes to each bucket that it visits and that has vectors; ``cut`` spreads a bucket's queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, x = _matrix(batch.column(1), dim)
@@ -127,15 +153,16 @@ def _queries(h, dim: int, cuts: int):
                     n = np.minimum((reached < h.value.success).sum(1) + 1, order.shape[1])
                     who = np.repeat(np.arange(len(q)), n)
                     bucket = np.concatenate([order[i, : n[i]] for i in range(len(q))])
+                    there = lists.value[t][bucket] > 0
+                    who, bucket = who[there], bucket[there]
                     mine = ids[good[a : a + 64]]
-                    spread = ((mine.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % cuts
-                    raw = np.array([r.tobytes() for r in q], dtype=object)
-                    yield pa.RecordBatch.from_pydict({"tbl": pa.array(np.full(len(who), t, np.int32)), "bucket": pa.array(bucket.astype(np.int32)), "cut": pa.array(spread[who].astype(np.int32)), "id": pa.array(mine[who]), "vec": pa.array(list(raw[who]), pa.binary())})
+                    raw = np.array([r.tobytes() for r in q.astype(dtype)] + [None], dtype=object)
+                    yield pa.RecordBatch.from_pydict({"tbl": pa.array(np.full(len(who), t, np.int32)), "bucket": pa.array(bucket.astype(np.int32)), "cut": pa.array(_spread(mine, cuts)[who]), "lists": pa.array(lists.value[t][bucket]), "id": pa.array(mine[who]), "vec": pa.array(list(raw[who]), pa.binary())})
 
     return run
 
 
-def _rank(k: int):
+def _rank(k: int, dtype: str):
     """Block pairs -> (query_id, vec_id, score): the k best of each query in the task."""
 
     def best(q: np.ndarray, v: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,10 +213,10 @@ def _rank(k: int):
             for i in range(batch.num_rows):
                 qi, qv, vi, vv = (batch.column(j)[i] for j in range(4))
                 q_ids, v_ids = qi.values.to_numpy().astype(np.int64), vi.values.to_numpy().astype(np.int64)
-                q = np.frombuffer(b"".join(qv.as_py()), np.float64).reshape(len(q_ids), -1)
+                q = np.frombuffer(b"".join(qv.as_py()), dtype).astype(np.float64).reshape(len(q_ids), -1)
                 raw = vv.as_py()
                 some = distinct(v_ids, raw)
-                v_ids, v = v_ids[some], np.frombuffer(b"".join([raw[j] for j in some]), np.float64).reshape(len(some), -1)
+                v_ids, v = v_ids[some], np.frombuffer(b"".join([raw[j] for j in some]), dtype).astype(np.float64).reshape(len(some), -1)
                 q_ids, v_ids, exact = closest(q_ids, q, v_ids, v)
                 fresh.append((q_ids, v_ids, exact))
                 waiting += len(fresh[-1][0])
@@ -220,24 +247,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SA
     dim = Counter(len(r["vec"]) for r in chosen).most_common(1)[0][0]
     fitted = Hashing(np.array([r["vec"] for r in chosen if len(r["vec"]) == dim]), total, k, **parameters)
     h = spark.sparkContext.broadcast(fitted)
-    per_bucket = max(1, math.ceil(total / (len(fitted.grid) * block)))
-    hot = rows.mapInArrow(_index(h, dim, 1), _PACKED).groupBy("tbl", "bucket").agg(F.count("*").alias("n"))
-    most = hot.agg(F.max("n")).first()[0] or 0
-    cuts = max(per_bucket, math.ceil(most / block))
-    asks = max(1, math.ceil(asked.count() / 256))
-
-    def blocks(df: DataFrame, ids: str, vecs: str) -> DataFrame:
-        one = F.collect_list(F.struct("id", "vec"))
-        return df.groupBy("tbl", "bucket", "cut").agg(one.alias("m")).select("tbl", "bucket", F.col("m.id").alias(ids), F.col("m.vec").alias(vecs))
-
-    left = blocks(asked.mapInArrow(_queries(h, dim, asks), _PACKED), "qi", "qv")
-    right = blocks(rows.mapInArrow(_index(h, dim, cuts), _PACKED), "vi", "vv")
-    # a query gives many probes, which size estimates do not see, so broadcasting is ruled out
-    met = left.hint("merge").join(right.hint("merge"), ["tbl", "bucket"]).select("qi", "qv", "vi", "vv").mapInArrow(_rank(k), "query_id long, vec_id long, score double")
-    merged = met.groupBy("query_id", "vec_id", "score").agg(F.count("*").alias("seen"))
-    each = F.array_sort(F.collect_list(F.struct("score", "vec_id")))
-    ranked = merged.groupBy("query_id").agg(F.slice(each, 1, k).alias("best"))
-    return ranked.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+    dtype = "<f4" if vectors.select("vec").dtypes[0][1] == queries.select("vec").dtypes[0][1] == "array<float>" else "<f8"
+    lists = [np.zeros(len(fitted.grid), np.int32) for _ in range(fitted.tables)]
+    for tbl, bucket, n in rows.mapInArrow(_sizes(h, dim), "tbl int, bucket int, n long").groupBy("tbl", "bucket").agg(F.sum("n")).collect():  # the directory: its size is fixed
+        lists[tbl][bucket] = math.ceil(n / block)
+    shared = spark.sparkContext.broadcast(lists)
+    right = rows.mapInArrow(_index(h, dim, shared, dtype), _PACKED)
+    right = right.groupBy("tbl", "bucket", "cut").agg(F.collect_list(F.struct("id", "vec")).alias("m")).select("tbl", "bucket", "cut", F.col("m.id").alias("vi"), F.col("m.vec").alias("vv"))
+    merged = F.array_sort(F.collect_list(F.struct("score", "vec_id")))
+
+    def search(asked: DataFrame, visited) -> DataFrame:
+        cuts = max(1, math.ceil(asked.count() / 256))
+        left = asked.mapInArrow(_queries(visited, dim, cuts, shared, dtype), _PACKED)
+        left = left.groupBy("tbl", "bucket", "cut").agg(F.collect_list(F.struct("id", "vec")).alias("m"), F.first("lists").alias("lists"))
+        # each list of queries meets each list of the bucket under a key of its own, so a crowded bucket is many keys
+        left = left.select("tbl", "bucket", F.col("m.id").alias("qi"), F.col("m.vec").alias("qv"), F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("cut"))
+        # a query gives many probes, which size estimates do not see, so broadcasting is ruled out
+        met = left.hint("merge").join(right.hint("merge"), ["tbl", "bucket", "cut"]).select("qi", "qv", "vi", "vv").mapInArrow(_rank(k, dtype), "query_id long, vec_id long, score double")
+        return met.groupBy("query_id", "vec_id", "score").agg(F.count("*").alias("seen")).groupBy("query_id").agg(F.slice(merged, 1, k).alias("best"))
+
+    found = stored(search(asked, h), "ann-found")
+    if total > k:  # a query whose buckets gave fewer than k goes to all buckets of one table
+        short = stored(asked.join(found.where(F.size("best") >= k).select(F.col("query_id").alias("id")), "id", "left_anti"), "ann-short")
+        if not short.isEmpty():
+            whole = copy.copy(fitted)
+            whole.success, whole.tables = math.inf, 1
+            found = found.where(F.size("best") >= k).unionByName(search(short, spark.sparkContext.broadcast(whole)))
+    return found.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
