@@ -2,7 +2,8 @@
 
 Candidates come in four kinds: email, ip, card, phone. Base patterns (exact, leftmost, not
 overlapping) give base spans, which always stay. Looser patterns give further candidates: spelled-out
-e-mail addresses and national phone numbers. Three labelers vote on every candidate (1 personal, 0
+e-mail addresses, national phone numbers, and a fifth kind, ``secret``: values assigned to names of credentials and
+keys that show themselves by their form. It has no base pattern and comes after the four among equal starts. Three labelers vote on every candidate (1 personal, 0
 not, - abstains): a strict pattern, a gazetteer (mail domains, address ranges, issuer digits, dialling
 forms) and the words before it. Expectation-maximisation over the votes of all documents estimates
 each labeler's reliability per kind; the posterior trains a logistic span classifier on the
@@ -13,14 +14,18 @@ is not tried again from each of its places. EM and classifier see counts of vote
 table), never rows.
 
 Defined results: NULL and empty texts have no spans; equal rows all stay; base spans of two kinds may
-overlap each other; other spans never overlap a base span; an empty table gives no rows; extra columns
+overlap each other; other spans never overlap a base span, nor one of their kind; an empty table gives no rows; extra columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +36,21 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored, table
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NATIONAL = re.compile(r"(?<![0-9+.(-])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
+_ABROAD = r"(?<![0-9+.(-])0[0-9]{2,4}[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9])"
+_NATIONAL = re.compile(f"{_NATIONAL.pattern}|{_ABROAD}")
+# a value that is assigned to a name of credentials, and keys that show themselves by their form
+_ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?)[\x20]?[:=][\x20]?[\"']?([A-Za-z0-9+/_.=-]{8,}+)")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})(?![A-Za-z0-9])")
 _SPELLED = re.compile(r"[\x20]?[\[({][\x20]?at[\x20]?[\])}][\x20]?([A-Za-z0-9-]+(?:[\x20]?(?:\.|[\[({][\x20]?dot[\x20]?[\])}])[\x20]?[A-Za-z0-9-]+)+)", re.IGNORECASE)
 # Words that announce a kind, and common ends of mail domains.
-CONTEXT = {"email": ("mail", "contact", "write", "correo", "courriel", "address"), "ip": ("ip", "host", "server", "address", "from"), "card": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"), "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "whatsapp")}
+CONTEXT = {"email": ("mail", "contact", "write", "correo", "courriel", "address"), "ip": ("ip", "host", "server", "address", "from"), "card": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"), "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "whatsapp"), "secret": ("token", "secret", "passw", "key", "credential", "auth", "bearer")}
 NUMERIC_CONTEXT = ("version", "release", "isbn", "order", "invoice", "serial", "build", "sku", "section")
 ENDS = ("com", "org", "net", "edu", "gov", "io", "co", "info", "es", "fr", "de", "uk", "us", "eu")
 NEAR = 32
@@ -82,16 +93,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    out = []
+    out, done = [], 0
     if "[" in text or "(" in text or "{" in text:
         for m in _SPELLED.finditer(text):
             start = m.start()
-            while start > max(0, m.start() - 64) and text[start - 1] in LOCAL:
+            while start > done and text[start - 1] in LOCAL:
                 start -= 1
             if start < m.start():
                 out.append(("email", start, m.end()))
+            done = m.end()
     out += [("phone", m.start(), m.end()) for m in _NATIONAL.finditer(text)]
-    return [s for s in out if not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+    for pattern in (_ASSIGNED, _KEY):
+        out += [("secret", *m.span(m.lastindex or 0)) for m in pattern.finditer(text)]
+    out.sort(key=lambda s: (s[1], ALL_KINDS.index(s[0]), -s[2]))
+    # one sweep: a loose span goes where a base span, or a loose one of its kind, covers part of it
+    busy = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in busy], list(itertools.accumulate((b for _, b in busy), max))
+    kept, last = [], dict.fromkeys(ALL_KINDS, -1)
+    for kind, a, b in out:
+        k = bisect.bisect_left(starts, b)
+        if not (k and reach[k - 1] > a) and last[kind] <= a:
+            kept.append((kind, a, b))
+            last[kind] = b
+    return kept
 
 
 def votes(text: str, span: tuple[str, int, int]) -> str:
@@ -111,6 +135,12 @@ def votes(text: str, span: tuple[str, int, int]) -> str:
     elif kind == "card":
         strict = "1" if len(digits) in (13, 14, 15, 16, 19) else "0"
         gazetteer = "1" if digits[0] in "3456" else "-"
+    elif kind == "secret":
+        classes = sum(any(map(f, value)) for f in (str.isdigit, str.isupper, str.islower))
+        strict = "1" if len(value) >= 16 and classes >= 2 else "0"
+        spread = Counter(value)
+        entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in spread.values())
+        gazetteer = "1" if entropy >= 3 else "0" if entropy < 2 else "-"
     else:
         marks = {c for c in value if not c.isdigit() and c not in "+()"}
         strict = "1" if len(marks) <= 2 else "0"
@@ -133,7 +163,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = [s[0] for s in base]
             counts.append([kinds.count(k) for k in KINDS])
             shas.append(hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest())
-            found.append([{"start": s[1], "order": KINDS.index(s[0]), "kind": s[0], "end": s[2], "votes": votes(text, s), "base": flag} for flag, spans in ((True, base), (False, loose_spans(text, base))) for s in spans])
+            found.append([{"start": s[1], "order": ALL_KINDS.index(s[0]), "kind": s[0], "end": s[2], "votes": votes(text, s), "base": flag} for flag, spans in ((True, base), (False, loose_spans(text, base))) for s in spans])
         columns = list(zip(*counts, strict=True)) if counts else [[]] * 4
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(shas, pa.string()), pa.array(found, pa.list_(_SPAN))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "found"])
 
@@ -160,7 +190,7 @@ def reliabilities(patterns: list[tuple[str, float]], rounds: int = 50) -> tuple[
 def classifier(counted: list[tuple[str, str, float]], rounds: int = 25) -> dict[str, float]:
     """(kind, votes, count) -> 'kind:votes' -> probability, by a logistic model of the EM posteriors."""
     target: dict[tuple[str, str], float] = {}
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         rows = [(v, c) for k, v, c in counted if k == kind]
         if rows:
             _, _, post = reliabilities(rows)
@@ -183,7 +213,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, counts and digest of the base spans, and all spans as an array and as text."""
     scanned = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, _SCHEMA), "pii-found")
     each = scanned.select(F.explode("found").alias("f")).groupBy("f.kind", "f.votes").agg(F.count("*").alias("n"))
-    counted = sorted((r["kind"], r["votes"], float(r["n"])) for r in each.collect())  # at most 4 x 27 x 3 rows
+    counted = sorted((r["kind"], r["votes"], float(r["n"])) for r in each.collect())  # at most 5 x 27 x 3 rows
     good = [k for k, p in classifier(counted).items() if p >= 0.5]
     keep = F.filter("found", lambda s: s["base"] | F.concat_ws(":", s["kind"], s["votes"]).isin(*good)) if good else F.filter("found", lambda s: s["base"])
     spans = F.array_sort(F.transform(keep, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["kind"].alias("kind"), s["end"].alias("end"))))
