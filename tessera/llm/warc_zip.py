@@ -1,7 +1,8 @@
 """WARC records inside ZIP packages, read by byte range without extraction.
 
 Writing: each task packs its records into one ``.zip`` with two *stored* members,
-``archive/data.warc.gz``, in which each record is a gzip member of its own, and ``indexes/index.cdx``. Sizes are unknown while streaming, so both
+``archive/data.warc.gz``, in which each record is a gzip member of its own, and ``indexes/index.cdx``, with a CDX line a
+record in the order of the records. Sizes are unknown while streaming, so both
 members carry data descriptors and the package ends with a ZIP64 directory as well as the plain
 one. Payload equality is SHA-1 plus length; the smallest page_id of equal payloads is the
 ``response`` and the others are ``revisit`` records without payload.
@@ -32,6 +33,9 @@ from tessera.llm.common import open_fs, publish, scratch, stored, table
 
 MIN_REVISIT_BYTES = 0
 CHUNK_BYTES = 8 << 20
+DATE = "2000-01-01T00:00:00Z"  # of all records: pages have no fetch time
+# Fixed value of the format: the fields of a CDX line.
+CDX_HEAD = b" CDX N b a m s k r M S V g\n"
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 # Fixed values of the ZIP format: signatures of its structures.
 LOCAL, CENTRAL, END, END64, LOCATOR, DESCRIPTOR = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50, 0x08074B50
@@ -42,13 +46,29 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, digest: str) -> bytes:
-    """One WARC/1.1 record. A revisit keeps the digest and the length of the payload that it leaves out."""
-    uri = "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url or "")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]
+def target_uri(url: str | None) -> str:
+    return "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url or "")
+
+
+def sort_key(uri: str) -> str:
+    """The URL with its host reversed and lower-cased, as CDX files are keyed: com,example)/path."""
+    host, slash, path = uri.partition("://")[2].partition("/") if "://" in uri else ("", "", uri)
+    return f"{','.join(reversed(host.lower().split('.')))}){slash}{path}" if host else path or "-"
+
+
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    """The one response of a payload is known by page and payload; all other records by their place too."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{place}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, digest: str, place: str = "", date: str = DATE) -> bytes:
+    """One WARC/1.1 record with an HTTP head. A revisit keeps the digest and the length of the payload that it leaves out."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    body = http if kind == "revisit" else http + payload
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, place)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target_uri(url)}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
+    head += [f"Page-ID: {'' if page_id is None else page_id}", f"Payload-Length: {len(payload)}"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
-    body = b"" if kind == "revisit" else payload
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"Refers-To-Page-ID: {'' if refers_to is None else refers_to}"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -60,12 +80,14 @@ def gzipped(raw: bytes) -> bytes:
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """(fields, payload): an HTTP block without its head."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("not at a WARC record")
     fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
-    return fields, rest[: int(fields["Content-Length"])]
+    block = rest[: int(fields["Content-Length"])]
+    return fields, block.partition(b"\r\n\r\n")[2] if fields.get("Content-Type", "").startswith("application/http") else block
 
 
 class Packer:
@@ -138,7 +160,7 @@ def directory(source, size: int) -> dict[str, tuple[int, int, int, int]]:
     return found
 
 
-def write_archives(pages: DataFrame, out: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, out: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = DATE) -> DataFrame:
     """One ZIP a partition; the stored manifest has a row per archive (path, n_records, n_bytes)."""
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     hashed = base.withColumn("sha", F.sha1("payload")).withColumn("n", F.length("payload"))
@@ -166,13 +188,18 @@ def write_archives(pages: DataFrame, out: str, min_revisit_bytes: int = MIN_REVI
                     packer = Packer(sink)
                     packer.begin(WARC)
                 payload = row["payload"]
-                raw = gzipped(record(row["page_id"], row["url"], payload, "response" if row["response"] else "revisit", row["first_id"], base32_sha1(payload)))
-                index.append(b"%d %d\n" % (packer.write(raw), len(raw)))
+                kind, digest, uri = "response" if row["response"] else "revisit", base32_sha1(payload), target_uri(row["url"])
+                place = "" if row["response"] and row["dup"] else f"{part}.{n}"
+                raw = gzipped(record(row["page_id"], row["url"], payload, kind, row["first_id"], digest, place, date))
+                stamp = "".join(filter(str.isdigit, date))[:14]
+                mime, status = ("warc/revisit", "-") if kind == "revisit" else ("text/html", "200")
+                index.append(f"{sort_key(uri)} {stamp} {uri or '-'} {mime} {status} {digest} - - {len(raw)} {packer.write(raw)} {WARC}\n".encode())
                 n, done = n + 1, done + len(raw)
         if packer is None:
             return
         packer.end()
         packer.begin(INDEX)
+        packer.write(CDX_HEAD)
         for k in range(0, len(index), 10_000):
             packer.write(b"".join(index[k : k + 10_000]))
         packer.end()
@@ -201,7 +228,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     place += len(raw) - len(rest)
                     *lines, rest = raw.split(b"\n")
                     for line in lines:
-                        off, n = map(int, line.split())
+                        if line.startswith(b" CDX"):
+                            continue
+                        n, off = map(int, line.split(b" ")[8:10])
                         if first is not None and off + n - first > CHUNK_BYTES:
                             out.append((path, data[0] + first, lengths))
                             first, lengths = None, []
@@ -215,8 +244,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
 
 
-def _number(urn: str) -> int | None:
-    text = urn.removeprefix("<urn:page:").removesuffix(">")
+def _number(text: str) -> int | None:
     return int(text) if text else None
 
 
@@ -234,8 +262,8 @@ def _records(with_payload: bool):
                     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response" and base32_sha1(payload) != digest:
                         raise ValueError(f"payload digest differs in {row['path']}")
-                    refers = _number(fields["WARC-Refers-To"]) if kind == "revisit" else None
-                    out.append((_number(fields["WARC-Record-ID"]), int(fields["WARC-Payload-Length"]), digest, kind, refers, fields.get("WARC-Target-URI", ""), payload if with_payload else None))
+                    refers = _number(fields["Refers-To-Page-ID"]) if kind == "revisit" else None
+                    out.append((_number(fields["Page-ID"]), int(fields["Payload-Length"]), digest, kind, refers, fields.get("WARC-Target-URI", ""), payload if with_payload else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
 
     return read
