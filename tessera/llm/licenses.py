@@ -16,7 +16,8 @@ scanned in time linear in their length.
 
 from __future__ import annotations
 
-import functools
+import hashlib
+import pathlib
 import re
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ MIN_MATCH, MAX_GAP, MIN_WORDS, MIN_COVER = 3, 6, 6, 0.5
 # Base phrases and the labels that the result contract names.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Opening or granting passages of public licences, by SPDX-like label.
+# Notices and granting passages of public licences, by SPDX-like label; whole licences are in licences/.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
@@ -186,17 +187,31 @@ class Scanner:
         return sorted(out)
 
 
-@functools.lru_cache(maxsize=1)
-def _scanner() -> Scanner:
-    return Scanner()
+def whole_texts() -> list[tuple[str, str]]:
+    """(label, text) of the whole public licences in the folder beside this module, read on the driver."""
+    folder = pathlib.Path(__file__).with_name("licences")
+    return [(p.stem.lower(), p.read_text(encoding="utf-8")) for p in sorted(folder.glob("*.txt"))]
+
+
+_SCANNERS: dict[str, Scanner] = {}
 
 
 _SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:long,end:long,label:string,cover:double>>"
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("cover", pa.float64())])
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scanner = _scanner()
+def _run(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, templates = shared.value
+        if key not in _SCANNERS:
+            _SCANNERS.clear()
+            _SCANNERS[key] = Scanner(templates)
+        yield from _scanned(_SCANNERS[key], batches)
+
+    return run
+
+
+def _scanned(scanner: Scanner, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
         for text in batch.column(1).to_pylist():
@@ -210,9 +225,14 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=["doc_id", *out])
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """Per row: word count, base places, labels, score and the covered template spans."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_run, _SCHEMA)
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Per row: word count, base places, labels, score and the covered template spans.
+
+    Without ``templates``, (label, text) pairs, these are the notices above and the whole licences.
+    """
+    templates = TEMPLATES + whole_texts() if templates is None else templates
+    shared = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(repr(templates).encode()).hexdigest(), templates))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_run(shared), _SCHEMA)
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
