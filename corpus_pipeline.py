@@ -1,4 +1,11 @@
-"""From raw documents to token files: the stages in order, each over all that its predecessor kept."""
+"""From raw documents to token files: the stages in order, each over all that its predecessor kept.
+
+Defined results, for every stage: columns beside those it needs pass through, whatever their names; equal rows are
+judged alike; an empty table gives no rows. toxicity: NULL and empty texts have no terms and stay while the lexicon
+finds such texts clean. near_duplicates: NULL counts as empty, texts without words are one group, NULL ids come last in a group,
+and of rows that repeat an id and a text one stays. decontamination: texts without words hold no passage. mixing: texts
+without words are never taken, NULL is a source. token_binary: NULL and empty texts are the end id alone.
+"""
 
 from __future__ import annotations
 
@@ -15,14 +22,12 @@ NEAR = {"shingle": 5, "least": 0.8}
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity lexicon rejects (score of 0.5 or more) go."""
     lexicon = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
-    kept = toxicity.scored(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), lexicon).where("predicted = 1").select("doc_id", "th").distinct()
-    return _without(docs, stored(kept, "toxic-ids"))
+    return toxicity.clean(docs, lexicon)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs less the rows of these (doc_id, hash of text)."""
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_th")), "left_anti")
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.th")), "left_anti")
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +38,7 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     chosen = stored(first.join(rows, F.col("first_id").eqNullSafe(F.col("doc_id")) & (F.col("first_th") == F.col("th"))).select("first_id", "first_th", "rows"), "near-chosen")
 
     def of(some: DataFrame) -> DataFrame:
-        return docs.join(some, docs["doc_id"].eqNullSafe(F.col("first_id")) & (F.xxhash64(docs["text"]) == F.col("first_th")), "left_semi")
+        return docs.alias("d").join(some.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.first_id")) & (F.xxhash64("d.text") == F.col("f.first_th")), "left_semi")
 
     shared = chosen.where("rows > 1")
     if shared.isEmpty():
@@ -50,11 +55,11 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    plan = mixing.mix(docs).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies").distinct()
-    plan = stored(plan.where("copies > 0").withColumnRenamed("copies", "m_copies"), "mix-plan")
-    same = docs["doc_id"].eqNullSafe(F.col("m_id")) & docs["source"].eqNullSafe(F.col("m_source")) & (mixing.word_count(docs["text"]) == F.col("m_size"))
-    taken = docs.join(plan, same)
-    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("m_copies").cast("int"))).alias("_copy")).drop("_copy")
+    plan = stored(mixing.mix(docs).where("copies > 0").select("doc_id", "source", "size", "copies").distinct(), "mix-plan")
+    d, p = docs.alias("d"), plan.alias("p")
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (mixing.word_count(F.col("d.text")) == F.col("p.size"))
+    row = F.struct(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+    return d.join(p, same).select(F.explode(F.array_repeat(row, F.col("p.copies").cast("int"))).alias("row")).select("row.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +75,7 @@ STAGES = [
     ("token_binary", write_tokens),
 ]
 
-ORACLE_SQL = None  # hashing, learning and tokenizing can't be put in SQL; of the stages, near_duplicates is tested against brute force
+ORACLE_SQL = None  # learning, drawing and tokenizing can't be put in SQL; tests/llm hold each stage against plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
