@@ -42,9 +42,17 @@ def _around(side: Column, up: Column, down: Column) -> Column:
     return _box(F.greatest(F.lit(0.0), x - side), F.greatest(F.lit(0.0), y - up), F.least(c("frame_w").cast("double"), x + side), F.least(c("frame_h").cast("double"), y + down))
 
 
-def crop_context() -> Column:
-    """Centre of the box, 2.2 widths to the sides, 2.8 heights up and 3.5 down, inside the frame."""
-    return _around(c("face_w") * 2.2, c("face_h") * 2.8, c("face_h") * 3.5)
+def crop_context(image_w: Column | None = None, image_h: Column | None = None) -> Column:
+    """Centre of the box, 2.2 widths to the sides, 2.8 heights up and 3.5 down, inside the image.
+
+    With the size of the image, in its pixels: the box is scaled from the frame that it was found in, by 1 where that frame has no size.
+    """
+    image_w, image_h = c("frame_w") if image_w is None else image_w, c("frame_h") if image_h is None else image_h
+    sx = F.when(c("frame_w") > 0, image_w / c("frame_w")).otherwise(1.0)
+    sy = F.when(c("frame_h") > 0, image_h / c("frame_h")).otherwise(1.0)
+    x, y = (c("box_left") + c("box_right")) / 2 * sx, (c("box_top") + c("box_bottom")) / 2 * sy
+    w, h = (c("box_right") - c("box_left")) * sx, (c("box_bottom") - c("box_top")) * sy
+    return _box(F.greatest(F.lit(0.0), x - w * 2.2), F.greatest(F.lit(0.0), y - h * 2.8), F.least(image_w.cast("double"), x + w * 2.2), F.least(image_h.cast("double"), y + h * 3.5))
 
 
 def crop_thumbnail() -> Column:

@@ -2,42 +2,124 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import vectors as V
 
-MAX_BROADCAST_ROWS = 10_000
+MAX_BROADCAST_ROWS, BLOCK = 10_000, 1000
 
 
 def similarity_join(left: DataFrame, right: DataFrame, on: Sequence[str], threshold: float, left_vec: str, right_vec: str, extra=None) -> DataFrame:
-    """Pairs that agree on ``on`` and whose cosine reaches the threshold. The sides' other columns must differ in name."""
-    both = left.join(right, list(on))
+    """Pairs that agree on ``on`` and whose cosine reaches the threshold. The sides' other columns must differ in name.
+
+    Each vector is brought to unit length once, before it meets others. A key that holds much of a side is split by
+    AQE's skew join, since nothing above the join needs its rows together.
+    """
+    unit_l, unit_r = V.normalized_or_zero(F.col(left_vec)).alias("_l"), V.normalized_or_zero(F.col(right_vec)).alias("_r")
+    both = left.select("*", unit_l).join(right.select("*", unit_r), list(on))
     both = both if extra is None else both.where(extra)
-    return both.withColumn("sim", V.cosine(F.col(left_vec), F.col(right_vec))).where(F.col("sim") >= threshold)
+    return both.withColumn("sim", V.unit_dot(F.col("_l"), F.col("_r"))).drop("_l", "_r").where(F.col("sim") >= threshold)
+
+
+def _unit_rows(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column at unit length; zero vectors stay zero."""
+    sizes = np.diff(column.offsets.to_numpy())
+    if len(sizes) and (sizes.min() != sizes.max() or not sizes[0]):
+        raise ValueError("vectors must be non-empty and of equal length")
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
+    size = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def _top(x: np.ndarray, ids: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sim, id) of the most similar unit vector; ids ascend, so the smaller id wins among equals."""
+    if len(x) and x.shape[1] != units.shape[1]:
+        raise ValueError("vectors must be non-empty and of equal length")
+    sims = np.clip(x @ units.T, -1.0, 1.0) if len(x) else np.empty((0, len(ids)))
+    at = sims.argmax(1)
+    return sims[np.arange(len(x)), at], ids[at]
+
+
+def _packed(centroids: DataFrame, blocks: int) -> DataFrame:
+    """blk, ids, vecs: the centroids in lists of about ``BLOCK``."""
+    lists = centroids.select(F.pmod(F.xxhash64("centroid_id"), F.lit(blocks)).alias("blk"), F.struct(F.col("centroid_id").cast("long").alias("id"), F.col("centroid").cast("array<double>").alias("vec")).alias("c"))
+    return lists.groupBy("blk").agg(F.array_sort(F.collect_list("c")).alias("m")).select("blk", F.col("m.id").alias("ids"), F.col("m.vec").alias("vecs"))
 
 
 def nearest_centroid(rows: DataFrame, centroids: DataFrame, vec: str, threshold: float | None = None) -> DataFrame:
     """Adds centroid_id and sim: the most similar centroid, the smaller id among equals; sims of -1 match none.
 
-    centroids(centroid_id, centroid) is counted first and broadcast only up to MAX_BROADCAST_ROWS;
-    beyond that its rows are laid out in one array per block and the blocks are reduced per row.
+    centroids(centroid_id, centroid) has one row an id. It is counted first. Up to MAX_BROADCAST_ROWS it goes to every task as a matrix, and a
+    batch of rows is one matrix product, without a shuffle. Beyond that, numbered rows meet lists of centroids under a key a list, and each row keeps its
+    best; equal rows stay apart by their number.
+    """
+    spark, kind = rows.sparkSession, dict(centroids.dtypes)["centroid_id"]
+    centroids = centroids.select("centroid_id", "centroid")
+    known = centroids.limit(MAX_BROADCAST_ROWS + 1).collect()
+    floor = -1.0 if threshold is None else max(-1.0, float(np.nextafter(threshold, -2)))
+    schema = T.StructType([*rows.schema.fields, T.StructField("_id", T.LongType()), T.StructField("_sim", T.DoubleType())])
+    if not known:
+        found = rows.withColumn("_id", F.lit(None).cast("long")).withColumn("_sim", F.lit(None).cast("double"))
+    elif len(known) <= MAX_BROADCAST_ROWS:
+        known.sort(key=lambda r: r["centroid_id"])
+        shared = spark.sparkContext.broadcast((np.array([r["centroid_id"] for r in known], np.int64), _unit_rows(pa.array([r["centroid"] for r in known], pa.list_(pa.float64())))))
+        at = rows.columns.index(vec)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sim, ids = _top(_unit_rows(batch.column(at)), *shared.value)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids), pa.array(sim)], names=[f.name for f in schema.fields])
+
+        found = rows.mapInArrow(best, schema)
+    else:
+        blocks = -(-centroids.count() // BLOCK)
+        numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+        sent = numbered.select("_row", F.col(vec).alias("_vec"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("blk"))
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sims, tops = [], []
+                for i in range(batch.num_rows):
+                    sim, ids = _top(_unit_rows(batch.column(1).slice(i, 1)), batch.column(2)[i].values.to_numpy(), _unit_rows(batch.column(3)[i].values))
+                    sims.append(sim[0])
+                    tops.append(ids[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sims, pa.float64()), pa.array(tops, pa.int64())], names=["_row", "_sim", "_id"])
+
+        met = sent.join(_packed(centroids, blocks), "blk").select("_row", "_vec", "ids", "vecs").mapInArrow(each, "_row long, _sim double, _id long")
+        top = met.groupBy("_row").agg(F.max_by(F.struct("_sim", "_id"), F.struct(F.col("_sim"), -F.col("_id"))).alias("t"))
+        found = numbered.join(top, "_row", "left").select(*rows.columns, F.col("t._id").alias("_id"), F.col("t._sim").alias("_sim"))
+    ok = F.col("_sim") > floor
+    return found.withColumn("centroid_id", F.when(ok, F.col("_id")).cast(kind)).withColumn("sim", F.when(ok, F.col("_sim"))).drop("_id", "_sim")
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """vectors(id, vec) -> id_a < id_b, sim: all pairs whose cosine reaches the threshold.
+
+    Vectors lie in lists of about ``block``; each pair of lists meets under a key of its own and is one matrix product.
     """
-    packed = F.array_sort(F.collect_list(F.struct("centroid_id", "centroid"))).alias("cs")
-    n = centroids.count()
-    blocks = centroids.groupBy(F.pmod(F.xxhash64("centroid_id"), F.lit(max(1, -(-n // 1000)))).alias("blk")).agg(packed)
-    blocks = F.broadcast(blocks) if n <= MAX_BROADCAST_ROWS else blocks
-    sims = F.transform("cs", lambda x: F.struct(V.cosine(F.col(vec), x["centroid"]).alias("sim"), (-x["centroid_id"]).alias("neg")))
-    scored = rows.join(blocks).withColumn("top", F.array_max(sims)).drop("cs", "blk")
-    if n > 1000:
-        others = [x for x in rows.columns]
-        scored = scored.groupBy(*others).agg(F.max("top").alias("top"))
-    found = F.col("top.sim") > (-1.0 if threshold is None else max(-1.0, np.nextafter(threshold, -2)))
-    return scored.withColumn("centroid_id", F.when(found, -F.col("top.neg"))).withColumn("sim", F.when(found, F.col("top.sim"))).drop("top")
+    n = max(1, -(-vectors.count() // block))
+    rows = vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<double>"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("cut"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    lists = rows.groupBy(F.least("cut", "other").alias("low"), F.greatest("cut", "other").alias("high")).agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs"), F.collect_list("cut").alias("cuts"))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                low, high, ids, cuts = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].values.to_numpy(), batch.column(4)[i].values.to_numpy()
+                unit = _unit_rows(batch.column(3)[i].values)
+                left, right = np.flatnonzero(cuts == low), np.flatnonzero(cuts == high)
+                sims = np.clip(unit[left] @ unit[right].T, -1.0, 1.0)
+                a, b = np.nonzero((sims >= threshold) & ((ids[left][:, None] < ids[right][None]) if low == high else (ids[left][:, None] != ids[right][None])))
+                x, y = ids[left][a], ids[right][b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sims[a, b])], names=["id_a", "id_b", "sim"])
+
+    return lists.select("low", "high", "ids", "vecs", "cuts").mapInArrow(close, "id_a long, id_b long, sim double")
 
 
 def greedy(edges: pd.DataFrame, left: str, right: str) -> pd.DataFrame:

@@ -40,15 +40,17 @@ def group_rows(df: DataFrame, keys: list[str], order: str, *columns: str) -> Dat
 
 
 def closing_frames(segments: DataFrame, frames: DataFrame, gap: int) -> DataFrame:
-    """segments(stream_id, segment_id, last_ms) -> + close_ms and close_rank.
+    """segments(stream_id, segment_id, last_ms, and what else there is) -> + close_ms and close_rank.
 
     The closing frame is the first one later than last_ms + gap. Segments and frames are laid on one
     time line per stream and the frame is the next one after, so nothing is joined by range.
     """
-    line = frames.select("stream_id", F.col("ts_ms").alias("at"), F.lit(1).alias("is_frame"), F.lit(None).cast("long").alias("segment_id"), F.lit(None).cast("long").alias("last_ms"))
-    line = line.unionByName(segments.select("stream_id", (F.col("last_ms") + gap).alias("at"), F.lit(0).alias("is_frame"), "segment_id", "last_ms"))
+    more = [f for f in segments.schema.fields if f.name not in ("stream_id", "segment_id", "last_ms")]
+    blank = [F.lit(None).cast("long").alias("segment_id"), F.lit(None).cast("long").alias("last_ms"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in more)]
+    line = frames.select("stream_id", F.col("ts_ms").alias("at"), F.lit(1).alias("is_frame"), *blank)
+    line = line.unionByName(segments.select("stream_id", (F.col("last_ms") + gap).alias("at"), F.lit(0).alias("is_frame"), "segment_id", "last_ms", *(f.name for f in more)))
     # frames sort before segments of the same time, so only later ones count
     later = Window.partitionBy("stream_id").orderBy(F.col("at").desc(), F.col("is_frame").asc()).rowsBetween(Window.unboundedPreceding, -1)
     closed = line.withColumn("close_ms", F.min(F.when(F.col("is_frame") == 1, F.col("at"))).over(later)).where("is_frame = 0")
     rank = F.row_number().over(Window.partitionBy("stream_id").orderBy(F.col("close_ms").asc_nulls_last(), "segment_id"))
-    return closed.withColumn("close_rank", rank).select("stream_id", "segment_id", "last_ms", "close_ms", "close_rank")
+    return closed.withColumn("close_rank", rank).select("stream_id", "segment_id", "last_ms", "close_ms", "close_rank", *(f.name for f in more))

@@ -27,6 +27,12 @@ def cos(a: np.ndarray, b: np.ndarray) -> float:
     return 0.0 if na <= 0 or nb <= 0 else max(-1.0, min(1.0, float(a @ b) / (na**0.5 * nb**0.5)))
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All cosines of two sets of vectors; 0 where a norm is 0."""
+    size = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None]
+    return np.clip(np.divide(a @ b.T, size, out=np.zeros(size.shape), where=size > 0), -1.0, 1.0)
+
+
 class _Track:
     def __init__(self, at: int, ts: int):
         self.at, self.first, self.last, self.rows = at, ts, ts, []
@@ -46,9 +52,11 @@ def track_frames(frames: Iterator[tuple[int, list]], cfg: Config) -> list[_Track
     active: list[_Track] = []
     for ts, rows in frames:
         active = [t for t in active if ts - t.last <= cfg.gap_ms]
-        edges = [(-cos(r.vec, t.best.vec), i, j) for i, r in enumerate(rows) for j, t in enumerate(active)]
+        sims = cosines(np.stack([r.vec for r in rows]), np.stack([t.best.vec for t in active])) if active else np.empty((len(rows), 0))
         taken, used = {}, set()
-        for s, i, j in sorted(e for e in edges if -e[0] >= cfg.similarity):
+        at_i, at_j = np.nonzero(sims >= cfg.similarity)
+        for e in np.lexsort((at_j, at_i, -sims[at_i, at_j])):
+            i, j = int(at_i[e]), int(at_j[e])
             if i not in taken and j not in used:
                 taken[i] = active[j]
                 used.add(j)
@@ -92,43 +100,43 @@ def cluster_segments(rows: list[tuple[int, np.ndarray, float]], threshold: float
     A cluster's direction is its first vector until something joins it, from then on the weighted sum
     of its members; after a merge it is their plain sum.
     """
+    if not rows:
+        return []
+    vectors = np.stack([v for _, v, _ in rows])
     groups: list[list[int]] = []
-    sums: list[np.ndarray] = []
-    place = {}
+    sums = np.empty_like(vectors)
     for k, (_, v, w) in enumerate(rows):
-        place[k] = v
-        sims = [cos(v, s) for s in sums]
-        top = int(np.argmax(sims)) if sims else -1
+        sims = cosines(v[None], sums[: len(groups)])[0]
+        top = int(np.argmax(sims)) if len(sims) else -1
         if top >= 0 and sims[top] > -1 and sims[top] >= threshold:
             if len(groups[top]) == 1:
                 first = rows[groups[top][0]]
                 sums[top] = first[1] * max(floor, first[2])
             groups[top].append(k)
-            sums[top] = sums[top] + v * max(floor, w)
+            sums[top] += v * max(floor, w)
         else:
+            sums[len(groups)] = v
             groups.append([k])
-            sums.append(v.copy())
-    while merge:
-        n = len(groups)
-        if n < 2:
-            break
-        m = np.stack(sums)
-        norm = np.sqrt((m * m).sum(1))
-        s = np.where((norm[:, None] > 0) & (norm[None] > 0), m @ m.T / np.maximum(norm[:, None] * norm[None], 1e-300), 0.0)
-        close = np.argwhere(np.triu(s >= threshold, 1))
-        if not len(close):
-            break
-        i, j = map(int, close[0])
-        groups[i] += groups.pop(j)
-        sums.pop(j)
-        sums[i] = np.sum([place[k] for k in groups[i]], axis=0)
+    sums = sums[: len(groups)].copy()
+    # a merge changes one row and column of the similarities; the scan for the first close pair starts over
+    close = np.triu(cosines(sums, sums) >= threshold, 1) if merge else np.zeros((len(groups), len(groups)), bool)
+    live = np.ones(len(groups), bool)
+    while (left := np.flatnonzero(close.any(1))).size:
+        i = int(left[0])
+        j = int(np.flatnonzero(close[i])[0])
+        groups[i] += groups[j]
+        live[j] = False
+        close[j], close[:, j] = False, False
+        sums[i] = vectors[groups[i]].sum(0)
+        now = (cosines(sums[i][None], sums)[0] >= threshold) & live
+        close[i], close[:, i] = now & (np.arange(len(live)) > i), now & (np.arange(len(live)) < i)
+    groups = [g for g, ok in zip(groups, live, strict=True) if ok]
     return [[rows[k][0] for k in g] for g in groups]
 
 
 def entities(segments: DataFrame, frames: DataFrame, cfg: Config = Config(), merge: bool = True) -> DataFrame:
     """Segments in closing order -> identities, with the tiered best row and the peak row of each."""
-    order = closing_frames(segments.select("stream_id", F.col("track_id").alias("segment_id"), "last_ms"), frames, cfg.gap_ms).select("stream_id", F.col("segment_id").alias("track_id"), "close_rank")
-    ranked = segments.join(order, ["stream_id", "track_id"])
+    ranked = closing_frames(segments.withColumnRenamed("track_id", "segment_id"), frames, cfg.gap_ms).withColumnRenamed("segment_id", "track_id")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("close_rank").set_index("track_id", drop=False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import Config
@@ -25,3 +25,20 @@ def cluster_entities(obs: DataFrame, cfg: Config = Config(), frames: DataFrame |
 def run_summary(obs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Per stream: frames, observations, those usable for identity, span in seconds."""
     return obs.groupBy("stream_id").agg(F.countDistinct("ts_ms").alias("n_frames"), F.count("*").alias("n_obs"), F.count_if(scoring.identity_gate(cfg)).alias("n_usable"), F.round((F.max("ts_ms") - F.min("ts_ms")) / 1000, 6).alias("duration_s"))
+
+
+def run_report(obs: DataFrame, identities: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """The summary of each stream with the number of its identities; 0 where none was found."""
+    found = identities.groupBy("stream_id").agg(F.count("*").alias("n_identities"))
+    return run_summary(obs, cfg).join(found, "stream_id", "left").withColumn("n_identities", F.coalesce("n_identities", F.lit(0)))
+
+
+def shown(identities: DataFrame) -> DataFrame:
+    """Identities with observations; where a stream has none such, all of its identities."""
+    some = F.max((F.col("n_obs") > 0).cast("int")).over(Window.partitionBy("stream_id"))
+    return identities.withColumn("_some", some).where((F.col("n_obs") > 0) | (F.col("_some") == 0)).drop("_some")
+
+
+def required(report: DataFrame) -> DataFrame:
+    """The report, or an error on a stream without identities."""
+    return report.withColumn("n_identities", F.when(F.col("n_identities") > 0, F.col("n_identities")).otherwise(F.raise_error(F.concat(F.lit("no identities in stream "), F.col("stream_id").cast("string"))).cast("long")))

@@ -221,9 +221,8 @@ def nearest_centroid(spark, sf_dir):
 
 @query(f"WITH {OBS}, {CENTROIDS.format(w='1.0::DOUBLE')} SELECT a.label AS id_a, b.label AS id_b, round({COS.format(a='a.centroid', b='b.centroid')}, 6) AS sim FROM cent a JOIN cent b ON a.label < b.label WHERE {COS.format(a='a.centroid', b='b.centroid')} >= -0.05")
 def close_centroids(spark, sf_dir):
-    a = _centroids(spark, sf_dir).select(F.lit(1).alias("one"), c("label").alias("id_a"), c("centroid").alias("va"))
-    b = a.select("one", c("id_a").alias("id_b"), c("va").alias("vb"))
-    return matching.similarity_join(a, b, ["one"], -0.05, "va", "vb", c("id_a") < c("id_b")).select("id_a", "id_b", r6("sim").alias("sim"))
+    pairs = matching.similar_pairs(_centroids(spark, sf_dir).select(c("label").alias("id"), c("centroid").alias("vec")), -0.05)
+    return pairs.select(c("id_a").cast("int").alias("id_a"), c("id_b").cast("int").alias("id_b"), r6("sim").alias("sim"))
 
 
 @query(f"WITH {OBS}, cells AS (SELECT obs_id, v, unnest(range(9, 55)) AS i FROM obs) SELECT obs_id, round(var_pop(4 * v[i + 1] - v[i] - v[i + 2] - v[i - 7] - v[i + 9]), 6) AS variance FROM cells WHERE i % 8 BETWEEN 1 AND 6 AND i // 8 BETWEEN 1 AND 6 GROUP BY obs_id")
@@ -250,19 +249,18 @@ def unmatched_obs(spark, sf_dir):
     return o.select("obs_id").join(hit, "obs_id", "left_anti")
 
 
-@query(f"WITH {OBS}, b AS (SELECT stream_id, label, ts_ms, obs_id, row_number() OVER (PARTITION BY stream_id, label ORDER BY is_rep DESC, rep_score DESC, obs_id) AS k FROM obs), f AS (SELECT stream_id, ts_ms, min(frame_index) AS frame_index FROM obs WHERE frame_index % 3 <> 0 GROUP BY stream_id, ts_ms) SELECT b.stream_id, b.label, b.obs_id, f.frame_index FROM b LEFT JOIN f ON f.stream_id = b.stream_id AND f.ts_ms = b.ts_ms WHERE k = 1")
+@query(f"WITH {OBS}, b AS (SELECT stream_id, label, ts_ms, obs_id, row_number() OVER (PARTITION BY stream_id, label ORDER BY is_rep DESC, rep_score DESC, obs_id) AS k FROM obs), f AS (SELECT stream_id, ts_ms, min(frame_index) AS frame_index FROM obs WHERE usable GROUP BY stream_id, ts_ms) SELECT b.stream_id, b.label, b.obs_id, f.frame_index FROM b LEFT JOIN f ON f.stream_id = b.stream_id AND f.ts_ms = b.ts_ms WHERE k = 1")
 def frame_lookup(spark, sf_dir):
     o = _obs(spark, sf_dir)
     best = o.groupBy("stream_id", "label").agg(F.max_by(F.struct("ts_ms", "obs_id"), sessions.tiered_key(c("is_rep"), c("rep_score"), c("obs_id"))).alias("b")).select("stream_id", "label", "b.ts_ms", "b.obs_id")
-    frames = o.where("frame_index % 3 <> 0").groupBy("stream_id", "ts_ms").agg(F.min("frame_index").alias("frame_index"))
+    frames = o.where(scoring.identity_gate(CFG)).groupBy("stream_id", "ts_ms").agg(F.min("frame_index").alias("frame_index"))
     return best.join(frames, ["stream_id", "ts_ms"], "left").select("stream_id", "label", "obs_id", "frame_index")
 
 
-@query(f"WITH {OBS}, seg AS (SELECT stream_id, label::BIGINT AS segment_id, max(ts_ms) AS last_ms FROM obs WHERE frame_index % 7 < 4 AND obs_id < (SELECT max(vec_id) * 0.8 FROM embeddings) GROUP BY ALL), f AS (SELECT DISTINCT stream_id, ts_ms FROM obs), j AS (SELECT s.*, (SELECT min(f.ts_ms) FROM f WHERE f.stream_id = s.stream_id AND f.ts_ms > s.last_ms + 1200) AS close_ms FROM seg s) SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY close_ms NULLS LAST, segment_id) AS close_rank FROM j")
+@query(f"WITH {OBS}, seg AS (SELECT stream_id, label::BIGINT AS segment_id, max(ts_ms) AS last_ms FROM obs GROUP BY ALL), f AS (SELECT DISTINCT stream_id, ts_ms FROM obs), j AS (SELECT s.*, (SELECT min(f.ts_ms) FROM f WHERE f.stream_id = s.stream_id AND f.ts_ms > s.last_ms + 1200) AS close_ms FROM seg s) SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY close_ms NULLS LAST, segment_id) AS close_rank FROM j")
 def closing_frame_order(spark, sf_dir):
     o = _obs(spark, sf_dir)
-    top = S.table(spark, sf_dir, "embeddings").agg((F.max("vec_id") * 0.8).alias("top"))
-    seg = o.join(F.broadcast(top), c("obs_id") < c("top")).where("frame_index % 7 < 4").groupBy("stream_id", c("label").cast("long").alias("segment_id")).agg(F.max("ts_ms").alias("last_ms"))
+    seg = o.groupBy("stream_id", c("label").cast("long").alias("segment_id")).agg(F.max("ts_ms").alias("last_ms"))
     out = sessions.closing_frames(seg, o.select("stream_id", "ts_ms").distinct(), CFG.gap_ms)
     return out.withColumn("close_rank", c("close_rank").cast("long"))
 
@@ -287,6 +285,41 @@ def grid_layout(spark, sf_dir):
     return placed.select("stream_id", c("grp").alias("label"), "grid_col", "grid_row", r6("cell_x").alias("cell_x"), c("label").alias("name"), layout.counted(c("n"), "Appearance", "Appearances").alias("badge"))
 
 
+@query(f"WITH {OBS}, f AS (SELECT obs_id, (box_left + box_right) / 2 * 0.5::DOUBLE AS x, (box_top + box_bottom) / 2 * 0.75::DOUBLE AS y, face_w * 0.5::DOUBLE AS w, face_h * 0.75::DOUBLE AS h FROM obs) SELECT obs_id, round(greatest(0.0, x - w * 2.2::DOUBLE), 6) AS x0, round(greatest(0.0, y - h * 2.8::DOUBLE), 6) AS y0, round(least(540.0, x + w * 2.2::DOUBLE), 6) AS x1, round(least(1440.0, y + h * 3.5::DOUBLE), 6) AS y1 FROM f")
+def context_crops_scaled(spark, sf_dir):
+    """Context crops in an image of another size than the frame."""
+    box = layout.crop_context(F.lit(540), F.lit(1440)).alias("k")
+    return _obs(spark, sf_dir).select("obs_id", box).select("obs_id", *[r6(f"k.{e}").alias(e) for e in ("x0", "y0", "x1", "y1")])
+
+
+@query(f"WITH {OBS} SELECT obs_id, least(greatest(trunc(box_top - face_h * 0.2::DOUBLE)::INT, 0), 1919) AS ey0, greatest(least(greatest(trunc(box_left - face_w * 0.2::DOUBLE)::INT, 0), 1079) + 1, least(trunc(box_right + face_w * 0.2::DOUBLE)::INT, 1080)) AS ex1, least(greatest(trunc(box_left - face_w * 0.4::DOUBLE)::INT, 0), 1079) AS bx0, round(greatest(0.0, (box_top + box_bottom) / 2 - face_h * 2.8::DOUBLE), 6) AS cy0, round(least(1080.0, (box_left + box_right) / 2 + face_w * 2.2::DOUBLE), 6) AS cx1, round(greatest(0.0, (box_top + box_bottom) / 2 - (face_h / 2 + face_h * 1.5)), 6) AS ty0, round(least(1080.0, (box_left + box_right) / 2 + (face_w / 2 + face_w)), 6) AS tx1 FROM obs")
+def crops_other_sides(spark, sf_dir):
+    o = _obs(spark, sf_dir).select("obs_id", layout.crop_embed().alias("e"), layout.crop_best().alias("b"), layout.crop_context().alias("k"), layout.crop_thumbnail().alias("t"))
+    return o.select("obs_id", c("e.y0").alias("ey0"), c("e.x1").alias("ex1"), c("b.x0").alias("bx0"), r6("k.y0").alias("cy0"), r6("k.x1").alias("cx1"), r6("t.y0").alias("ty0"), r6("t.x1").alias("tx1"))
+
+
+# ---- sources and nulls ----
+@query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS duration_ms, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) > 0 AS valid FROM events")
+def metadata_scan(spark, sf_dir):
+    """A duration from a metadata string; 0 where it can't be read, and then the source is invalid."""
+    d = S.duration(F.get_json_object("props", "$.k"))
+    return S.table(spark, sf_dir, "events").select("event_id", d.alias("duration_ms"), (d > 0).alias("valid"))
+
+
+@query(f"WITH {OBS} SELECT obs_id, round(coalesce(CASE WHEN smile >= 0 THEN smile END, 0.5), 6)::DOUBLE AS smile, round(coalesce(CASE WHEN left_eye > 0 THEN left_eye END, 1.0), 6)::DOUBLE AS left_eye FROM obs")
+def filled_outputs(spark, sf_dir):
+    """Outputs that a model did not give take their defaults."""
+    o = _obs(spark, sf_dir).select("obs_id", F.when(c("smile") >= 0, c("smile")).alias("smile"), F.when(c("left_eye") > 0, c("left_eye")).alias("left_eye"))
+    return o.select("obs_id", r6(scoring.filled("smile", 0.5)).alias("smile"), r6(scoring.filled("left_eye", 1.0)).alias("left_eye"))
+
+
+@query(f"WITH {OBS}, {CENTROIDS.format(w='1.0::DOUBLE')} SELECT obs_id, round(least(1.0, greatest(-1.0, list_dot_product(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))), centroid))), 6) AS sim FROM obs JOIN cent USING (label)")
+def unit_similarity(spark, sf_dir):
+    """Each observation to the centroid of its label, both of unit length, so the dot product is the cosine."""
+    o = _obs(spark, sf_dir).select("obs_id", "label", V.normalized_or_zero(c("embedding")).alias("unit"))
+    return o.join(_centroids(spark, sf_dir), "label").select("obs_id", r6(V.unit_dot(c("unit"), c("centroid"))).alias("sim"))
+
+
 # ---- folds: not expressible in plain SQL, tested against slow versions ----
 @query()
 def greedy_assignment(spark, sf_dir):
@@ -311,3 +344,10 @@ def leader_clusters(spark, sf_dir):
 @query()
 def entity_clusters(spark, sf_dir):
     return pipeline.cluster_entities(_obs(spark, sf_dir), CFG)
+
+
+@query()
+def run_report(spark, sf_dir):
+    """The run summary with the number of identities."""
+    o = _obs(spark, sf_dir)
+    return pipeline.run_report(o, pipeline.cluster_entities(o, CFG), CFG)

@@ -1,6 +1,7 @@
 """Core queries against DuckDB, and the folds against the cases that they were specified by."""
 
 import math
+import random
 
 import duckdb
 import numpy as np
@@ -127,3 +128,133 @@ def test_empty_and_literal_edges(spark):
     assert sorted((r.stream_id, r.ts_ms) for r in tables.sample_grid(streams).collect()) == [(2, 0), (2, 200), (2, 400), (3, 0), (3, 200)]
     rows = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "k int, score int, at int")
     assert rows.groupBy("k").agg(sessions.best(F.col("at"), F.col("score"), -F.col("at")).alias("x")).first().x == 2
+
+
+def slow_cos(a, b):
+    dot, na, nb = (sum(float(x) * float(y) for x, y in zip(p, q, strict=True)) for p, q in ((a, b), (a, a), (b, b)))
+    return 0.0 if na <= 0 or nb <= 0 else dot / math.sqrt(na * nb)
+
+
+def slow_tracks(rows, threshold, gap):
+    """Observation by observation, as dictionaries: (first, last, ids) of each track."""
+    tracks = []
+    for ts in sorted({r["ts_ms"] for r in rows}):
+        frame = sorted((r for r in rows if r["ts_ms"] == ts), key=lambda r: r["obs_id"])
+        free = [t for t in tracks if ts - t["last"] <= gap]
+        open_rows = list(frame)
+        while True:
+            best = None
+            for r in open_rows:
+                for t in free:
+                    s = slow_cos(r["embedding"], t["best"]["embedding"])
+                    if s >= threshold and (best is None or s > best[0]):
+                        best = (s, r, t)
+            if best is None:
+                break
+            _, r, t = best
+            open_rows = [x for x in open_rows if x is not r]
+            free = [x for x in free if x is not t]
+            t["rows"].append(r)
+            t["last"] = ts
+            if (r["is_rep"], r["rep_score"]) > (t["best"]["is_rep"], t["best"]["rep_score"]):
+                t["best"] = r
+        for r in frame:
+            if any(r is x for x in open_rows):
+                tracks.append({"first": ts, "last": ts, "rows": [r], "best": r})
+    return sorted((t["first"], t["last"], sorted(r["obs_id"] for r in t["rows"])[0], len(t["rows"]), t["best"]["obs_id"]) for t in tracks)
+
+
+def test_tracks_equal_a_slow_version(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(150):
+        v = np.eye(6)[k % 4] + rng.normal(0, 0.35, 6)
+        rows.append(observation(obs_id=k, ts_ms=int(k // 3 * 200 + (k // 30) * 1100 + (k // 75) * 900), embedding=v.tolist(), rep_score=float(rng.integers(0, 5)) / 5, is_rep=bool(rng.integers(0, 2)), sharpness=30.0))
+    cfg = Config(similarity=0.6, dim=6)
+    got = tracking.track(spark.createDataFrame(pd.DataFrame(rows)), cfg).collect()
+    want = slow_tracks(rows, 0.6, cfg.gap_ms)
+    assert sorted((r.start_ms, r.last_ms, r.n_obs, r.best_obs) for r in got) == sorted((a, b, n, best) for a, b, _, n, best in want) and 8 < len(want) < 100
+
+
+def slow_clusters(rows, threshold, floor):
+    groups = []
+    for k, (_, v, w) in enumerate(rows):
+        best = None
+        for g in groups:
+            s = slow_cos(v, g["sum"])
+            if s >= threshold and s > -1 and (best is None or s > best[0]):
+                best = (s, g)
+        if best is None:
+            groups.append({"sum": list(v), "rows": [k]})
+            continue
+        g = best[1]
+        if len(g["rows"]) == 1:
+            first = rows[g["rows"][0]]
+            g["sum"] = [x * max(floor, first[2]) for x in first[1]]
+        g["sum"] = [x + y * max(floor, w) for x, y in zip(g["sum"], v, strict=True)]
+        g["rows"].append(k)
+    merges = 0
+    while True:
+        pair = next(((a, b) for i, a in enumerate(groups) for b in groups[i + 1 :] if slow_cos(a["sum"], b["sum"]) >= threshold), None)
+        if pair is None:
+            return [[rows[k][0] for k in g["rows"]] for g in groups], merges
+        a, b = pair
+        a["rows"] += b["rows"]
+        a["sum"] = [sum(rows[k][1][d] for k in a["rows"]) for d in range(len(rows[0][1]))]
+        groups = [g for g in groups if g is not b]
+        merges += 1
+
+
+def test_clusters_equal_a_slow_version():
+    rng, merged = np.random.default_rng(9), 0
+    for _ in range(60):
+        rows = [(k + 1, np.eye(4)[k % 3] + rng.normal(0, 0.5, 4), float(rng.random())) for k in range(int(rng.integers(1, 25)))]
+        want, merges = slow_clusters(rows, 0.6, 0.1)
+        assert tracking.cluster_segments(rows, 0.6, 0.1) == want
+        merged += merges
+    assert merged > 10
+
+
+def test_greedy_equals_repeated_best_edge():
+    rng = random.Random(2)
+    for _ in range(100):
+        e = pd.DataFrame([(a, b, rng.randrange(6) / 5) for a in range(5) for b in range(4) if rng.random() < 0.7], columns=["a", "b", "sim"])
+        left, want = [tuple(r) for r in e.itertuples(index=False)], []
+        while left:
+            top = min(left, key=lambda r: (-r[2], r[0], r[1]))
+            want.append(top)
+            left = [r for r in left if r[0] != top[0] and r[1] != top[1]]
+        assert [tuple(r) for r in matching.greedy(e, "a", "b").itertuples(index=False)] == want
+
+
+@pytest.mark.parametrize("limit", [10_000, 50])
+def test_nearest_centroid_keeps_equal_rows(spark, monkeypatch, limit):
+    """1,100 centroids, by broadcast and by lists under keys: five equal rows in, five out; the smaller id among equals."""
+    monkeypatch.setattr(matching, "MAX_BROADCAST_ROWS", limit)
+    monkeypatch.setattr(matching, "BLOCK", 200)
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(1100, 5))
+    m[900] = 2 * m[3]
+    cents = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "centroid_id int, centroid array<double>")
+    rows = spark.createDataFrame([("x", m[3].tolist())] * 5 + [("y", (-m[7]).tolist()), ("z", [0.0] * 5)], "name string, vec array<double>")
+    got = sorted((r.name, r.centroid_id, round(r.sim, 9)) for r in matching.nearest_centroid(rows, cents, "vec").collect())
+    sims = [[slow_cos(v, c) for c in m] for v in (-m[7], [0.0] * 5)]
+    want = [(n, int(np.argmax(s)), round(max(s), 9)) for n, s in zip("yz", sims, strict=True)]
+    assert got == [("x", 3, 1.0)] * 5 + want
+    assert matching.nearest_centroid(rows, cents.limit(0), "vec").where("centroid_id is null").count() == 7
+
+
+def test_similar_pairs_over_several_blocks(spark):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(90, 4))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "id int, vec array<double>")
+    got = sorted((r.id_a, r.id_b) for r in matching.similar_pairs(df, 0.7, block=20).collect())
+    assert got == [(a, b) for a in range(90) for b in range(a + 1, 90) if slow_cos(m[a], m[b]) >= 0.7] and got
+
+
+def test_run_report_counts_identities(spark):
+    o = tables.observations(spark, SF, registry.CFG)
+    found = pipeline.cluster_entities(o, registry.CFG)
+    n = {r.stream_id: r["count"] for r in found.groupBy("stream_id").count().collect()}
+    got = registry.QUERIES["run_report"](spark, SF).collect()
+    assert {r.stream_id: r.n_identities for r in got} == n
