@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import vectors as V
+from tessera.sources.tables import settled
 
 MAX_BROADCAST_ROWS, BLOCK = 10_000, 1000
 
@@ -80,8 +81,8 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, vec: str, threshold:
         found = rows.mapInArrow(best, schema)
     else:
         blocks = -(-centroids.count() // BLOCK)
-        numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-        sent = numbered.select("_row", F.col(vec).alias("_vec"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("blk"))
+        numbered = settled(rows.withColumn("_row", F.monotonically_increasing_id()))  # numbers must not change between reads
+        sent = numbered.select("_row", F.col(vec).alias("_vec"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("blk"))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

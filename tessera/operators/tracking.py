@@ -46,42 +46,54 @@ class _Track:
             self.best = row
 
 
+def step(active: list[_Track], ts: int, rows: list, cfg: Config, opened: int) -> tuple[list[_Track], list[_Track], list[_Track]]:
+    """One frame: close idle tracks, match, update, open. (still active, closed, new); ``opened``: tracks before."""
+    closed = [t for t in active if ts - t.last > cfg.gap_ms]
+    active = [t for t in active if ts - t.last <= cfg.gap_ms]
+    sims = cosines(np.stack([r.vec for r in rows]), np.stack([t.best.vec for t in active])) if active and rows else np.empty((len(rows), 0))
+    taken, used = {}, set()
+    at_i, at_j = np.nonzero(sims >= cfg.similarity)
+    for e in np.lexsort((at_j, at_i, -sims[at_i, at_j])):
+        i, j = int(at_i[e]), int(at_j[e])
+        if i not in taken and j not in used:
+            taken[i] = active[j]
+            used.add(j)
+    new = []
+    for i, r in enumerate(rows):
+        if i in taken:
+            taken[i].add(r, ts)
+        else:
+            new.append(_Track(opened + len(new), ts))
+            new[-1].add(r, ts)
+    return active + new, closed, new
+
+
 def track_frames(frames: Iterator[tuple[int, list]], cfg: Config) -> list[_Track]:
-    """Fold over (ts, observations) in time order: close idle tracks, match, update, open."""
+    """Fold over (ts, observations) in time order; tracks in the order in which they opened."""
     tracks: list[_Track] = []
     active: list[_Track] = []
     for ts, rows in frames:
-        active = [t for t in active if ts - t.last <= cfg.gap_ms]
-        sims = cosines(np.stack([r.vec for r in rows]), np.stack([t.best.vec for t in active])) if active else np.empty((len(rows), 0))
-        taken, used = {}, set()
-        at_i, at_j = np.nonzero(sims >= cfg.similarity)
-        for e in np.lexsort((at_j, at_i, -sims[at_i, at_j])):
-            i, j = int(at_i[e]), int(at_j[e])
-            if i not in taken and j not in used:
-                taken[i] = active[j]
-                used.add(j)
-        for i, r in enumerate(rows):
-            if i in taken:
-                taken[i].add(r, ts)
-        for i, r in enumerate(rows):
-            if i not in taken:
-                tracks.append(_Track(len(tracks), ts))
-                tracks[-1].add(r, ts)
-                active.append(tracks[-1])
+        active, _, new = step(active, ts, rows, cfg, len(tracks))
+        tracks += new
     return tracks
 
 
+def segment(stream: int, scene: int, t: _Track) -> tuple:
+    """A track as a row of SEGMENTS: the first of equals is best; the peak is the best that passes, else the sharpest."""
+    passing = [r for r in t.rows if r.is_rep]
+    peak = max(passing, key=lambda r: r.rep_score) if passing else max(t.rows, key=lambda r: r.sharpness)
+    return (stream, scene, t.at + 1, t.first, t.last, len(t.rows), t.best.obs_id, t.best.rep_score, bool(t.best.is_rep), t.best.sharpness, peak.obs_id, bool(passing), peak.rep_score if passing else peak.sharpness, t.best.vec.tolist())
+
+
+NAMES = [c.split()[0] for c in SEGMENTS.split(", ")]
+
+
 def _fold(cfg: Config):
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts_ms", "obs_id"], kind="stable")
         pdf["vec"] = [np.asarray(v, float) for v in pdf["embedding"]]
         tracks = track_frames(((ts, list(g.itertuples())) for ts, g in pdf.groupby("ts_ms", sort=True)), cfg)
-        out = []
-        for t in tracks:
-            passing = [r for r in t.rows if r.is_rep]
-            peak = max(passing, key=lambda r: r.rep_score) if passing else max(t.rows, key=lambda r: r.sharpness)
-            out.append((int(pdf["stream_id"].iloc[0]), int(pdf["session_index"].iloc[0]), t.at + 1, t.first, t.last, len(t.rows), t.best.obs_id, t.best.rep_score, bool(t.best.is_rep), t.best.sharpness, peak.obs_id, bool(passing), peak.rep_score if passing else peak.sharpness, t.best.vec.tolist()))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+        return pd.DataFrame([segment(int(pdf["stream_id"].iloc[0]), int(pdf["session_index"].iloc[0]), t) for t in tracks], columns=NAMES)
 
     return fold
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,17 @@ def observations(spark: SparkSession, sf_dir: str, cfg: Config = Config()) -> Da
     return e.withColumn("rep_score", scoring.representative_score(cfg)).withColumn("is_rep", scoring.representative_gate(cfg))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that spark.checkpoint.dir names; in one process (tests) a fresh one will do."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if base is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
 def duration(text: Column) -> Column:
     """Milliseconds of a metadata string; 0 where it can't be read."""
     return F.coalesce(text.try_cast("bigint"), F.lit(0))

@@ -258,3 +258,27 @@ def test_run_report_counts_identities(spark):
     n = {r.stream_id: r["count"] for r in found.groupBy("stream_id").count().collect()}
     got = registry.QUERIES["run_report"](spark, SF).collect()
     assert {r.stream_id: r.n_identities for r in got} == n
+
+
+def test_live_tracks_equal_batch(spark, tmp_path):
+    """Frames in two files, the second with rows of the first's time: closed tracks and the flush give the batch's segments."""
+    from tessera.streaming import tracking as live_tracking
+
+    o = tables.observations(spark, SF, registry.CFG).where("obs_id < 260").withColumn("ts_ms", F.col("ts_ms") + 3_600_000)  # the first watermark is 0
+    o.where("obs_id < 150 and obs_id % 7 <> 3").coalesce(1).write.parquet(str(tmp_path / "in"))
+    o.where("obs_id >= 150 or obs_id % 7 = 3").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live_tracking.PROVIDER)
+    try:
+        stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = live_tracking.live_tracks(stream, registry.CFG, "10 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        quick = live_tracking.live_tracks(spark.readStream.schema(o.schema).parquet(str(tmp_path / "in")), registry.CFG, "0 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out2")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+        quick.awaitTermination(180)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = sorted((r.stream_id, r.start_ms, r.last_ms, r.n_obs, r.best_obs, r.peak_obs) for r in tracking.track(o, registry.CFG).collect())
+    for out in ("out", "out2"):
+        closed = spark.read.schema(tracking.SEGMENTS).parquet(str(tmp_path / out))
+        got = live_tracking.flush(o, closed, registry.CFG).collect()
+        assert sorted((r.stream_id, r.start_ms, r.last_ms, r.n_obs, r.best_obs, r.peak_obs) for r in got) == want
+    assert 0 < closed.count()
