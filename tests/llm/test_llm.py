@@ -558,9 +558,9 @@ def test_sql_of_operators(spark):
     for t in ("documents", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     for name, sql in registry.ORACLE_SQL.items():
-        ours, theirs = registry.QUERIES[name](spark, "/root/testdata/sf0.001"), con.execute(sql).df()
-        rows = [tuple(None if v is None or v != v else v for v in r) for r in theirs[ours.columns].itertuples(index=False)]
-        assert sorted(map(tuple, ours.collect()), key=repr) == sorted([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in rows], key=repr)
+        ours, theirs = registry.QUERIES[name](spark, "/root/testdata/sf0.001"), con.execute(sql)
+        at = [ours.columns.index(c[0]) for c in theirs.description]
+        assert sorted((tuple(r[k] for k in at) for r in ours.collect()), key=repr) == sorted(theirs.fetchall(), key=repr), name
 
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, first_id long, m_id long, m_copies int, _copy int, score double, predicted int, fp long, th long, _gone_id long"
