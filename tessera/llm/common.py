@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -40,6 +41,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows, for what runs inside: bounds the memory of Python workers on wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what ``stored`` wrote for these, once nothing reads it any more."""
     for df in tables:

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
-from tessera.llm.common import discard, stored
+from tessera.llm.common import discard, small_batches, stored
 from tessera.llm.simhash import _WORD, components, lower_ascii
 
-PART, FREQUENT, ORDERED, SLICE, CHUNK, WORDS_HELD, ACCEPT = 8, 3, 1_000_000, 2048, 500_000, 500_000, 14
+PART, FREQUENT, ORDERED, SLICE, CHUNK, WORDS_HELD, BATCH, ACCEPT = 16, 3, 1_000_000, 2048, 200_000, 150_000, 1000, 14
 SKETCH_BITS, FILTER_BITS = 2048, 1 << 27
 _SKETCH = ("s0", "s1", "s2", "s3")
 _SETS = "doc_id long, th long, row long, fp long, sim long, n int, s0 long, s1 long, s2 long, s3 long, sketch binary, prefix binary"
@@ -90,8 +90,8 @@ def _sets(shingle: int, pattern: str, order, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
                 sets = [shingle_set(t, shingle, word) for t in part.column(3).to_pylist()]
                 small = np.stack([_parity(s, 256).view(np.int64) for s in sets])
                 fps = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
@@ -289,6 +289,11 @@ def _row_key():
 
 def similar(docs: DataFrame, least: float, shingle: int, word: str = _WORD.pattern, radius: int = simhash.RADIUS, parts: int | None = None, accept: int = ACCEPT) -> DataFrame:
     """doc_id, th (hash of the text), fp (hash of its shingle set), root (the group) for every row."""
+    with small_batches(docs.sparkSession, BATCH):
+        return _similar_rows(docs, least, shingle, word, radius, parts, accept)
+
+
+def _similar_rows(docs: DataFrame, least: float, shingle: int, word: str, radius: int, parts: int | None, accept: int) -> DataFrame:
     spark = docs.sparkSession
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = docs.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0).select("text").mapInArrow(_counts(shingle, word), "token long, n long")
