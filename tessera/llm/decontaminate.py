@@ -81,9 +81,13 @@ def item_windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     return cuts.select("item_id", "c.n", F.explode("c.keys").alias("key"))
 
 
-def _runs_of(n: int) -> Callable[[Column], Column]:
-    """All runs of ``n`` words."""
-    return lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: run(w, i, n)))
+def _runs_of(lengths: list[int]) -> Callable[[Column], Column]:
+    """All runs of these numbers of words as (at, n, key), cut in one pass."""
+
+    def runs(w: Column, n: int) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), run(w, i, n).alias("key"))))
+
+    return lambda w: F.flatten(F.filter(F.array(*[runs(w, n) for n in lengths]), lambda x: x.isNotNull()))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, span: int = SPAN, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -108,9 +112,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW
     pieces = found.select("doc_id", "th", F.explode(let(words(F.col("t")), cut)).alias("c")).select("doc_id", "th", "c.at", "c.key")
     tests_small = _small(tests, broadcast_rows)
     out = pieces.join(tests_small.where(F.col("n") == span), "key").select("doc_id", "th", "at", "n", "item_id")
-    for n in sorted(lengths):
-        every = base.select("doc_id", "th", F.posexplode(let(words(F.col("t")), _runs_of(n))).alias("at", "key"))
-        out = out.unionByName(every.join(tests_small.where(F.col("n") == n), "key").select("doc_id", "th", "at", "n", "item_id"))
+    if lengths:
+        every = base.select("doc_id", "th", F.explode(let(words(F.col("t")), _runs_of(sorted(lengths)))).alias("c")).select("doc_id", "th", "c.at", "c.n", "c.key")
+        out = out.unionByName(every.join(tests_small.where(F.col("n") < span), ["key", "n"]).select("doc_id", "th", "at", "n", "item_id"))
     return base.select("doc_id", "th", F.size(words(F.col("t"))).cast("long").alias("n_words")), out
 
 
