@@ -41,6 +41,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on Arrow batches of the session have at most ``rows`` rows: for stages that hand whole texts through Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows, for what runs inside: bounds the memory of Python workers on wide rows."""

@@ -207,8 +207,10 @@ def clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                yield batch.filter(pa.array([shared.value.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
