@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, mixing, token_binary, toxicity
-from tessera.llm.common import scratch, stored, table
+from tessera.llm.common import bound_batches, scratch, stored, table
 
 # all pairs of a similarity of 0.8 on sets of five-word shingles are links
 NEAR = {"shingle": 5, "least": 0.8}
@@ -21,6 +21,7 @@ NEAR = {"shingle": 5, "least": 0.8}
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity lexicon rejects (score of 0.5 or more) go."""
+    bound_batches(spark)
     lexicon = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
     return toxicity.clean(docs, lexicon)
 
@@ -64,6 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
+    bound_batches(spark)
     return token_binary.encode_documents(docs)
 
 
