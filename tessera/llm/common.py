@@ -10,6 +10,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_SIZE, _BATCH_ROWS, _BATCH_BYTES = "4m", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _OWN: dict[str, str] = {}
 _WRITTEN: dict[int, tuple[DataFrame, str]] = {}
 
@@ -41,21 +42,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on Arrow batches of the session have at most ``rows`` rows: for stages that hand whole texts through Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession, rows: int = 1000, size: str = BATCH_SIZE) -> None:
+    """From now on Arrow batches of the session have at most ``rows`` rows and end beyond ``size`` bytes: for stages that hand whole texts through Python."""
+    spark.conf.set(_BATCH_ROWS, str(rows))
+    spark.conf.set(_BATCH_BYTES, size)
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of at most ``rows`` rows, for what runs inside: bounds the memory of Python workers on wide rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int, size: str = BATCH_SIZE):
+    """Batches bound so for what runs inside: bounds the memory of executors and their Python workers on wide rows."""
+    before = {key: spark.conf.get(key) for key in (_BATCH_ROWS, _BATCH_BYTES)}
+    bound_batches(spark, rows, size)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def discard(*tables: DataFrame) -> None:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import open_fs, publish, scratch, stored, table
 
 SEQ_LEN, BATCH_ROWS, END_ID = 1024, 256, 0
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 200_000
 _MERGING_SPACE = re.compile(r"\s (?:\s|\Z)")
 # a word the pre-tokenizer surely keeps whole, and the punctuation that it surely cuts off it as one piece
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
@@ -128,7 +128,7 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens",
 _MANIFEST = "shard int, path string, docs_path string, n_docs long, n_ids long"
 
 
-def _groups(texts: list, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _groups(texts: list, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     at = size = 0
     for i, t in enumerate(texts):
         size += len(t)
