@@ -7,8 +7,9 @@ end there, found by a generalised suffix automaton of all tokens, longest first;
 undoing their merges, latest first, never shows a pair across the border that would have merged
 earlier. The first candidate that stays apart is stored; back-pointers from the end give the ids.
 
-All new pieces of a group of texts advance together, one byte at a time, as numpy columns. Pieces are what
-the byte-level pre-tokenizer cuts; ids of words between spaces are kept in a cache bounded in bytes.
+All new pieces of a group of texts advance together, one byte at a time, as numpy columns; where only few long ones are
+left, each goes on alone. Pieces are what the byte-level pre-tokenizer cuts. Their ids are kept in a cache bounded in
+bytes; a full one keeps what the last group of texts found there.
 
 The tables (automaton, merges, token bytes) are made once from the tokenizer file and broadcast: their
 size depends on that file alone, about 20 MB for 50,000 tokens.
@@ -27,19 +28,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import table
-from tessera.llm.token_binary import _MERGING_SPACE, _byte_letters
+from tessera.llm.token_binary import _byte_letters
 
-GROUP_CHARS, CACHE_BYTES, PIECE_BYTES = 1_000_000, 48 << 20, 2 << 20
+GROUP_CHARS, CACHE_BYTES, PIECE_BYTES = 2_000_000, 40 << 20, 2 << 20
+FEW, ASKED = 24, 19
 _FAR = np.iinfo(np.int32).max
-# the pre-tokenizer's pieces for Latin text; letters and digits up to U+024F are the same in all versions of Unicode
-_LATIN = re.compile(r"[\x20-ɏ]*")
-_L, _N = r"A-Za-zªµºÀ-ÖØ-öø-ɏ", r"0-9²³¹¼-¾"
-_PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^ \x85 {_L}{_N}]+|[ \x85 ]+(?![^ \x85 ])|[ \x85 ]+")
+# the pre-tokenizer's pieces for texts up to U+024F, whose classes are the same in all versions of Unicode
+_LATIN = re.compile(r"[\x00-\u024f]*")
+_L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+_PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 def suffix_automaton(strings: list[bytes]) -> tuple[list[dict[int, int]], list[int], list[int], list[int]]:
@@ -158,13 +161,33 @@ def read_tables(path: str) -> Tables:
     return out
 
 
+class Cache(dict):
+    """Ids by string, bounded in bytes."""
+
+    held = 0
+
+    def missing(self, some) -> list[str]:
+        """What of ``some`` is not here. A full cache first forgets all but the rest of it."""
+        if self.held > CACHE_BYTES:
+            kept = {w: self[w] for w in some if w in self}
+            self.clear()
+            self.held = 0
+            self.add(kept, kept.values())
+        return [w for w in some if w not in self]
+
+    def add(self, strings, ids) -> None:
+        before = len(self)
+        self.update(zip(strings, ids, strict=True))
+        self.held += 200 * (len(self) - before) + sum(map(len, strings)) + sum(map(len, ids))
+
+
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tables: Tables):
         self.t, self.length, self.n = tables, tables.length, len(tables.spelled)
-        self.cache: dict[str, bytes] = {}
-        self.held = 0
+        self.known = Cache()
+        self.asked, self.told = np.full(1 << ASKED, -1, np.int64), np.zeros(1 << ASKED, bool)
         self.added = re.compile("|".join(map(re.escape, sorted(tables.added, key=len, reverse=True)))) if tables.added else None
         self._other = None
 
@@ -185,6 +208,19 @@ class Encoder:
             a, b = np.where(undo, t.right[a], a), np.where(undo, b, t.left[b])
         return ok
 
+    def _remembered(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``apart`` with a table of answers; a later pair takes the place of an earlier one."""
+        key = a.astype(np.int64) * self.n + b
+        at = (key * 0x9E3779B1 >> 16) & (len(self.asked) - 1)
+        ok = self.told[at]
+        new = np.flatnonzero(self.asked[at] != key)
+        if len(new):
+            ok[new] = self.apart(a[new], b[new])
+            # equal pairs have equal answers; of different pairs at a place the last one stays in both tables
+            self.asked[at[new]] = key[new]
+            self.told[at[new]] = ok[new]
+        return ok
+
     def _step(self, state: np.ndarray, size: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The automaton after one more byte: state and length of the longest run that ends here and is in some token."""
         t, to, todo = self.t, np.zeros_like(state), np.arange(len(state))
@@ -214,6 +250,10 @@ class Encoder:
         state, size = np.zeros(len(lens), np.int32), np.zeros(len(lens), np.int32)
         for j in range(int(lens[0]) if len(lens) else 0):
             live = int(np.searchsorted(-lens, -j, "left"))  # pieces longer than j
+            if live <= FEW:
+                for k in range(live):
+                    self._finish(data[start[k] : start[k] + lens[k]].tobytes(), j, int(state[k]), int(size[k]), last[row[k] : row[k] + lens[k] + 1])
+                break
             state, size = self._step(state[:live], size[:live], data[start[:live] + j])
             token = np.where(size == t.size[state], t.near[state], t.near[t.link[state]])
             todo = np.arange(live)
@@ -221,7 +261,7 @@ class Encoder:
                 before = j + 1 - self.length[token]
                 ok = before == 0
                 ask = np.flatnonzero(~ok)
-                ok[ask] = self.apart(last[row[todo[ask]] + before[ask]], token[ask])
+                ok[ask] = self._remembered(last[row[todo[ask]] + before[ask]], token[ask])
                 last[row[todo[ok]] + j + 1] = token[ok]
                 todo, token = todo[~ok], t.shorter[token[~ok]]
         at, where, found, turn = lens.copy(), np.arange(len(lens)), [], 0
@@ -242,6 +282,34 @@ class Encoder:
             out[k] = raw[a:b]
         return out
 
+    def _finish(self, piece: bytes, done: int, state: int, size: int, last: np.ndarray) -> None:
+        """The same for one piece whose first ``done`` bytes are known, with plain numbers and a store of asked pairs."""
+        t, keys, ends, asked = self.t, self.t.keys, last.tolist(), {}
+        steps: dict[int, int] = {}
+        for j in range(done, len(piece)):
+            while True:
+                key = state << 8 | piece[j]
+                to = steps.get(key)
+                if to is None:
+                    place = int(np.searchsorted(keys, key))
+                    to = steps[key] = int(t.to[place]) if keys[place] == key else -1
+                if to >= 0:
+                    state, size = to, size + 1
+                    break
+                state = int(t.link[state])
+                size = int(t.size[state])
+            token = int(t.near[state] if size == t.size[state] else t.near[t.link[state]])
+            while True:
+                before = j + 1 - len(t.spelled[token])
+                pair = (ends[before], token)
+                if before and pair not in asked:
+                    asked[pair] = bool(self.apart(np.array([pair[0]]), np.array([token]))[0])
+                if not before or asked[pair]:
+                    break
+                token = int(t.shorter[token])
+            ends[j + 1] = token
+        last[:] = ends
+
     def cut(self, text: str) -> list[str]:
         """The pre-tokenizer's pieces."""
         if _LATIN.fullmatch(text):
@@ -252,61 +320,40 @@ class Encoder:
             self._other = pre_tokenizers.ByteLevel(add_prefix_space=False)
         return [text[a:b] for _, (a, b) in self._other.pre_tokenize_str(text)]
 
-    def _encode_cut(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts, each cut into pieces first; pieces that repeat are encoded once."""
-        cuts = [self.cut(t) for t in texts]
-        known = dict.fromkeys(p for c in cuts for p in c)
-        todo, size, some = list(known), 0, []
-        for k, piece in enumerate(todo):
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of pieces that are not known yet, in groups of bounded size."""
+        todo, size, some = self.known.missing(pieces), 0, []
+        for k, piece in enumerate(todo, 1):
             some.append(piece.encode())
             size += len(some[-1])
-            if size >= PIECE_BYTES or k + 1 == len(todo):
-                known.update(zip(todo[k + 1 - len(some) : k + 1], self._pieces(some), strict=True))
+            if size >= PIECE_BYTES or k == len(todo):
+                self.known.add(todo[k - len(some) : k], self._pieces(some))
                 some, size = [], 0
-        return [b"".join(map(known.__getitem__, c)) for c in cuts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """A run of white space is never cut inside, and words between single spaces are looked up."""
-        if self.held > CACHE_BYTES:
-            self.cache.clear()
-            self.held = 0
-        parts: list[list[tuple[bool, list[str]]]] = []
-        heads: dict[str, None] = {}
-        words: set[str] = set()
+        rows: list[list[list[str]]] = []  # of each text the pieces of what lies between added tokens
         marks: list[list[int]] = []
         for text in texts:
-            ids, cuts, at = [], [], 0
+            cuts, ids, at = [], [], 0
             for m in self.added.finditer(text) if self.added else ():
-                cuts.append(text[at : m.start()])
+                cuts.append(self.cut(text[at : m.start()]))
                 ids.append(self.t.added[m.group()])
                 at = m.end()
-            cuts.append(text[at:])
+            rows.append([*cuts, self.cut(text[at:] if at else text)])
             marks.append(ids)
-            parts.append([(True, [c]) if _MERGING_SPACE.search(c) else (False, c.split(" ")) for c in cuts])
-            for _, (head, *rest) in parts[-1]:
-                heads[head] = None
-                words.update(rest)
-        new = [w for w in words if w not in self.cache]
-        firsts = list(heads)
-        done = self._encode_cut([f" {w}" for w in new] + firsts)
-        self.cache.update(zip(new, done, strict=False))
-        self.held += sum(len(w) + len(ids) + 150 for w, ids in zip(new, done, strict=False))
-        of_head = dict(zip(firsts, done[len(new) :], strict=True))
-        get, out = self.cache.__getitem__, []
-        for cuts, ids in zip(parts, marks, strict=True):
-            row: list[bytes] = []
-            for k, (_, (head, *rest)) in enumerate(cuts):
-                if k:
-                    row.append(ids[k - 1].to_bytes(4, "little"))
-                row.append(of_head[head])
-                row += map(get, rest)
-            out.append(b"".join(row))
+        self._learn(set().union(*(pieces for cuts in rows for pieces in cuts)))
+        get, out = self.known.__getitem__, []
+        for cuts, ids in zip(rows, marks, strict=True):
+            done = [b"".join(map(get, cuts[0]))]
+            for token, pieces in zip(ids, cuts[1:], strict=True):
+                done += [token.to_bytes(4, "little"), *map(get, pieces)]
+            out.append(b"".join(done))
         return out
 
 
 def _groups(column: pa.Array, limit: int = GROUP_CHARS) -> Iterator[tuple[int, pa.Array]]:
     """Slices of a text or binary column of about ``limit`` bytes."""
-    sizes = column.fill_null("" if pa.types.is_string(column.type) else b"").value_lengths().to_numpy()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     groups = np.cumsum(sizes, dtype=np.int64) // limit
     edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(column)]
     for a, b in zip(edges, edges[1:], strict=False):

@@ -1,6 +1,7 @@
 """The training-data queries by name. SQL is given only where it can express a whole result."""
 
 from tessera.llm.ann import op3_nearest
+from tessera.llm.bpe import op11_bpe
 from tessera.llm.decontaminate import op10_decontaminate
 from tessera.llm.language_id import op1_language_id
 from tessera.llm.licenses import op7_licenses
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
+    "op11_bpe": op11_bpe,
 }
 
 # base32 of a SHA-1: eight groups of five hex digits give four letters each
