@@ -386,7 +386,7 @@ def _with(rows: DataFrame, name: str, kind: T.DataType, source: str, change) ->
                 some = batch.slice(start, len(part))
                 yield pa.RecordBatch.from_arrays([*(some.column(k) for k in keep), work(part)], names=labels)
 
-    return rows.mapInArrow(run, schema)
+    return rows.toDF(*(f"_{k}" for k in range(len(rows.columns)))).mapInArrow(run, schema)  # mapInArrow can't read names with a dot
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ids: str = "ids", tables=None) -> DataFrame:
