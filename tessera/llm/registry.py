@@ -5,6 +5,7 @@ from tessera.llm.bpe import op11_bpe
 from tessera.llm.decontaminate import op10_decontaminate
 from tessera.llm.language_id import op1_language_id
 from tessera.llm.licenses import op7_licenses
+from tessera.llm.merkle import op12_merkle
 from tessera.llm.mixing import op4_mixing
 from tessera.llm.pii import op9_pii
 from tessera.llm.simhash import op8_simhash
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
     "op11_bpe": op11_bpe,
+    "op12_merkle": op12_merkle,
 }
 
 # base32 of a SHA-1: eight groups of five hex digits give four letters each
@@ -49,5 +51,27 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
+# crc32 bit by bit over the digits: a byte comes in by xor, each of its eight bits goes out by a shift (marked -1)
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: list_concat([ascii(x)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295::BIGINT)"
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_MERKLE = f"""
+WITH RECURSIVE l AS (SELECT row_number() OVER () AS rid, doc_id, source, {_LEAF.format(text="text")} AS leaf,
+  CASE WHEN {_CRC} % 5 = 0 THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS forged FROM documents),
+a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+nodes AS (SELECT source AS tree, 0 AS lvl, pos, leaf AS d, n FROM a
+  UNION ALL SELECT tree, lvl + 1, pos // 16, sha256(string_agg(d, '' ORDER BY pos)), (n + 15) // 16 FROM nodes WHERE n > 1 GROUP BY tree, lvl, pos // 16, n),
+s AS (SELECT tree, d, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS lvl, pos, d, n FROM s UNION ALL SELECT lvl + 1, pos // 16, sha256(string_agg(d, '' ORDER BY pos)), (n + 15) // 16 FROM tops WHERE n > 1 GROUP BY lvl, pos // 16, n),
+r AS (SELECT tree, lvl, pos // 16 AS run, list(d ORDER BY pos) AS ds FROM nodes WHERE n > 1 GROUP BY ALL), t AS (SELECT lvl, pos // 16 AS run, list(d ORDER BY pos) AS ds FROM tops WHERE n > 1 GROUP BY ALL),
+q AS (SELECT rid, lvl, ds, (pos // (16 ** lvl)::BIGINT) % 16 AS k FROM a JOIN r ON r.tree IS NOT DISTINCT FROM a.source AND r.run = pos // (16 ** (lvl + 1))::BIGINT
+  UNION ALL SELECT rid, 1000 + lvl, ds, (s.pos // (16 ** lvl)::BIGINT) % 16 FROM a JOIN s ON s.tree IS NOT DISTINCT FROM a.source JOIN t ON t.run = s.pos // (16 ** (lvl + 1))::BIGINT),
+p AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY lvl) AS i, array_to_string(ds[1 : k], '') AS lo, array_to_string(ds[k + 2 :], '') AS hi FROM q),
+f AS (SELECT rid, 0 AS i, coalesce(forged, leaf) AS h FROM l UNION ALL SELECT f.rid, p.i, sha256(lo || h || hi) FROM f JOIN p ON p.rid = f.rid AND p.i = f.i + 1),
+e AS (SELECT rid, arg_max(h, i) AS folded_root FROM f GROUP BY rid), g AS (SELECT rid, sha256(string_agg(lo || hi, '' ORDER BY i)) AS proof FROM p GROUP BY rid)
+SELECT a.doc_id, a.leaf, s.d AS subroot, top.d AS root, coalesce(g.proof, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = top.d AS verified
+FROM a JOIN s ON s.tree IS NOT DISTINCT FROM a.source JOIN e ON e.rid = a.rid LEFT JOIN g ON g.rid = a.rid CROSS JOIN (SELECT d FROM tops WHERE n = 1) top
+"""
+
 # The others hash, learn, tokenize or draw in ways that SQL can't; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_warc_zip": _WARC, "op10_decontaminate": _LEAKS}
+ORACLE_SQL: dict[str, str] = {"op2_warc_zip": _WARC, "op10_decontaminate": _LEAKS, "op12_merkle": _MERKLE}
