@@ -2,6 +2,7 @@
 
 from tessera.llm.ann import op3_nearest
 from tessera.llm.bpe import op11_bpe
+from tessera.llm.collocations import op13_collocations
 from tessera.llm.decontaminate import op10_decontaminate
 from tessera.llm.language_id import op1_language_id
 from tessera.llm.licenses import op7_licenses
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_bpe": op11_bpe,
     "op12_merkle": op12_merkle,
+    "op13_collocations": op13_collocations,
 }
 
 # base32 of a SHA-1: eight groups of five hex digits give four letters each
@@ -73,5 +75,20 @@ SELECT a.doc_id, a.leaf, s.d AS subroot, top.d AS root, coalesce(g.proof, sha256
 FROM a JOIN s ON s.tree IS NOT DISTINCT FROM a.source JOIN e ON e.rid = a.rid LEFT JOIN g ON g.rid = a.rid CROSS JOIN (SELECT d FROM tops WHERE n = 1) top
 """
 
+_PHRASES = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(unnest(ps), '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, w[i : i + m - 1] AS ws FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) s(m) WHERE len(w) >= m)),
+f AS (SELECT lang, ws, len(ws) AS m, count(*) AS a FROM g GROUP BY lang, ws HAVING count(*) >= 30),
+k AS (SELECT f.lang, f.ws, f.a, x.a AS l, y.a AS r, (2000000::HUGEINT * f.a) // (x.a::HUGEINT + y.a) AS score, c
+  FROM (SELECT *, unnest(range(1, m)) AS c FROM f WHERE m > 1) f JOIN f x ON x.lang = f.lang AND x.ws = f.ws[1 : c] JOIN f y ON y.lang = f.lang AND y.ws = f.ws[c + 1 :]),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, c) = 1),
+e AS (SELECT DISTINCT lang, ws[i : i + s.m - 1] AS ws, s.m, a FROM (SELECT lang, ws, f.m, a, s.m AS sm, unnest(range(1, f.m - s.m + 2)) AS i FROM f, (VALUES (2), (3)) s(m) WHERE f.m > s.m) z JOIN (VALUES (2), (3)) s(m) ON s.m = z.sm),
+h AS (SELECT lang, ws, max(a) AS a FROM e GROUP BY lang, ws),
+o AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, b.a, l, r, score FROM b LEFT JOIN h ON h.lang = b.lang AND h.ws = b.ws WHERE h.a IS NULL OR 100::HUGEINT * h.a < 80::HUGEINT * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 # The others hash, learn, tokenize or draw in ways that SQL can't; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_warc_zip": _WARC, "op10_decontaminate": _LEAKS, "op12_merkle": _MERKLE}
+ORACLE_SQL: dict[str, str] = {"op2_warc_zip": _WARC, "op10_decontaminate": _LEAKS, "op12_merkle": _MERKLE, "op13_collocations": _PHRASES}
