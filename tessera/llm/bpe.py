@@ -28,15 +28,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table
+from tessera.llm.common import Cache, map_rows, slices, table
 from tessera.llm.token_binary import _byte_letters
 
-GROUP_CHARS, CACHE_BYTES, PIECE_BYTES = 2_000_000, 40 << 20, 2 << 20
+GROUP_BYTES, CACHE_BYTES, PIECE_BYTES = 2_000_000, 40 << 20, 2 << 20
 FEW, ASKED = 24, 19
 _FAR = np.iinfo(np.int32).max
 # the pre-tokenizer's pieces for texts up to U+024F, whose classes are the same in all versions of Unicode
@@ -161,32 +160,12 @@ def read_tables(path: str) -> Tables:
     return out
 
 
-class Cache(dict):
-    """Ids by string, bounded in bytes."""
-
-    held = 0
-
-    def missing(self, some) -> list[str]:
-        """What of ``some`` is not here. A full cache first forgets all but the rest of it."""
-        if self.held > CACHE_BYTES:
-            kept = {w: self[w] for w in some if w in self}
-            self.clear()
-            self.held = 0
-            self.add(kept, kept.values())
-        return [w for w in some if w not in self]
-
-    def add(self, strings, ids) -> None:
-        before = len(self)
-        self.update(zip(strings, ids, strict=True))
-        self.held += 200 * (len(self) - before) + sum(map(len, strings)) + sum(map(len, ids))
-
-
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tables: Tables):
         self.t, self.length, self.n = tables, tables.length, len(tables.spelled)
-        self.known = Cache()
+        self.known = Cache(CACHE_BYTES)
         self.asked, self.told = np.full(1 << ASKED, -1, np.int64), np.zeros(1 << ASKED, bool)
         self.added = re.compile("|".join(map(re.escape, sorted(tables.added, key=len, reverse=True)))) if tables.added else None
         self._other = None
@@ -351,16 +330,6 @@ class Encoder:
         return out
 
 
-def _groups(column: pa.Array, limit: int = GROUP_CHARS) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of a text or binary column of about ``limit`` bytes."""
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    groups = np.cumsum(sizes, dtype=np.int64) // limit
-    edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(column)]
-    for a, b in zip(edges, edges[1:], strict=False):
-        if a < b:
-            yield a, column.slice(a, b - a)
-
-
 def _broadcast(spark: SparkSession, tokenizer: str | None):
     if tokenizer is None:
         import public_tokenizers
@@ -382,11 +351,10 @@ def _with(rows: DataFrame, name: str, kind: T.DataType, source: str, change) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = change()
         for batch in batches:
-            for start, part in _groups(batch.column(at)):
-                some = batch.slice(start, len(part))
-                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in keep), work(part)], names=labels)
+            for some in slices(batch, at, GROUP_BYTES):
+                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in keep), work(some.column(at))], names=labels)
 
-    return rows.toDF(*(f"_{k}" for k in range(len(rows.columns)))).mapInArrow(run, schema)  # mapInArrow can't read names with a dot
+    return map_rows(rows, run, schema)
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", ids: str = "ids", tables=None) -> DataFrame:

@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import bit_filter, slices, stored, table, within
 
 LONGEST, LEAST, KEPT, SCALE = 4, 30, 2000, 2_000_000
-SLICE_BYTES, FILTER_BITS = 8 << 20, 1 << 26
+SLICE_BYTES = 8 << 20
 # fixed values: bytes that end a piece, and those that part words
 _BREAKS, _SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 _KIND = np.zeros(256, np.uint8)
@@ -59,14 +59,6 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarra
     return coded.indices.to_numpy(), coded.dictionary, np.cumsum(kind == 2, dtype=np.int64)[at] + text, text
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    groups = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(), dtype=np.int64) // SLICE_BYTES
-    edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(edges, edges[1:], strict=False):
-        if a < b:
-            yield batch.slice(a, b - a)
-
-
 class _Slice:
     """The words of some texts, coded by language and word."""
 
@@ -95,7 +87,7 @@ def _spelled(*words: pa.Array) -> pa.Array:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) of slices, and (lang, NULL, n) for all words of a language."""
     for batch in batches:
-        for some in _slices(batch):
+        for some in slices(batch, 1, SLICE_BYTES):
             s = _Slice(some)
             yield s.rows(s.lang, s.words.take(pa.array(s.word)), s.count)
             lang, all_of = np.unique(s.lang, return_inverse=True)
@@ -103,11 +95,6 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield s.rows(lang, pa.nulls(len(lang), pa.large_binary()), total)
 
 
-def _within(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = key & np.uint64(len(bits) * 64 - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a ^ (b >> np.uint64(1))
 
@@ -115,14 +102,14 @@ def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _pairs(s: _Slice, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places of a word that makes a pair of frequent words with the next, hashes of words, whether a word is frequent)."""
     own = s.hashes()
-    good = _within(often, own)[s.code]
+    good = within(often, own)[s.code]
     return np.flatnonzero(good[:-1] & good[1:] & (s.piece[:-1] == s.piece[1:])), own, good
 
 
 def _count_pairs(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in _slices(batch):
+            for some in slices(batch, 1, SLICE_BYTES):
                 s = _Slice(some)
                 at, _, _ = _pairs(s, words.value)
                 n = np.int64(len(s.lang))
@@ -136,10 +123,10 @@ def _count_pairs(words):
 def _count_longer(words, pairs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in _slices(batch):
+            for some in slices(batch, 1, SLICE_BYTES):
                 s = _Slice(some)
                 at, own, _ = _pairs(s, words.value)
-                at = at[_within(pairs.value, _pair_key(own[s.code[at]], own[s.code[at + 1]]))]
+                at = at[within(pairs.value, _pair_key(own[s.code[at]], own[s.code[at + 1]]))]
                 n = np.int64(max(1, len(s.lang)))
                 ok = np.zeros(len(s.code) + 2, bool)
                 ok[at] = True
@@ -161,18 +148,6 @@ def _summed(counts: DataFrame, least: int, label: str) -> DataFrame:
     return stored(counts.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where((F.col("a") >= least) | F.col("phrase").isNull()), label)
 
 
-def _filter(key, rows: DataFrame) -> np.ndarray:
-    """Bits of 64-bit keys, at most FILTER_BITS of them (8 MB) at any number of rows."""
-    size = 1 << 12
-    while size < min(FILTER_BITS, 16 * rows.count()):
-        size *= 2
-    at = key.bitwiseAND(F.lit(size - 1))
-    got = rows.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
-    out = np.zeros(size // 64, np.int64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, words, a) of all phrases of 1 to 4 words that occur ``least`` times, and (lang, n): all words of each language."""
     share = docs.sparkSession.sparkContext.broadcast
@@ -180,10 +155,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     kind = "lang string, phrase string, n long"
     words = _summed(rows.mapInArrow(_count_words, kind), least, "phrase-words")
     one = words.where(F.col("phrase").isNotNull())
-    often = share(_filter(F.xxhash64("lang", "phrase"), one))
+    often = share(bit_filter(one, F.xxhash64("lang", "phrase")))
     two = _summed(rows.mapInArrow(_count_pairs(often), kind), least, "phrase-pairs")
     cut = F.split("phrase", " ", -1)
-    second = share(_filter(F.xxhash64("lang", cut[0]).bitwiseXOR(F.shiftrightunsigned(F.xxhash64("lang", cut[1]), 1)), two))
+    second = share(bit_filter(two, F.xxhash64("lang", cut[0]).bitwiseXOR(F.shiftrightunsigned(F.xxhash64("lang", cut[1]), 1))))
     more = _summed(rows.mapInArrow(_count_longer(often, second), kind), least, "phrase-longer")
     every = one.unionByName(two).unionByName(more)
     return every.select("lang", cut.alias("words"), "a"), words.where(F.col("phrase").isNull()).select("lang", F.col("a").alias("n"))

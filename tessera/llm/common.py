@@ -5,7 +5,11 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,17 +46,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000, size: str = BATCH_SIZE) -> None:
-    """From now on Arrow batches of the session have at most ``rows`` rows and end beyond ``size`` bytes: for stages that hand whole texts through Python."""
-    spark.conf.set(_BATCH_ROWS, str(rows))
-    spark.conf.set(_BATCH_BYTES, size)
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int, size: str = BATCH_SIZE):
-    """Batches bound so for what runs inside: bounds the memory of executors and their Python workers on wide rows."""
+    """Arrow batches of at most ``rows`` rows that end beyond ``size`` bytes, for jobs that run inside: bounds the memory of executors and their Python workers on wide rows."""
     before = {key: spark.conf.get(key) for key in (_BATCH_ROWS, _BATCH_BYTES)}
-    bound_batches(spark, rows, size)
+    spark.conf.set(_BATCH_ROWS, str(rows))
+    spark.conf.set(_BATCH_BYTES, size)
     try:
         yield
     finally:
@@ -60,13 +59,70 @@ def small_batches(spark: SparkSession, rows: int, size: str = BATCH_SIZE):
             spark.conf.set(key, value)
 
 
+def discard_path(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what ``stored`` wrote for these, once nothing reads it any more."""
     for df in tables:
-        _, path = _WRITTEN.pop(id(df))
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        discard_path(df.sparkSession, _WRITTEN.pop(id(df))[1])
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch in which a text or binary column has about ``limit`` bytes: what a task holds as Python objects at a time."""
+    groups = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // limit
+    edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
+def map_rows(rows: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow by place: it can't read column names with a dot."""
+    return rows.toDF(*(f"_{k}" for k in range(len(rows.columns)))).mapInArrow(run, schema)
+
+
+class Cache(dict):
+    """What is known of a string, bounded in bytes: a full cache keeps only what is asked for next."""
+
+    def __init__(self, limit: int = 40 << 20):
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def missing(self, some) -> list[str]:
+        """What of ``some`` is not here; all of ``some`` can be added then."""
+        if self.held > self.limit:
+            kept = {w: self[w] for w in some if w in self}
+            self.clear()
+            self.held = 0
+            self.add(kept, kept.values())
+        return [w for w in some if w not in self]
+
+    def add(self, strings, values) -> None:
+        before = len(self)
+        self.update(zip(strings, values, strict=True))
+        self.held += 200 * (len(self) - before) + sum(map(len, strings)) + sum(map(len, values))
+
+
+def bit_filter(rows: DataFrame, key: Column, most: int = 1 << 26) -> np.ndarray:
+    """A filter of 64-bit keys, at most ``most`` bits (8 MB) at any number of rows: beyond that it lets more through, never less."""
+    size = 1 << 12
+    while size < min(most, 16 * rows.count()):
+        size *= 2
+    at = key.bitwiseAND(F.lit(size - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    got = rows.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def within(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys (unsigned) pass a ``bit_filter``."""
+    at = key & np.uint64(len(bits) * 64 - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,10 +28,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import open_fs, publish, scratch, stored, table
+from tessera.llm.common import Cache, open_fs, publish, scratch, slices, stored, table
 
 SEQ_LEN, BATCH_ROWS, END_ID = 1024, 256, 0
-CACHE_ENTRIES = 200_000
+CACHE_BYTES = 32 << 20
 _MERGING_SPACE = re.compile(r"\s (?:\s|\Z)")
 # a word the pre-tokenizer surely keeps whole, and the punctuation that it surely cuts off it as one piece
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
@@ -63,7 +63,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.cache = Cache(CACHE_BYTES)
         self.marks: dict[str, bytes] = {}  # punctuation at the end of a word; apart from the pieces, which follow a space
         self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.letters, self.model = _byte_letters(), self.tokenizer.model
@@ -75,22 +75,24 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Cache the ids of pieces that follow a space."""
-        cache, odd = self.cache, []
+        cache, odd, plain_ids = self.cache, [], {}
         for piece in pieces:
             plain = _PLAIN.fullmatch(piece)
             if not plain:
                 odd.append(piece)
                 continue
             word, marks = plain.groups()
-            if word not in cache:
-                cache[word] = self._model(" " + word)
+            ids = cache.get(word) or plain_ids.get(word)
+            if ids is None:
+                ids = plain_ids[word] = self._model(" " + word)
             if marks:
                 if marks not in self.marks:
                     self.marks[marks] = self._model(marks)
-                cache[piece] = cache[word] + self.marks[marks]
+                plain_ids[piece] = ids + self.marks[marks]
+        cache.add(plain_ids, plain_ids.values())
         for k in range(0, len(odd), 5_000):
             part = odd[k : k + 5_000]
-            cache.update(zip(part, self._library([" " + p for p in part]), strict=True))
+            cache.add(part, self._library([" " + p for p in part]))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -100,15 +102,14 @@ class Encoder:
         whole = [i for i, t in enumerate(texts) if _MERGING_SPACE.search(t) or any(a in t for a in self.added)]
         slow = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True)) if whole else {}
         cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
+        if len(self.marks) > 10_000:
             self.marks.clear()
         out, heads, pieces = [], [], []
         for i, t in enumerate(texts):
             head, *rest = ("",) if i in slow else t.split(" ")
             heads.append(head)
             pieces.append(rest)
-        self._learn([p for p in set().union(*pieces) if p not in cache])
+        self._learn(cache.missing(set().union(*pieces)))
         firsts = self._library(heads)
         for i, rest in enumerate(pieces):
             out.append(slow[i] if i in slow else firsts[i] + b"".join(map(cache.__getitem__, rest)))
@@ -128,17 +129,6 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens",
 _MANIFEST = "shard int, path string, docs_path string, n_docs long, n_ids long"
 
 
-def _groups(texts: list, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def write_shards(docs: DataFrame, out: str, tokenizer: str, seq_len: int = SEQ_LEN, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Range-partition by doc_id, encode, write one Arrow file a partition; returns the manifest, stored."""
 
@@ -183,19 +173,18 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, seq_len: int = SEQ_L
 
             batch = first
             while batch is not None:
-                doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                for a, b in _groups(texts):
+                for some in slices(batch, 1):
                     lengths = []
-                    for raw in encoder.encode(texts[a:b]):
+                    for raw in encoder.encode([t or "" for t in some.column(1).to_pylist()]):
                         pending += (raw, end)
                         lengths.append(len(raw) // width + 1)
                         held += lengths[-1]
                         if held >= 4 * per:
                             drain(False)
                     offsets = total + np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                    index.write_batch(pa.record_batch([pa.array(doc_ids[a:b], pa.int64()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], schema=_DOCS))
+                    index.write_batch(pa.record_batch([some.column(0).cast(pa.int64()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], schema=_DOCS))
                     total += int(sum(lengths))
-                    n_docs += b - a
+                    n_docs += some.num_rows
                 batch = next(batches, None)
             drain(True)
         for name in names:

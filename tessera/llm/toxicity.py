@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, stored, table, unit_draw
+from tessera.llm.common import crc_mod, map_rows, slices, stored, table, unit_draw
 
 ROWS_PER_CLASS, MIN_DOCS, MIN_ODDS, ERRORS, MIN_SPREAD, SEED = 6000, 5, 4.0, 0.05, 0.25, 5
 
@@ -204,15 +204,14 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The rows of docs, with the columns that they have, whose text scores under 0.5. One pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
-                yield batch.filter(pa.array([shared.value.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            for batch in slices(whole, at):
+                yield batch.rename_columns(names).filter(pa.array([shared.value.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
