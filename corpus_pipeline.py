@@ -9,11 +9,13 @@ without words are never taken, NULL is a source. token_binary: NULL and empty te
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, mixing, token_binary, toxicity
-from tessera.llm.common import bound_batches, scratch, stored, table
+from tessera.llm.common import bit_filter, discard, discard_path, scratch, stored, table, within
 
 # all pairs of a similarity of 0.8 on sets of five-word shingles are links
 NEAR = {"shingle": 5, "least": 0.8}
@@ -21,31 +23,50 @@ NEAR = {"shingle": 5, "least": 0.8}
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity lexicon rejects (score of 0.5 or more) go."""
-    bound_batches(spark)
     lexicon = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
     return toxicity.clean(docs, lexicon)
 
 
+def _key(doc_id: str, th) -> Column:
+    return F.xxhash64(doc_id, th)
+
+
+def _named(docs: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that are surely not among these (doc_id, hash of text), the others): told apart by a filter of bounded size, without a shuffle of texts."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(some, _key("doc_id", F.col("th"))))
+
+    @F.pandas_udf("boolean")
+    def may_be(key: pd.Series) -> pd.Series:
+        return pd.Series(within(bits.value, key.to_numpy().view(np.uint64)))
+
+    maybe = may_be(_key("doc_id", F.xxhash64("text")))
+    return docs.where(~maybe), docs.where(maybe)
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows of these (doc_id, hash of text)."""
-    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.th")), "left_anti")
+    """docs less the rows of these (doc_id, hash of text). Only texts that pass the filter are shuffled."""
+    clear, others = _named(docs, gone)
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.th"))
+    return clear.unionByName(others.alias("d").join(gone.alias("g"), same, "left_anti"))
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document of smallest doc_id (then hash of text) stays, once; NULL ids come last."""
     found = jaccard.similar(docs, **NEAR)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("m")).select(F.col("m.doc_id").alias("first_id"), F.col("m.th").alias("first_th"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("m")).select(F.col("m.doc_id").alias("first_id"), F.col("m.th").alias("first_th"), F.lit(True).alias("stays"))
     rows = found.groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
-    chosen = stored(first.join(rows, F.col("first_id").eqNullSafe(F.col("doc_id")) & (F.col("first_th") == F.col("th"))).select("first_id", "first_th", "rows"), "near-chosen")
-
-    def of(some: DataFrame) -> DataFrame:
-        return docs.alias("d").join(some.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.first_id")) & (F.xxhash64("d.text") == F.col("f.first_th")), "left_semi")
-
-    shared = chosen.where("rows > 1")
-    if shared.isEmpty():
-        return of(chosen)
-    again = of(shared).groupBy("doc_id", F.xxhash64("text").alias("th")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r")).select("r.*")
-    return of(chosen.where("rows = 1")).unionByName(again)
+    decided = rows.join(first, F.col("first_id").eqNullSafe(F.col("doc_id")) & (F.col("first_th") == F.col("th")), "left")
+    # what goes, and what stays but has rows that repeat it
+    decided = stored(decided.select("doc_id", "th", F.coalesce("stays", F.lit(False)).alias("stays")).where(~F.col("stays") | (F.col("rows") > 1)), "near-decided")
+    discard(found)
+    repeated = decided.where("stays")
+    if repeated.isEmpty():
+        return _without(docs, decided)
+    same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("d.text") == F.col("r.th"))
+    again = _named(docs, repeated)[1].alias("d").join(repeated.alias("r"), same, "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = again.groupBy("doc_id", F.xxhash64("text").alias("th")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("r")).select("r.*")
+    return _without(docs, decided).unionByName(one)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +86,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
-    bound_batches(spark)
     return token_binary.encode_documents(docs)
 
 
@@ -82,8 +102,12 @@ ORACLE_SQL = None  # learning, drawing and tokenizing can't be put in SQL; tests
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard_path(spark, before)  # the next stage has read it
+        before = path
     return docs
