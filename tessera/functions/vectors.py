@@ -52,10 +52,16 @@ def valid(v: Column, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & finite & (raw_dot(v, v) > 1e-12), F.lit(False))
 
 
-def centroid(df: DataFrame, keys: list[str], vector: str, weight: Column | None = None, floor: float = 0.01) -> DataFrame:
-    """keys, centroid (unit length): the mean per component, weighted if asked. Partial sums are per (key, component)."""
+def variance(x: Column) -> Column:
+    """Population variance of an array's values, inside the row."""
+    mean = F.aggregate(x, F.lit(0.0), lambda s, y: s + y) / F.size(x)
+    return F.get(F.transform(F.array(mean), lambda m: F.aggregate(x, F.lit(0.0), lambda s, y: s + (y - m) * (y - m)) / F.size(x)), F.lit(0))
+
+
+def centroid(df: DataFrame, keys: list[str], vector: str, dim: int, weight: Column | None = None, floor: float = 0.01) -> DataFrame:
+    """keys, centroid (unit length): the mean per component, weighted if asked. One sum a component, so a row stays a row and only sums are shuffled."""
     w = F.lit(1.0) if weight is None else F.greatest(F.lit(floor), F.coalesce(weight, F.lit(1.0)))
-    parts = df.select(*keys, w.alias("w"), F.posexplode(doubles(F.col(vector))).alias("pos", "x"))
-    means = parts.groupBy(*keys, "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
-    whole = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("p"))
-    return whole.select(*keys, normalized(F.col("p.x")).alias("centroid"))
+    v = doubles(F.col(vector))
+    rows = df.where(v.isNotNull()).select(*keys, w.alias("w"), F.when(F.size(v) == dim, v).otherwise(F.raise_error(F.lit(f"vectors must have {dim} components")).cast("array<double>")).alias("v"))
+    sums = rows.groupBy(*keys).agg(F.sum("w").alias("w"), *(F.sum(F.col("w") * F.get("v", F.lit(k))).alias(f"s{k}") for k in range(dim)))
+    return sums.select(*keys, normalized(F.array(*(F.col(f"s{k}") / F.col("w") for k in range(dim)))).alias("centroid"))

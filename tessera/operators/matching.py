@@ -1,28 +1,36 @@
-"""Similarity joins, nearest centroid and greedy one-to-one assignment."""
+"""Similarity joins with and without keys, nearest centroid, and greedy one-to-one assignment."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import vectors as V
 from tessera.sources.tables import settled
 
-MAX_BROADCAST_ROWS, BLOCK = 10_000, 1000
+MAX_BROADCAST_BYTES, MAX_PIVOTS, BLOCK = 32 << 20, 1024, 1000
+_EDGE = 1e-6  # angles are compared with this much room, so rounding never hides a pair
 
 
 def similarity_join(left: DataFrame, right: DataFrame, on: Sequence[str], threshold: float, left_vec: str, right_vec: str, extra=None) -> DataFrame:
     """Pairs that agree on ``on`` and whose cosine reaches the threshold. The sides' other columns must differ in name.
 
     Each vector is brought to unit length once, before it meets others. A key that holds much of a side is split by
-    AQE's skew join, since nothing above the join needs its rows together.
+    AQE's skew join, since nothing above the join needs its rows together. Without keys the pairs come from ``theta_join``.
     """
+    if not on:
+        a = settled(left.withColumn("_a", F.monotonically_increasing_id()))  # numbers must not change between reads
+        b = settled(right.withColumn("_b", F.monotonically_increasing_id()))
+        pairs = theta_join(a.select(F.col("_a").alias("id"), F.col(left_vec).alias("vec")), b.select(F.col("_b").alias("id"), F.col(right_vec).alias("vec")), threshold)
+        both = a.join(pairs.withColumnRenamed("id_a", "_a"), "_a").join(b.withColumnRenamed("_b", "id_b"), "id_b").drop("_a", "id_b")
+        both = both.select(*(c for c in both.columns if c != "sim"), "sim")
+        return both if extra is None else both.where(extra)
     unit_l, unit_r = V.normalized_or_zero(F.col(left_vec)).alias("_l"), V.normalized_or_zero(F.col(right_vec)).alias("_r")
     both = left.select("*", unit_l).join(right.select("*", unit_r), list(on))
     both = both if extra is None else both.where(extra)
@@ -30,111 +38,183 @@ def similarity_join(left: DataFrame, right: DataFrame, on: Sequence[str], thresh
 
 
 def _unit_rows(column: pa.Array) -> np.ndarray:
-    """The vectors of a list column at unit length; zero vectors stay zero."""
+    """The vectors of a list column without NULLs at unit length; zero vectors stay zero."""
     sizes = np.diff(column.offsets.to_numpy())
     if len(sizes) and (sizes.min() != sizes.max() or not sizes[0]):
         raise ValueError("vectors must be non-empty and of equal length")
-    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), sizes[0] if len(sizes) else 1)
     size = np.sqrt((m * m).sum(1, keepdims=True))
-    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+    return np.divide(m, size, out=np.zeros_like(m), where=size != 0)
 
 
-def _top(x: np.ndarray, ids: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sim, id) of the most similar unit vector; ids ascend, so the smaller id wins among equals."""
-    if len(x) and x.shape[1] != units.shape[1]:
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    if len(x) and len(y) and x.shape[1] != y.shape[1]:
         raise ValueError("vectors must be non-empty and of equal length")
-    sims = np.clip(x @ units.T, -1.0, 1.0) if len(x) else np.empty((0, len(ids)))
-    at = sims.argmax(1)
-    return sims[np.arange(len(x)), at], ids[at]
+    return np.clip(x @ y.T, -1.0, 1.0) if len(x) and len(y) else np.zeros((len(x), len(y)))
 
 
-def _packed(centroids: DataFrame, blocks: int) -> DataFrame:
-    """blk, ids, vecs: the centroids in lists of about ``BLOCK``."""
-    lists = centroids.select(F.pmod(F.xxhash64("centroid_id"), F.lit(blocks)).alias("blk"), F.struct(F.col("centroid_id").cast("long").alias("id"), F.col("centroid").cast("array<double>").alias("vec")).alias("c"))
-    return lists.groupBy("blk").agg(F.array_sort(F.collect_list("c")).alias("m")).select("blk", F.col("m.id").alias("ids"), F.col("m.vec").alias("vecs"))
+def _meet(left: DataFrame, right: DataFrame, run, schema: str, block: int = BLOCK) -> DataFrame:
+    """left(cell, id, vec), right(cell, id, vec): all of a cell meet, as lists of about ``block`` rows, each pair of lists under a key of its own.
+
+    run gets batches of (ids, vecs of a list on the left, ids, vecs of one on the right). However full a cell is, a task has two lists at a time.
+    """
+    n_left, n_right = (side.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name)) for side, name in ((left, "many"), (right, "other")))
+    sizes = n_left.join(n_right, "cell")
+
+    def lists(side: DataFrame, own: str, far: str, ids: str, vecs: str) -> DataFrame:
+        cut = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+        packed = side.join(sizes, "cell").groupBy("cell", far, cut.alias("at")).agg(F.collect_list(F.struct("id", "vec")).alias("m"))
+        spread = packed.withColumn("to", F.explode(F.sequence(F.lit(0), F.col(far) - 1)))
+        a, b = ("at", "to") if own == "many" else ("to", "at")
+        return spread.select("cell", F.col(a).alias("a"), F.col(b).alias("b"), F.col("m.id").alias(ids), F.col("m.vec").alias(vecs))
+
+    both = lists(left, "many", "other", "ids_a", "vecs_a").join(lists(right, "other", "many", "ids_b", "vecs_b"), ["cell", "a", "b"])
+    return both.select("ids_a", "vecs_a", "ids_b", "vecs_b").mapInArrow(run, schema)
+
+
+def _pivots(rows: DataFrame) -> np.ndarray:
+    """Some of the rows' unit vectors, by hash: about the square root of the rows, at most MAX_PIVOTS. They decide cost only."""
+    count = rows.count()
+    n = min(MAX_PIVOTS, math.isqrt(count) + 1)
+    for share in (max(1, count // (8 * n)), 1):
+        some = rows.where(F.pmod(F.xxhash64("vec"), F.lit(share)) == 0).select("vec").distinct().limit(n).toArrow().column("vec").combine_chunks()
+        if len(some) * 2 >= n or share == 1:
+            break
+    units = _unit_rows(some)
+    return units[(units != 0).any(1) & np.isfinite(units).all(1)] if len(units) else np.zeros((0, 1))
+
+
+def theta_join(left: DataFrame, right: DataFrame, threshold: float, ordered: bool = False, block: int = BLOCK) -> DataFrame:
+    """left(id, vec), right(id, vec) -> id_a, id_b, sim: all pairs whose cosine reaches the threshold, without any key.
+
+    Exact metric partitioning. Angles between vectors are a metric. The right side's vectors live in the cells of their
+    nearest pivots (sampled rows); a left vector visits the cells that can hold a vector within the angle of the threshold:
+    by the triangle inequality, a cell whose pivot is no further than that angle plus the cell's radius, and no more
+    than twice that angle further than the nearest pivot. Vectors that meet in a cell are compared as blocks, one matrix product for two.
+    ordered: only pairs of id_a < id_b, for a table with itself. NULL ids and vectors and those with NaN are in no pair; a zero vector's cosine is 0.
+    """
+    clean = [s.select(F.col("id").cast("long"), F.col("vec").cast("array<double>")).where("id IS NOT NULL AND vec IS NOT NULL") for s in (left, right)]
+    spark = left.sparkSession
+    pivots = spark.sparkContext.broadcast(_pivots(clean[1]))
+    wide = math.acos(max(-1.0, min(1.0, threshold)))
+
+    def angles(x: np.ndarray) -> np.ndarray:
+        return np.arccos(_cosines(x, pivots.value))
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _unit_rows(batch.column(1))
+            zero, odd = ~(x != 0).any(1), ~np.isfinite(x).all(1)
+            a = angles(x)
+            cell = np.where(odd, -2, np.where(zero, -1, a.argmin(1) if a.shape[1] else -2))
+            off = np.where(odd | zero, 0.0, a.min(1) if a.shape[1] else 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64()), pa.array(off, pa.float64())], names=["id", "vec", "cell", "off"])
+
+    housed = settled(clean[1].mapInArrow(home, "id long, vec array<double>, cell long, off double"))
+    radius = np.full(len(pivots.value), -np.inf)
+    for r in housed.where("cell >= 0").groupBy("cell").agg(F.max("off").alias("off")).collect():  # a row a pivot at most
+        radius[r["cell"]] = r["off"]
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                x = _unit_rows(batch.column(1))
+                zero, odd = ~(x != 0).any(1), ~np.isfinite(x).all(1)
+                a = angles(x)
+                near = a.min(1, keepdims=True) if a.shape[1] else np.zeros((len(x), 1))
+                go = (a <= wide + radius + _EDGE) & (a - near <= 2 * wide + _EDGE)
+                go[zero], go[odd] = threshold <= 0, False
+                cells = [np.flatnonzero(g).tolist() + ([-1] if threshold <= 0 and not o else []) for g, o in zip(go, odd, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], names=["id", "vec", "cells"])
+
+    sent = clean[0].mapInArrow(visits, "id long, vec array<double>, cells array<long>").select("id", "vec", F.explode("cells").alias("cell"))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, others = batch.column(0)[i].values.to_numpy(), batch.column(2)[i].values.to_numpy()
+                sims = _cosines(_unit_rows(batch.column(1)[i].values), _unit_rows(batch.column(3)[i].values))
+                a, b = np.nonzero((sims >= threshold) & (ids[:, None] < others[None]) if ordered else sims >= threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(others[b]), pa.array(sims[a, b])], names=["id_a", "id_b", "sim"])
+
+    return _meet(sent, housed.select("cell", "id", "vec"), close, "id_a long, id_b long, sim double", block)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """vectors(id, vec) -> id_a < id_b, sim: all pairs whose cosine reaches the threshold. NULL ids or vectors are in no pair."""
+    return theta_join(vectors, vectors, threshold, True, block)
 
 
 def nearest_centroid(rows: DataFrame, centroids: DataFrame, vec: str, threshold: float | None = None) -> DataFrame:
-    """Adds centroid_id and sim: the most similar centroid, the smaller id among equals; sims of -1 match none.
+    """Adds centroid_id and sim: the most similar centroid, the smaller id among equals; sims of -1 match none, NULL vectors neither.
 
-    centroids(centroid_id, centroid) has one row an id. It is counted first. Up to MAX_BROADCAST_ROWS it goes to every task as a matrix, and a
-    batch of rows is one matrix product, without a shuffle. Beyond that, numbered rows meet lists of centroids under a key a list, and each row keeps its
-    best; equal rows stay apart by their number.
+    centroids(centroid_id, centroid) has one row an id; those with NULLs are left out. They are written once and measured. Up to MAX_BROADCAST_BYTES they go to every task
+    as a matrix, and a batch of rows is one matrix product, without a shuffle. Beyond that, lists of numbered rows meet lists of centroids, and each row
+    keeps its best; equal rows stay apart by their number.
     """
     spark, kind = rows.sparkSession, dict(centroids.dtypes)["centroid_id"]
-    centroids = centroids.select("centroid_id", "centroid")
-    known = centroids.limit(MAX_BROADCAST_ROWS + 1).collect()
+    known = settled(centroids.select(F.col("centroid_id").cast("long").alias("id"), F.col("centroid").cast("array<double>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL"))
+    size = known.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()[0] * 8
     floor = -1.0 if threshold is None else max(-1.0, float(np.nextafter(threshold, -2)))
     schema = T.StructType([*rows.schema.fields, T.StructField("_id", T.LongType()), T.StructField("_sim", T.DoubleType())])
-    if not known:
-        found = rows.withColumn("_id", F.lit(None).cast("long")).withColumn("_sim", F.lit(None).cast("double"))
-    elif len(known) <= MAX_BROADCAST_ROWS:
-        known.sort(key=lambda r: r["centroid_id"])
-        shared = spark.sparkContext.broadcast((np.array([r["centroid_id"] for r in known], np.int64), _unit_rows(pa.array([r["centroid"] for r in known], pa.list_(pa.float64())))))
+    if size <= MAX_BROADCAST_BYTES:
+        sorted_ = known.orderBy("id").toArrow()
+        shared = spark.sparkContext.broadcast((sorted_.column("id").to_numpy(), _unit_rows(sorted_.column("vec").combine_chunks())))
         at = rows.columns.index(vec)
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, units = shared.value
             for batch in batches:
-                sim, ids = _top(_unit_rows(batch.column(at)), *shared.value)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids), pa.array(sim)], names=[f.name for f in schema.fields])
+                there = np.flatnonzero(batch.column(at).is_valid().to_numpy(zero_copy_only=False))
+                sim, top = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows, np.int64)
+                if len(ids):
+                    for k in range(0, len(there), 256):
+                        part = there[k : k + 256]
+                        sims = _cosines(_unit_rows(batch.column(at).take(pa.array(part))), units)
+                        first = sims.argmax(1)  # ids ascend, so the smaller id wins among equals
+                        sim[part], top[part] = sims[np.arange(len(part)), first], ids[first]
+                none = np.isnan(sim)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top, mask=none), pa.array(sim, mask=none)], names=[f.name for f in schema.fields])
 
         found = rows.mapInArrow(best, schema)
     else:
-        blocks = -(-centroids.count() // BLOCK)
         numbered = settled(rows.withColumn("_row", F.monotonically_increasing_id()))  # numbers must not change between reads
-        sent = numbered.select("_row", F.col(vec).alias("_vec"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("blk"))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sims, tops = [], []
                 for i in range(batch.num_rows):
-                    sim, ids = _top(_unit_rows(batch.column(1).slice(i, 1)), batch.column(2)[i].values.to_numpy(), _unit_rows(batch.column(3)[i].values))
-                    sims.append(sim[0])
-                    tops.append(ids[0])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sims, pa.float64()), pa.array(tops, pa.int64())], names=["_row", "_sim", "_id"])
-
-        met = sent.join(_packed(centroids, blocks), "blk").select("_row", "_vec", "ids", "vecs").mapInArrow(each, "_row long, _sim double, _id long")
+                    ids, others = batch.column(0)[i].values.to_numpy(), batch.column(2)[i].values.to_numpy()
+                    order = np.argsort(others)
+                    sims = _cosines(_unit_rows(batch.column(1)[i].values), _unit_rows(batch.column(3)[i].values)[order])
+                    first = sims.argmax(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sims[np.arange(len(ids)), first]), pa.array(others[order][first])], names=["_row", "_sim", "_id"])
+
+        one = F.lit(0).alias("cell")
+        sent = numbered.select(one, F.col("_row").alias("id"), F.col(vec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
+        met = _meet(sent, known.select(one, "id", "vec"), each, "_row long, _sim double, _id long")
         top = met.groupBy("_row").agg(F.max_by(F.struct("_sim", "_id"), F.struct(F.col("_sim"), -F.col("_id"))).alias("t"))
         found = numbered.join(top, "_row", "left").select(*rows.columns, F.col("t._id").alias("_id"), F.col("t._sim").alias("_sim"))
     ok = F.col("_sim") > floor
     return found.withColumn("centroid_id", F.when(ok, F.col("_id")).cast(kind)).withColumn("sim", F.when(ok, F.col("_sim"))).drop("_id", "_sim")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """vectors(id, vec) -> id_a < id_b, sim: all pairs whose cosine reaches the threshold.
+def greedy_assignment(edges: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """One-to-one matching inside each key: edges by falling sim (ties: left, then right), each taken if both its ends are free.
 
-    Vectors lie in lists of about ``block``; each pair of lists meets under a key of its own and is one matrix product.
+    In rounds of locally dominant edges: an edge that is first in this order at both its ends is one that greedy takes,
+    whatever else there is; its ends then leave with all their edges. A round takes the first edge of every key at least,
+    and of large keys many at once; a key may be of any size. Edges with a NULL key, end or sim are never taken.
     """
-    n = max(1, -(-vectors.count() // block))
-    rows = vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<double>"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("cut"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
-    lists = rows.groupBy(F.least("cut", "other").alias("low"), F.greatest("cut", "other").alias("high")).agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs"), F.collect_list("cut").alias("cuts"))
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                low, high, ids, cuts = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].values.to_numpy(), batch.column(4)[i].values.to_numpy()
-                unit = _unit_rows(batch.column(3)[i].values)
-                left, right = np.flatnonzero(cuts == low), np.flatnonzero(cuts == high)
-                sims = np.clip(unit[left] @ unit[right].T, -1.0, 1.0)
-                a, b = np.nonzero((sims >= threshold) & ((ids[left][:, None] < ids[right][None]) if low == high else (ids[left][:, None] != ids[right][None])))
-                x, y = ids[left][a], ids[right][b]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sims[a, b])], names=["id_a", "id_b", "sim"])
-
-    return lists.select("low", "high", "ids", "vecs", "cuts").mapInArrow(close, "id_a long, id_b long, sim double")
-
-
-def greedy(edges: pd.DataFrame, left: str, right: str) -> pd.DataFrame:
-    """Edges by falling sim (ties: left, then right order); an edge is taken if both its ends are free."""
-    a, b, out = set(), set(), []
-    for row in edges.sort_values(["sim", left, right], ascending=[False, True, True], kind="stable").itertuples():
-        x, y = getattr(row, left), getattr(row, right)
-        if x not in a and y not in b:
-            a.add(x)
-            b.add(y)
-            out.append(row.Index)
-    return edges.loc[out]
-
-
-def greedy_assignment(edges: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """One-to-one matching inside each key; a key is one frame's edges, so a group stays small."""
-    return edges.groupBy(*keys).applyInPandas(lambda e: greedy(e, left, right), edges.schema)
+    first = [F.desc("sim"), F.col(left), F.col(right)]
+    rest = settled(edges.dropna(subset=[*keys, left, right, "sim"]))
+    taken = None
+    while not rest.isEmpty():
+        at_left = F.row_number().over(Window.partitionBy(*keys, left).orderBy(*first))
+        at_right = F.row_number().over(Window.partitionBy(*keys, right).orderBy(*first))
+        best = settled(rest.withColumn("_l", at_left).where("_l = 1").drop("_l").join(rest.withColumn("_r", at_right).where("_r = 1").select(*keys, left, right), [*keys, left, right])).select(*edges.columns)
+        taken = best if taken is None else taken.unionByName(best)
+        for end in (left, right):
+            rest = rest.join(best.select(*keys, end), [*keys, end], "left_anti")
+        rest = settled(rest.select(*edges.columns))
+    return rest if taken is None else taken

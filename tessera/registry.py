@@ -35,8 +35,8 @@ def r6(x) -> F.Column:
 
 # ---- SQL of the observation table and its scores, for the comparison ----
 OBS = """
-obs0 AS (SELECT vec_id AS obs_id, vec_id % 5 AS stream_id, vec_id // 15 + 1 AS frame_index,
-  (vec_id // 15) * 200 + (vec_id // 105) * 1000 + (vec_id // 315) * 1500 AS ts_ms,
+obs0 AS (SELECT vec_id AS obs_id, (vec_id // 3000) * 5 + vec_id % 5 AS stream_id, (vec_id % 3000) // 15 + 1 AS frame_index,
+  ((vec_id % 3000) // 15) * 200 + ((vec_id % 3000) // 105) * 1000 + ((vec_id % 3000) // 315) * 1500 AS ts_ms,
   CAST((vec_id * 37) % 950 AS DOUBLE) AS box_left, CAST((vec_id * 53) % 1800 AS DOUBLE) AS box_top,
   CAST(20 + (vec_id * 29) % 180 AS DOUBLE) AS face_w, CAST(20 + (vec_id * 31) % 180 AS DOUBLE) AS face_h,
   1080 AS frame_w, 1920 AS frame_h, CAST((vec_id * 13) % 91 - 45 AS DOUBLE) AS pitch, CAST((vec_id * 17) % 121 - 60 AS DOUBLE) AS yaw,
@@ -191,8 +191,15 @@ def similarity_join(spark, sf_dir):
     return out.select("obs_a", "obs_b", r6("sim").alias("sim"))
 
 
+@query(f"WITH {OBS} SELECT a.obs_id AS id_a, b.obs_id AS id_b, round({COS.format(a='a.v', b='b.v')}, 6) AS sim FROM obs a JOIN obs b ON a.obs_id < b.obs_id WHERE {COS.format(a='a.v', b='b.v')} >= 0.35")
+def theta_join(spark, sf_dir):
+    """All pairs of observations, of whatever stream or label, whose cosine reaches a threshold."""
+    v = _obs(spark, sf_dir).select(c("obs_id").alias("id"), c("embedding").alias("vec"))
+    return matching.similar_pairs(v, 0.35).withColumn("sim", r6("sim"))
+
+
 def _centroids(spark, sf_dir, weight=None):
-    return V.centroid(_obs(spark, sf_dir), ["label"], "embedding", weight)
+    return V.centroid(_obs(spark, sf_dir), ["label"], "embedding", CFG.dim, weight)
 
 
 _CENTROID_OUT = "SELECT label, round(c[1], 6) AS c1, round(c[64], 6) AS c64, round(list_sum(c), 6) AS total FROM (SELECT label, centroid AS c FROM cent)"
@@ -231,7 +238,7 @@ def laplacian_variance(spark, sf_dir):
     v = V.doubles(c("embedding"))
     inner = [8 * y + x for y in range(1, 7) for x in range(1, 7)]
     lap = F.transform(F.array(*[F.lit(i) for i in inner]), lambda i: 4 * F.get(v, i) - F.get(v, i - 1) - F.get(v, i + 1) - F.get(v, i - 8) - F.get(v, i + 8))
-    return _obs(spark, sf_dir).select("obs_id", F.explode(lap).alias("y")).groupBy("obs_id").agg(r6(F.var_pop("y")).alias("variance"))
+    return _obs(spark, sf_dir).select("obs_id", lap.alias("lap")).select("obs_id", r6(V.variance(c("lap"))).alias("variance"))
 
 
 # ---- frames, joins, order ----
@@ -320,8 +327,16 @@ def unit_similarity(spark, sf_dir):
     return o.join(_centroids(spark, sf_dir), "label").select("obs_id", r6(V.unit_dot(c("unit"), c("centroid"))).alias("sim"))
 
 
-# ---- folds: not expressible in plain SQL, tested against slow versions ----
-@query()
+# ---- folds ----
+_EDGES = f"""e AS (SELECT b.stream_id, b.frame_index, a.obs_id AS obs_a, b.obs_id AS obs_b, {COS.format(a='a.v', b='b.v')} AS sim FROM obs a JOIN obs b ON a.stream_id = b.stream_id AND b.frame_index = a.frame_index + 1 WHERE a.usable AND b.usable),
+r AS (SELECT *, row_number() OVER (PARTITION BY stream_id, frame_index ORDER BY sim DESC, obs_b, obs_a) AS k FROM e WHERE sim >= 0),
+g AS (SELECT DISTINCT stream_id, frame_index, 0::BIGINT AS k, []::BIGINT[] AS xs, []::BIGINT[] AS ys FROM r
+  UNION ALL SELECT g.stream_id, g.frame_index, r.k, CASE WHEN list_contains(xs, obs_a) OR list_contains(ys, obs_b) THEN xs ELSE list_append(xs, obs_a) END, CASE WHEN list_contains(xs, obs_a) OR list_contains(ys, obs_b) THEN ys ELSE list_append(ys, obs_b) END
+  FROM g JOIN r ON r.stream_id = g.stream_id AND r.frame_index = g.frame_index AND r.k = g.k + 1),
+t AS (SELECT stream_id, frame_index, arg_max(xs, k) AS xs, arg_max(ys, k) AS ys FROM g GROUP BY stream_id, frame_index)"""
+
+
+@query(f"WITH RECURSIVE {OBS}, {_EDGES} SELECT stream_id, frame_index, obs_a, obs_b, round(sim, 6) AS sim FROM (SELECT unnest(xs) AS obs_a, unnest(ys) AS obs_b FROM t) JOIN e USING (obs_a, obs_b)")
 def greedy_assignment(spark, sf_dir):
     o = _obs(spark, sf_dir).where(scoring.identity_gate(CFG)).select("stream_id", "frame_index", c("obs_id").alias("obs_b"), c("embedding").alias("vec_b"))
     before = o.select("stream_id", (c("frame_index") + 1).alias("frame_index"), c("obs_b").alias("obs_a"), c("vec_b").alias("vec_a"))

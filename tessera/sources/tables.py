@@ -21,11 +21,11 @@ def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
 
 
 def observations(spark: SparkSession, sf_dir: str, cfg: Config = Config()) -> DataFrame:
-    """One observation per embedding, by integer arithmetic on its id."""
-    v = "vec_id"
+    """One observation per embedding, by integer arithmetic on its id. Streams hold 600 observations at most, so their number grows with the table."""
+    v, at = "vec_id", "(vec_id % 3000)"
     e = table(spark, sf_dir, "embeddings").selectExpr(
-        f"{v} AS obs_id", f"{v} % 5 AS stream_id", f"{v} div 15 + 1 AS frame_index",
-        f"({v} div 15) * 200 + ({v} div 105) * 1000 + ({v} div 315) * 1500 AS ts_ms",
+        f"{v} AS obs_id", f"({v} div 3000) * 5 + {v} % 5 AS stream_id", f"{at} div 15 + 1 AS frame_index",
+        f"({at} div 15) * 200 + ({at} div 105) * 1000 + ({at} div 315) * 1500 AS ts_ms",
         f"CAST(({v} * 37) % 950 AS DOUBLE) AS box_left", f"CAST(({v} * 53) % 1800 AS DOUBLE) AS box_top",
         f"CAST(20 + ({v} * 29) % 180 AS DOUBLE) AS face_w", f"CAST(20 + ({v} * 31) % 180 AS DOUBLE) AS face_h",
         "1080 AS frame_w", "1920 AS frame_h",

@@ -46,7 +46,7 @@ def test_vectors(spark):
         spark.createDataFrame([([1.0, 2.0], [1.0, 2.0, 3.0])], "a array<double>, b array<double>").select(V.cosine(F.col("a"), F.col("b"))).collect()
     got = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(V.normalized(F.col("v")).alias("n")).collect()
     assert [r.n for r in got] == [pytest.approx([0.6, 0.8]), [0.0, 0.0]]
-    c = V.centroid(spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0])], "k int, v array<double>"), ["k"], "v").first()["centroid"]
+    c = V.centroid(spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, None)], "k int, v array<double>"), ["k"], "v", 2).first()["centroid"]
     assert c == pytest.approx([2**-0.5] * 2)
     bad = [[0.1] * 192, [0.1] * 128, [float("nan")] + [0.1] * 191, [0.0] * 192]
     assert [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(bad)], "i int, v array<double>").orderBy("i").select(V.valid(F.col("v"), 192)).collect()] == [True, False, False, False]
@@ -105,11 +105,6 @@ def test_scene_split_equals_whole_fold(spark):
     assert n == len(pdf)
 
 
-def test_greedy_is_not_top_one():
-    e = pd.DataFrame({"a": [0, 0, 1], "b": [0, 1, 0], "sim": [0.9, 0.5, 0.8]})
-    assert matching.greedy(e, "a", "b")[["a", "b"]].values.tolist() == [[0, 0]]
-
-
 def test_live_sessions_equal_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -215,41 +210,79 @@ def test_clusters_equal_a_slow_version():
     assert merged > 10
 
 
-def test_greedy_equals_repeated_best_edge():
-    rng = random.Random(2)
-    for _ in range(100):
-        e = pd.DataFrame([(a, b, rng.randrange(6) / 5) for a in range(5) for b in range(4) if rng.random() < 0.7], columns=["a", "b", "sim"])
-        left, want = [tuple(r) for r in e.itertuples(index=False)], []
+def test_greedy_equals_repeated_best_edge(spark):
+    """Many keys with ties, chains in which each edge waits for the one before, repeated edges and NULLs."""
+    rng, rows = random.Random(2), []
+    for key in range(40):
+        rows += [(key, a, b, rng.randrange(6) / 5) for a in range(5) for b in range(4) if rng.random() < 0.7]
+    rows += [(100, 0, 0, 0.9), (100, 0, 1, 0.5), (100, 1, 0, 0.8), (101, 0, 0, 0.5), (101, 0, 0, 0.5)]
+    rows += [(102, k // 2, (k + 1) // 2, 1 - k / 50) for k in range(12)]
+    want = []
+    for key in {r[0] for r in rows}:
+        left = [r for r in rows if r[0] == key]
         while left:
-            top = min(left, key=lambda r: (-r[2], r[0], r[1]))
+            top = min(left, key=lambda r: (-r[3], r[1], r[2]))
             want.append(top)
-            left = [r for r in left if r[0] != top[0] and r[1] != top[1]]
-        assert [tuple(r) for r in matching.greedy(e, "a", "b").itertuples(index=False)] == want
+            left = [r for r in left if r[1] != top[1] and r[2] != top[2]]
+    odd = [(None, 1, 1, 0.9), (0, None, 9, 0.9), (0, 9, 9, None)]
+    edges = spark.createDataFrame(rows + odd, "k int, a int, b int, sim double")
+    assert sorted(tuple(r) for r in matching.greedy_assignment(edges, ["k"], "a", "b").collect()) == sorted(want)
+    assert matching.greedy_assignment(edges.limit(0), ["k"], "a", "b").count() == 0
 
 
-@pytest.mark.parametrize("limit", [10_000, 50])
+@pytest.mark.parametrize("limit", [1 << 25, 50])
 def test_nearest_centroid_keeps_equal_rows(spark, monkeypatch, limit):
-    """1,100 centroids, by broadcast and by lists under keys: five equal rows in, five out; the smaller id among equals."""
-    monkeypatch.setattr(matching, "MAX_BROADCAST_ROWS", limit)
-    monkeypatch.setattr(matching, "BLOCK", 200)
+    """1,100 centroids, by broadcast and by lists: five equal rows in, five out; the smaller id among equals; NULLs match none."""
+    monkeypatch.setattr(matching, "MAX_BROADCAST_BYTES", limit)
     rng = np.random.default_rng(4)
     m = rng.normal(size=(1100, 5))
     m[900] = 2 * m[3]
-    cents = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "centroid_id int, centroid array<double>")
-    rows = spark.createDataFrame([("x", m[3].tolist())] * 5 + [("y", (-m[7]).tolist()), ("z", [0.0] * 5)], "name string, vec array<double>")
-    got = sorted((r.name, r.centroid_id, round(r.sim, 9)) for r in matching.nearest_centroid(rows, cents, "vec").collect())
+    cents = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)] + [(2000, None), (None, [1.0] * 5)], "centroid_id int, centroid array<double>")
+    rows = spark.createDataFrame([("x", m[3].tolist())] * 5 + [("y", (-m[7]).tolist()), ("z", [0.0] * 5), ("none", None)], "name string, vec array<double>")
+    got = sorted((r.name, r.centroid_id, r.sim and round(r.sim, 9)) for r in matching.nearest_centroid(rows, cents, "vec").collect())
     sims = [[slow_cos(v, c) for c in m] for v in (-m[7], [0.0] * 5)]
     want = [(n, int(np.argmax(s)), round(max(s), 9)) for n, s in zip("yz", sims, strict=True)]
-    assert got == [("x", 3, 1.0)] * 5 + want
-    assert matching.nearest_centroid(rows, cents.limit(0), "vec").where("centroid_id is null").count() == 7
+    assert got == [("none", None, None)] + [("x", 3, 1.0)] * 5 + want
+    assert matching.nearest_centroid(rows, cents.limit(0), "vec").where("centroid_id is null").count() == 8
+
+
+def test_many_rows_meet_many_centroids_as_lists(spark, monkeypatch):
+    """Lists on both sides: what moves is a list for each pair of lists, not a list for each row."""
+    monkeypatch.setattr(matching, "MAX_BROADCAST_BYTES", 1000)
+    rng = np.random.default_rng(8)
+    rows, cents = rng.normal(size=(5000, 8)), rng.normal(size=(2500, 8))
+    a = spark.createDataFrame(pd.DataFrame({"name": range(5000), "vec": rows.tolist()}))
+    b = spark.createDataFrame(pd.DataFrame({"centroid_id": range(2500), "centroid": cents.tolist()}))
+    got = {r.name: r.centroid_id for r in matching.nearest_centroid(a, b, "vec").collect()}
+    unit = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in (rows, cents)]
+    assert [got[k] for k in range(5000)] == (unit[0] @ unit[1].T).argmax(1).tolist()
 
 
-def test_similar_pairs_over_several_blocks(spark):
+@pytest.mark.parametrize("threshold", [0.95, 0.7, 0.0, -0.3, -1.0])
+def test_theta_join_equals_all_pairs(spark, threshold):
+    """Clustered rows, copies, opposite and zero vectors, NULLs and NaN, in small blocks."""
     rng = np.random.default_rng(6)
-    m = rng.normal(size=(90, 4))
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "id int, vec array<double>")
-    got = sorted((r.id_a, r.id_b) for r in matching.similar_pairs(df, 0.7, block=20).collect())
-    assert got == [(a, b) for a in range(90) for b in range(a + 1, 90) if slow_cos(m[a], m[b]) >= 0.7] and got
+    m = np.concatenate([np.eye(4)[k] + rng.normal(0, 0.2, (30, 4)) for k in range(3)] + [rng.normal(size=(20, 4)), np.ones((12, 4)), -np.ones((2, 4)), np.zeros((3, 4))])
+    rows = [(k, v.tolist()) for k, v in enumerate(m)]
+    df = spark.createDataFrame([*rows, (500, None), (None, [1.0] * 4), (501, [float("nan"), 1.0, 0.0, 0.0])], "id int, vec array<double>")
+    sims = np.array([[slow_cos(a, b) for b in m] for a in m])
+    safe = {(a, b) for a in range(len(m)) for b in range(len(m)) if sims[a, b] >= threshold + 1e-9}
+    edge = {(a, b) for a in range(len(m)) for b in range(len(m)) if abs(sims[a, b] - threshold) < 1e-9}
+    got = [(r.id_a, r.id_b) for r in matching.similar_pairs(df, threshold, block=20).collect()]
+    assert len(got) == len(set(got)) and {p for p in safe if p[0] < p[1]} <= set(got) <= {p for p in safe | edge if p[0] < p[1]}
+    other = spark.createDataFrame(rows[:40], "id int, vec array<double>")
+    both = {(r.id_a, r.id_b) for r in matching.theta_join(other, df, threshold, block=20).collect()}
+    assert {p for p in safe if p[0] < 40} <= both <= {p for p in safe | edge if p[0] < 40}
+    assert matching.similar_pairs(df.limit(0), threshold).count() == 0
+
+
+def test_similarity_join_without_keys(spark):
+    a = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [0.0, 1.0]), ("p", [1.0, 0.0])], "x string, u array<double>")
+    b = spark.createDataFrame([("r", [2.0, 0.1]), ("s", [-1.0, 0.0])], "y string, w array<double>")
+    out = matching.similarity_join(a, b, [], 0.9, "u", "w")
+    assert out.columns == ["x", "u", "y", "w", "sim"] and sorted((r.x, r.y) for r in out.collect()) == [("p", "r"), ("p", "r")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_run_report_counts_identities(spark):
