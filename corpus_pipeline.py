@@ -31,6 +31,11 @@ def _key(doc_id: str, th) -> Column:
     return F.xxhash64(doc_id, th)
 
 
+def _same(other: str) -> Column:
+    """A row d of documents is meant by a row of (doc_id, hash of text)."""
+    return F.col("d.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.xxhash64("d.text") == F.col(f"{other}.th"))
+
+
 def _named(docs: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that are surely not among these (doc_id, hash of text), the others): told apart by a filter of bounded size, without a shuffle of texts."""
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(some, _key("doc_id", F.col("th"))))
@@ -46,8 +51,7 @@ def _named(docs: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs less the rows of these (doc_id, hash of text). Only texts that pass the filter are shuffled."""
     clear, others = _named(docs, gone)
-    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.th"))
-    return clear.unionByName(others.alias("d").join(gone.alias("g"), same, "left_anti"))
+    return clear.unionByName(others.alias("d").join(gone.alias("g"), _same("g"), "left_anti"))
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +66,7 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated = decided.where("stays")
     if repeated.isEmpty():
         return _without(docs, decided)
-    same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("d.text") == F.col("r.th"))
-    again = _named(docs, repeated)[1].alias("d").join(repeated.alias("r"), same, "left_semi")
+    again = _named(docs, repeated)[1].alias("d").join(repeated.alias("r"), _same("r"), "left_semi")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     one = again.groupBy("doc_id", F.xxhash64("text").alias("th")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("r")).select("r.*")
     return _without(docs, decided).unionByName(one)
@@ -72,7 +75,8 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     _, found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, stored(found.select("doc_id", "th").distinct(), "leaks"))
+    leaks = stored(found.select("doc_id", "th").distinct(), "leaks")
+    return docs.alias("d").join(leaks.alias("g"), _same("g"), "left_anti")  # without _without: this stage runs no Python
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
