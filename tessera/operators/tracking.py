@@ -2,7 +2,7 @@
 
 Tracking is sequential only inside a scene: where two consecutive observation frames of a stream are
 more than the gap apart every track has closed, so scenes are independent groups. Clustering is
-sequential over a stream's segments in their closing order.
+sequential over a stream's segments in their closing order; streams too long for a task are clustered over tables.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.functions import scoring
+from tessera.operators.clustering import leaders, merged
 from tessera.operators.sessions import closing_frames, sessionize
+from tessera.sources.tables import settled
 
+LONGEST = 5000
 SEGMENTS = "stream_id long, scene_id long, track_id long, start_ms long, last_ms long, n_obs long, best_obs long, best_score double, best_rep boolean, best_sharpness double, peak_obs long, peak_rep boolean, peak_value double, embedding array<double>"
 ENTITIES = "stream_id long, entity_id long, n_segments long, n_obs long, best_obs long, peak_obs long, first_ms long, last_ms long, members array<long>"
 
@@ -146,8 +149,23 @@ def cluster_segments(rows: list[tuple[int, np.ndarray, float]], threshold: float
     return [[rows[k][0] for k in g] for g in groups]
 
 
-def entities(segments: DataFrame, frames: DataFrame, cfg: Config = Config(), merge: bool = True) -> DataFrame:
-    """Segments in closing order -> identities, with the tiered best row and the peak row of each."""
+def _entities_by_tables(ranked: DataFrame, cfg: Config, merge: bool) -> DataFrame:
+    """The same as the fold of a stream, where a stream is too long for one task."""
+    rows = ranked.withColumnsRenamed({"close_rank": "rank", "embedding": "vec", "best_score": "weight"})
+    found = leaders(rows, cfg.similarity, cfg.weight_floor)
+    found = merged(found, cfg.similarity, cfg.weight_floor) if merge else found.withColumn("entity", F.col("cluster")).withColumn("place", F.col("rank"))
+    best, peak = (F.struct(*(F.col(c) for c in key), -F.col("place")) for key in (("best_rep", "weight"), ("peak_rep", "peak_value")))
+    return found.groupBy("stream_id", F.col("entity").alias("entity_id")).agg(
+        F.count("*").alias("n_segments"), F.sum("n_obs").alias("n_obs"), F.max_by("best_obs", best).alias("best_obs"), F.max_by("peak_obs", peak).alias("peak_obs"),
+        F.min("start_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.transform(F.array_sort(F.collect_list(F.struct("place", "track_id"))), lambda m: m["track_id"]).alias("members"),
+    )
+
+
+def entities(segments: DataFrame, frames: DataFrame, cfg: Config = Config(), merge: bool = True, longest: int = LONGEST) -> DataFrame:
+    """Segments in closing order -> identities, with the tiered best row and the peak row of each.
+
+    A stream of up to ``longest`` segments is one group; longer ones are clustered over tables, with the same result.
+    """
     ranked = closing_frames(segments.withColumnRenamed("track_id", "segment_id"), frames, cfg.gap_ms).withColumnRenamed("segment_id", "track_id")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -161,4 +179,9 @@ def entities(segments: DataFrame, frames: DataFrame, cfg: Config = Config(), mer
             out.append((int(pdf["stream_id"].iloc[0]), k, len(own), int(own["n_obs"].sum()), int(best.best_obs), int(peak.peak_obs), int(own["start_ms"].min()), int(own["last_ms"].max()), [int(m) for m in members]))
         return pd.DataFrame(out, columns=[c.split()[0] for c in ENTITIES.split(", ")])
 
-    return ranked.groupBy("stream_id").applyInPandas(fold, ENTITIES)
+    ranked = settled(ranked)
+    long = ranked.groupBy("stream_id").count().where(F.col("count") > longest).select("stream_id")
+    if long.isEmpty():
+        return ranked.groupBy("stream_id").applyInPandas(fold, ENTITIES)
+    short = ranked.join(long, "stream_id", "left_anti").groupBy("stream_id").applyInPandas(fold, ENTITIES)
+    return short.unionByName(_entities_by_tables(ranked.join(long, "stream_id"), cfg, merge))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.config import Config
 from tessera.functions import layout, scoring
 from tessera.functions import vectors as V
-from tessera.operators import matching, sessions, tracking
+from tessera.operators import clustering, matching, sessions, tracking
 from tessera.plans import pipeline
 from tessera.sources import tables as S
 
@@ -344,6 +344,41 @@ def greedy_assignment(spark, sf_dir):
     return matching.greedy_assignment(edges, ["stream_id", "frame_index"], "obs_b", "obs_a").withColumn("sim", r6("sim"))
 
 
+_LEADERS = f"""ln AS (SELECT stream_id, obs_id, v, list_transform(v, lambda x: x * greatest(0.1, rep_score)) AS wv, row_number() OVER (PARTITION BY stream_id ORDER BY obs_id) AS k FROM obs WHERE usable),
+lf AS (SELECT DISTINCT stream_id, 0::BIGINT AS k, []::DOUBLE[][] AS dirs, []::DOUBLE[][] AS plains, []::BIGINT[] AS asg FROM ln
+  UNION ALL SELECT stream_id, k, CASE WHEN pick IS NULL THEN list_append(dirs, wv) ELSE list_transform(range(1, len(dirs) + 1), lambda i: CASE WHEN i = pick THEN list_transform(range(1, 65), lambda d: dirs[i][d] + wv[d]) ELSE dirs[i] END) END,
+    CASE WHEN pick IS NULL THEN list_append(plains, v) ELSE list_transform(range(1, len(plains) + 1), lambda i: CASE WHEN i = pick THEN list_transform(range(1, 65), lambda d: plains[i][d] + v[d]) ELSE plains[i] END) END,
+    list_append(asg, coalesce(pick, len(dirs) + 1)) FROM (SELECT *, CASE WHEN list_max(sims) >= 0.25 THEN list_position(sims, list_max(sims)) END AS pick FROM (
+      SELECT lf.stream_id, ln.k, dirs, plains, asg, v, wv, list_transform(dirs, lambda m: {COS.format(a='m', b='v')}) AS sims FROM lf JOIN ln ON ln.stream_id = lf.stream_id AND ln.k = lf.k + 1))),
+le AS (SELECT * FROM lf QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY k DESC) = 1)"""
+_MERGES = f"""me AS (SELECT stream_id, 0 AS step, dirs, plains, range(1, len(dirs) + 1) AS alive, range(1, len(dirs) + 1) AS roots FROM le
+  UNION ALL SELECT stream_id, step + 1, list_transform(range(1, len(dirs) + 1), lambda i: CASE WHEN i = p[1] THEN list_transform(range(1, 65), lambda d: plains[p[1]][d] + plains[p[2]][d]) ELSE dirs[i] END),
+    list_transform(range(1, len(dirs) + 1), lambda i: CASE WHEN i = p[1] THEN list_transform(range(1, 65), lambda d: plains[p[1]][d] + plains[p[2]][d]) ELSE plains[i] END),
+    list_filter(alive, lambda i: i <> p[2]), list_transform(roots, lambda i: CASE WHEN i = p[2] THEN p[1] ELSE i END)
+  FROM (SELECT *, flatten(list_transform(alive, lambda i: list_transform(list_filter(alive, lambda j: j > i AND {COS.format(a='dirs[i]', b='dirs[j]')} >= 0.25), lambda j: [i, j])))[1] AS p FROM me) WHERE p IS NOT NULL),
+mr AS (SELECT * FROM me QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY step DESC) = 1)"""
+
+
+def _ordered(spark, sf_dir):
+    o = _obs(spark, sf_dir).where(scoring.identity_gate(CFG))
+    rank = F.row_number().over(Window.partitionBy("stream_id").orderBy("obs_id"))
+    return o.select("obs_id", "stream_id", rank.alias("rank"), c("embedding").alias("vec"), c("rep_score").alias("weight"))
+
+
+@query(f"WITH RECURSIVE {OBS}, {_LEADERS} SELECT obs_id, ln.stream_id, asg[ln.k] AS cluster FROM ln JOIN le ON le.stream_id = ln.stream_id")
+def leaders_in_epochs(spark, sf_dir):
+    """Ordered leader clustering of all usable observations of a stream, in epochs of frozen clusters."""
+    return clustering.leaders(_ordered(spark, sf_dir), CFG.similarity, CFG.weight_floor, block=64).select("obs_id", "stream_id", "cluster")
+
+
+@query(f"WITH RECURSIVE {OBS}, {_LEADERS}, {_MERGES} SELECT obs_id, ln.stream_id, roots[asg[ln.k]] AS root, dense_rank() OVER (PARTITION BY ln.stream_id ORDER BY roots[asg[ln.k]]) AS entity FROM ln JOIN le ON le.stream_id = ln.stream_id JOIN mr ON mr.stream_id = ln.stream_id")
+def merged_leaders(spark, sf_dir):
+    """The same, then the first close pair of clusters merged until none is left. root: the first cluster of the entity."""
+    found = clustering.leaders(_ordered(spark, sf_dir), CFG.similarity, CFG.weight_floor)
+    out = clustering.merged(found, CFG.similarity, CFG.weight_floor)
+    return out.select("obs_id", "stream_id", F.min("cluster").over(Window.partitionBy("stream_id", "entity")).alias("root"), "entity")
+
+
 @query()
 def track_appearances(spark, sf_dir):
     t = tracking.track(_obs(spark, sf_dir), CFG)
