@@ -9,9 +9,10 @@ code wins, and the score is the winner's share of 2^-length (the posterior under
 
 Fitting reads a bounded, documented sample: about ``docs_per_lang`` whole documents a language,
 chosen by a hash of id and text, so that a text with many copies is drawn as often as its share
-and not all or nothing. Counting is distributed and inside texts, so it is the same under any partitioning;
-the model keeps the ``GRAMS_PER_LANG`` most frequent runs and of them the ``contexts`` most frequent
-contexts of the longest order a language, so it is bounded too. Every document is scored whole.
+and not all or nothing. Counting is distributed and inside texts, so it is the same under any partitioning.
+The model keeps every context of the sample: the ``contexts`` most frequent ones of the longest order a language as full rows,
+all others sparsely, by their seen symbols and what an unseen one adds to its shorter context. That number decides speed only.
+Every document is scored whole.
 
 Defined results: NULL text and text without a letter give ``und`` with score 0, as does everything
 when nothing could be learned; rows of NULL doc_id are neither learned from nor held out; equal
@@ -26,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_mod, stored, table, unit_draw
 
-ORDER, DOCS_PER_LANG, CONTEXTS, GRAMS_PER_LANG, SEED = 3, 3000, 4096, 400_000, 11
+ORDER, DOCS_PER_LANG, CONTEXTS, SEED = 3, 3000, 4096, 11
+_LEAST = 1e-12  # probabilities are taken as this at least
 PAD = b"\n" * ORDER
 _STEP = 1 << 19
 
@@ -65,7 +67,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """labelled(lang, text, doc_id if there is one) -> language -> (grams, counts), at most GRAMS_PER_LANG each."""
+    """labelled(lang, text, doc_id if there is one) -> language -> (grams, counts): the distinct runs of the bounded sample."""
     rows = labelled.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
@@ -74,22 +76,29 @@ def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> dict[str, tu
     draw = unit_draw(labelled, SEED)
     grams = rows.where(draw < share).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = stored(grams, "ppm-grams")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    most = grams.withColumn("rank", rank).where(F.col("rank") <= GRAMS_PER_LANG).select("lang", "gram", "n").toPandas()
-    return {lang: (own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.float64)) for lang, own in most.groupby("lang")}
+    found = grams.orderBy("lang", "gram").toArrow().combine_chunks()
+    langs = found.column("lang").to_numpy() if not found.num_rows else np.array(found.column("lang").to_pylist(), object)
+    gram, n = found.column("gram").to_numpy(), found.column("n").to_numpy().astype(np.float64)
+    return {lang: (gram[langs == lang], n[langs == lang]) for lang in sorted(set(langs.tolist()))}
 
 
 class Table:
     """One language's context tree as a table state x byte -> bits, over contexts that the language has."""
 
     def __init__(self, grams: np.ndarray, n: np.ndarray, contexts: int = CONTEXTS):
-        orders = self._orders(grams, n, contexts)
-        kept = [np.unique(ctx) for ctx, _, _ in orders]
+        orders = self._orders(grams, n)
+        every = [np.unique(ctx) for ctx, _, _ in orders]
+        full = self._frequent(orders[ORDER], contexts)
+        kept = [*every[:ORDER], full]
         starts = np.cumsum([0, *map(len, kept)])
         self.bits = np.empty((starts[-1], 256), np.float32)
         below = np.full((1, 256), 1 / 256)
         for k, (ctx, sym, count) in enumerate(orders):
-            parent = below[np.searchsorted(kept[k - 1], kept[k] & (256 ** (k - 1) - 1))] if k > 1 else np.repeat(below, len(kept[k]), 0)
+            if k == ORDER:
+                self._sparse(orders[k], every[k], full, below, every[k - 1])
+                own = np.isin(ctx, full)
+                ctx, sym, count = ctx[own], sym[own], count[own]
+            parent = below[np.searchsorted(every[k - 1], kept[k] & (256 ** (k - 1) - 1))] if k > 1 else np.repeat(below, len(kept[k]), 0)
             seen = np.zeros((len(kept[k]), 256))
             seen[np.searchsorted(kept[k], ctx), sym] = count
             total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
@@ -97,40 +106,62 @@ class Table:
             rest = np.where(seen > 0, 0, parent) / np.maximum(free, 1e-300)
             escape = np.where(free > 0, kinds, 0)
             below = (seen + escape * rest) / (total + escape)
-            self.bits[starts[k] : starts[k + 1]] = -np.log2(np.maximum(below, 1e-12))
+            self.bits[starts[k] : starts[k + 1]] = -np.log2(np.maximum(below, _LEAST))
         self.flat = self.bits.ravel()
-        # the state of a position: its longest kept context
+        # the state of a position: its longest context; sparse ones are numbered from -2 down
         one = np.full(256, starts[0], np.int32)
         one[kept[1]] = starts[1] + np.arange(len(kept[1]))
         self.two = np.tile(one, 256)
         self.two[kept[2]] = starts[2] + np.arange(len(kept[2]))
-        pairs = np.unique(kept[3] >> 8)
+        pairs = np.unique(every[3] >> 8)
         self.pair = np.zeros(65_536, np.int32)
         self.pair[pairs] = 1 + np.arange(len(pairs))
         self.three = np.full((len(pairs) + 1) * 256, -1, np.int32)
-        self.three[self.pair[kept[3] >> 8] * 256 + (kept[3] & 255)] = starts[3] + np.arange(len(kept[3]))
+        for some, states in ((full, starts[3] + np.arange(len(full))), (self.others, -2 - np.arange(len(self.others)))):
+            self.three[self.pair[some >> 8] * 256 + (some & 255)] = states
 
     @staticmethod
-    def _orders(grams: np.ndarray, n: np.ndarray, contexts: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _orders(grams: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(context, symbol, count) of each order."""
         out = []
         for k in range(ORDER + 1):
             at, inverse = np.unique(grams & (256 ** (k + 1) - 1), return_inverse=True)
-            total = np.bincount(inverse, weights=n)
-            ctx, sym = at >> 8, at & 255
-            if k == ORDER:
-                each, inverse = np.unique(ctx, return_inverse=True)
-                weight = np.bincount(inverse, weights=total)
-                good = np.sort(each[np.argsort(-weight, kind="stable")[:contexts]])
-                keep = np.isin(ctx, good)
-                ctx, sym, total = ctx[keep], sym[keep], total[keep]
-            out.append((ctx, sym, total))
+            out.append((at >> 8, at & 255, np.bincount(inverse, weights=n)))
         return out
 
+    @staticmethod
+    def _frequent(order: tuple[np.ndarray, np.ndarray, np.ndarray], contexts: int) -> np.ndarray:
+        each, inverse = np.unique(order[0], return_inverse=True)
+        weight = np.bincount(inverse, weights=order[2])
+        return np.sort(each[np.argsort(-weight, kind="stable")[:contexts]])
+
+    def _sparse(self, order: tuple[np.ndarray, np.ndarray, np.ndarray], every: np.ndarray, full: np.ndarray, shorter: np.ndarray, shorter_contexts: np.ndarray) -> None:
+        """The contexts without a row of their own: bits of their seen symbols, and what an unseen symbol costs above its shorter context."""
+        self.others = np.setdiff1d(every, full, assume_unique=True)
+        own = np.isin(order[0], self.others)
+        ctx, sym, count = (x[own] for x in order)
+        at = np.searchsorted(self.others, ctx)
+        total, kinds = np.bincount(at, count, len(self.others)), np.bincount(at, minlength=len(self.others))
+        parent = shorter[np.searchsorted(shorter_contexts, ctx & 0xFFFF), sym]
+        seen = np.bincount(at, parent, len(self.others))
+        free = np.where(kinds < 256, np.maximum(1 - seen, 0), 0)
+        escape = np.where(free > 0, kinds, 0)
+        self.seen = at.astype(np.int64) << 8 | sym  # ascending, as contexts and symbols are
+        self.seen_bits = -np.log2(np.maximum(count / (total + escape)[at], _LEAST)).astype(np.float32)
+        self.unseen_bits = -np.log2(np.maximum(escape / (total + escape) / np.maximum(free, 1e-300), _LEAST)).astype(np.float32)
+
     def position_bits(self, far: np.ndarray, near: np.ndarray, d: np.ndarray, s: np.ndarray) -> np.ndarray:
         state = self.three[self.pair[far] * 256 + d]
+        sparse = np.flatnonzero(state < -1)
+        which = (-2 - state[sparse]).astype(np.int64)
         short = state < 0
         state[short] = self.two[near[short]]
-        return self.flat[state * 256 + s]
+        out = self.flat[state * 256 + s]
+        if len(sparse):
+            key = which << 8 | s[sparse]
+            at = np.minimum(np.searchsorted(self.seen, key), len(self.seen) - 1)
+            out[sparse] = np.where(self.seen[at] == key, self.seen_bits[at], np.minimum(self.unseen_bits[which] + out[sparse], -np.log2(_LEAST)))
+        return out
 
 
 class Tree:

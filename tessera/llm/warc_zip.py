@@ -11,8 +11,8 @@ Reading: the end record, the ZIP64 locator and the central directory give the me
 index member gives each record's offset and length; records are then range-read in chunks that
 Spark spreads over tasks.
 
-Defined results: NULL html is an empty payload; every row gives a record; rows that repeat page_id,
-url and payload of the response are responses too, with another url they are revisits of that id; NULL page_id sorts
+Defined results: NULL html is an empty payload; every row gives a record; a payload has one response, that of smallest page_id
+(then url), and rows that repeat even those are revisits of that id like all others, so record ids are unique; NULL page_id sorts
 last when choosing the response; an empty table writes nothing; extra columns are ignored.
 """
 
@@ -164,13 +164,19 @@ def write_archives(pages: DataFrame, out: str, min_revisit_bytes: int = MIN_REVI
     """One ZIP a partition; the stored manifest has a row per archive (path, n_records, n_bytes)."""
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     hashed = base.withColumn("sha", F.sha1("payload")).withColumn("n", F.length("payload"))
-    # duplicates only, so the table of firsts is the small side; a hot digest's rows are split by skew-join handling
-    firsts = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).select("page_id", "url", F.sha1("payload").alias("sha"), F.length("payload").alias("n")).where(F.col("n") >= min_revisit_bytes)
-    order = F.struct(F.col("page_id").isNull(), "page_id", F.coalesce("url", F.lit("")))
-    firsts = firsts.groupBy("sha", "n").agg(F.min(order).alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("sha").alias("f_sha"), F.col("n").alias("f_n"), F.col("first.page_id").alias("first_id"), F.col("first.col3").alias("first_url"))
+    # rows that repeat page and url are counted first, so a hot payload is summed before it is shuffled; only payloads with copies are kept
+    per = hashed.where(F.col("n") >= min_revisit_bytes).groupBy("sha", "n", "page_id", F.coalesce("url", F.lit("")).alias("url")).agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "rows")
+    firsts = per.groupBy(F.col("sha").alias("f_sha"), F.col("n").alias("f_n")).agg(F.min(order).alias("first"), F.sum("rows").alias("copies")).where("copies > 1")
+    firsts = stored(firsts.select("f_sha", "f_n", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.col("first.rows").alias("first_rows")), "warc-firsts")
     joined = hashed.join(firsts, (F.col("sha") == F.col("f_sha")) & (F.col("n") == F.col("f_n")), "left")
     is_first = F.col("page_id").eqNullSafe(F.col("first_id")) & (F.coalesce("url", F.lit("")) == F.col("first_url"))
-    marked = joined.select("page_id", "url", "payload", F.col("f_sha").isNotNull().alias("dup"), "first_id", (F.col("f_sha").isNull() | is_first).alias("response"))
+    dup, repeats = F.col("f_sha").isNotNull(), F.coalesce(is_first & (F.col("first_rows") > 1), F.lit(False))
+    marked = joined.where(~repeats).select("page_id", "url", "payload", dup.alias("dup"), "first_id", (F.col("f_sha").isNull() | is_first).alias("response"))
+    if not firsts.where("first_rows > 1").isEmpty():
+        # equal rows of the response: one of them is it
+        same = joined.where(repeats).groupBy("page_id", F.coalesce("url", F.lit("")).alias("url"), "sha", "n", "first_id").agg(F.first("payload").alias("payload"), F.count("*").alias("rows"))
+        marked = marked.unionByName(same.select("page_id", "url", "payload", F.lit(True).alias("dup"), "first_id", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("k")).withColumn("response", F.col("k") == 1).drop("k"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -179,13 +185,12 @@ def write_archives(pages: DataFrame, out: str, min_revisit_bytes: int = MIN_REVI
         fs, root = open_fs(out)
         fs.create_dir(root, recursive=True)
         name, n, done = f"{root}/part-{part:06d}.zip", 0, 0
-        sink = packer = None
-        index: list[bytes] = []
+        sink = packer = listing = None  # the index grows in a file of its own, so a task holds none of it
         for batch in batches:
             for row in batch.to_pylist():
                 if packer is None:
                     sink = fs.open_output_stream(f"{name}.{mine}")
-                    packer = Packer(sink)
+                    packer, listing = Packer(sink), fs.open_output_stream(f"{name}.{mine}.cdx")
                     packer.begin(WARC)
                 payload = row["payload"]
                 kind, digest, uri = "response" if row["response"] else "revisit", base32_sha1(payload), target_uri(row["url"])
@@ -193,15 +198,18 @@ def write_archives(pages: DataFrame, out: str, min_revisit_bytes: int = MIN_REVI
                 raw = gzipped(record(row["page_id"], row["url"], payload, kind, row["first_id"], digest, place, date))
                 stamp = "".join(filter(str.isdigit, date))[:14]
                 mime, status = ("warc/revisit", "-") if kind == "revisit" else ("text/html", "200")
-                index.append(f"{sort_key(uri)} {stamp} {uri or '-'} {mime} {status} {digest} - - {len(raw)} {packer.write(raw)} {WARC}\n".encode())
+                listing.write(f"{sort_key(uri)} {stamp} {uri or '-'} {mime} {status} {digest} - - {len(raw)} {packer.write(raw)} {WARC}\n".encode())
                 n, done = n + 1, done + len(raw)
         if packer is None:
             return
         packer.end()
         packer.begin(INDEX)
         packer.write(CDX_HEAD)
-        for k in range(0, len(index), 10_000):
-            packer.write(b"".join(index[k : k + 10_000]))
+        listing.close()
+        with fs.open_input_stream(f"{name}.{mine}.cdx") as lines:
+            while part_of := lines.read(1 << 20):
+                packer.write(part_of)
+        fs.delete_file(f"{name}.{mine}.cdx")
         packer.end()
         packer.close()
         sink.close()
