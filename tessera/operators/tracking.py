@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import Config
@@ -37,16 +37,21 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Track:
+    """A track in short: its times, how many rows it has, and the rows that lead by rank, among those that pass the gate, and in sharpness."""
+
     def __init__(self, at: int, ts: int):
-        self.at, self.first, self.last, self.rows = at, ts, ts, []
-        self.best = None
+        self.at, self.first, self.last, self.n = at, ts, ts, 0
+        self.best = self.passing = self.sharpest = None
 
     def add(self, row, ts: int) -> None:
         self.last = ts
-        self.rows.append(row)
-        key = (bool(row.is_rep), row.rep_score)
-        if self.best is None or key > (bool(self.best.is_rep), self.best.rep_score):
+        self.n += 1
+        if self.best is None or (bool(row.is_rep), row.rep_score) > (bool(self.best.is_rep), self.best.rep_score):
             self.best = row
+        if row.is_rep and (self.passing is None or row.rep_score > self.passing.rep_score):
+            self.passing = row
+        if self.sharpest is None or row.sharpness > self.sharpest.sharpness:
+            self.sharpest = row
 
 
 def step(active: list[_Track], ts: int, rows: list, cfg: Config, opened: int) -> tuple[list[_Track], list[_Track], list[_Track]]:
@@ -83,9 +88,8 @@ def track_frames(frames: Iterator[tuple[int, list]], cfg: Config) -> list[_Track
 
 def segment(stream: int, scene: int, t: _Track) -> tuple:
     """A track as a row of SEGMENTS: the first of equals is best; the peak is the best that passes, else the sharpest."""
-    passing = [r for r in t.rows if r.is_rep]
-    peak = max(passing, key=lambda r: r.rep_score) if passing else max(t.rows, key=lambda r: r.sharpness)
-    return (stream, scene, t.at + 1, t.first, t.last, len(t.rows), t.best.obs_id, t.best.rep_score, bool(t.best.is_rep), t.best.sharpness, peak.obs_id, bool(passing), peak.rep_score if passing else peak.sharpness, t.best.vec.tolist())
+    peak = t.passing if t.passing is not None else t.sharpest
+    return (stream, scene, t.at + 1, t.first, t.last, t.n, t.best.obs_id, t.best.rep_score, bool(t.best.is_rep), t.best.sharpness, peak.obs_id, t.passing is not None, peak.sharpness if t.passing is None else peak.rep_score, t.best.vec.tolist())
 
 
 NAMES = [c.split()[0] for c in SEGMENTS.split(", ")]
@@ -101,9 +105,16 @@ def _fold(cfg: Config):
     return fold
 
 
-def track(obs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Observations that pass the identity gate -> segments; track_id runs over the stream."""
+def track(obs: DataFrame, cfg: Config = Config(), score: Column | None = None, gate: Column | None = None) -> DataFrame:
+    """Observations that pass the identity gate -> segments; track_id runs over the stream.
+
+    score and gate rank a track's rows in place of rep_score and is_rep: what passes the gate comes first, then the higher score.
+    """
     good = obs.where(scoring.identity_gate(cfg))
+    if score is not None:
+        good = good.withColumn("rep_score", F.coalesce(score.cast("double"), F.lit(0.0)))
+    if gate is not None:
+        good = good.withColumn("is_rep", F.coalesce(gate, F.lit(False)))
     scenes = sessionize(good, ["stream_id"], "ts_ms", cfg.gap_ms, "obs_id").select("stream_id", "session_index", "obs_id", "ts_ms", "embedding", "is_rep", "rep_score", "sharpness")
     local = scenes.groupBy("stream_id", "session_index").applyInPandas(_fold(cfg), SEGMENTS)
     return local.withColumn("track_id", F.row_number().over(Window.partitionBy("stream_id").orderBy("scene_id", "track_id")).cast("long"))

@@ -102,6 +102,13 @@ def session_index(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", "user_id", "session_index")
 
 
+@query(f"WITH {SESSIONS} SELECT event_id, user_id, session_index::BIGINT AS session_index FROM s")
+def session_index_spread(spark, sf_dir):
+    """The same by a prefix scan in two levels: a user who holds most events is spread over tasks."""
+    e = S.table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(c("ts").cast("timestamp")).alias("us"))
+    return sessions.sessionize_spread(e, ["user_id"], "us", GAP_US, "event_id").select("event_id", "user_id", "session_index")
+
+
 @query(f"WITH {SESSIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, session_index ORDER BY value DESC, event_id) AS k FROM s) SELECT user_id, session_index::BIGINT AS session_index, event_id AS best_event, value AS best_value FROM r WHERE k = 1")
 def session_best(spark, sf_dir):
     best = F.max_by(F.struct("event_id", "value"), F.struct(c("value"), -c("event_id"))).alias("b")
@@ -264,12 +271,24 @@ def frame_lookup(spark, sf_dir):
     return best.join(frames, ["stream_id", "ts_ms"], "left").select("stream_id", "label", "obs_id", "frame_index")
 
 
-@query(f"WITH {OBS}, seg AS (SELECT stream_id, label::BIGINT AS segment_id, max(ts_ms) AS last_ms FROM obs GROUP BY ALL), f AS (SELECT DISTINCT stream_id, ts_ms FROM obs), j AS (SELECT s.*, (SELECT min(f.ts_ms) FROM f WHERE f.stream_id = s.stream_id AND f.ts_ms > s.last_ms + 1200) AS close_ms FROM seg s) SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY close_ms NULLS LAST, segment_id) AS close_rank FROM j")
-def closing_frame_order(spark, sf_dir):
+_CLOSING = f"WITH {OBS}, seg AS (SELECT stream_id, label::BIGINT AS segment_id, max(ts_ms) AS last_ms FROM obs GROUP BY ALL), f AS (SELECT DISTINCT stream_id, ts_ms FROM obs), j AS (SELECT s.*, (SELECT min(f.ts_ms) FROM f WHERE f.stream_id = s.stream_id AND f.ts_ms > s.last_ms + 1200) AS close_ms FROM seg s) SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY close_ms NULLS LAST, segment_id) AS close_rank FROM j"
+
+
+def _closing(spark, sf_dir, **how):
     o = _obs(spark, sf_dir)
     seg = o.groupBy("stream_id", c("label").cast("long").alias("segment_id")).agg(F.max("ts_ms").alias("last_ms"))
-    out = sessions.closing_frames(seg, o.select("stream_id", "ts_ms").distinct(), CFG.gap_ms)
-    return out.withColumn("close_rank", c("close_rank").cast("long"))
+    return sessions.closing_frames(seg, o.select("stream_id", "ts_ms").distinct(), CFG.gap_ms, **how).withColumn("close_rank", c("close_rank").cast("long"))
+
+
+@query(_CLOSING)
+def closing_frame_order(spark, sf_dir):
+    return _closing(spark, sf_dir)
+
+
+@query(_CLOSING)
+def closing_frames_spread(spark, sf_dir):
+    """Small buckets, and ranks in two levels: no window holds a stream's frames or segments."""
+    return _closing(spark, sf_dir, bucket=2000, spread=True)
 
 
 # ---- layout ----
@@ -396,6 +415,15 @@ def entity_clusters(spark, sf_dir):
     return pipeline.cluster_entities(_obs(spark, sf_dir), CFG)
 
 
+@query()
+def shown_identities(spark, sf_dir):
+    """Identities with observations, or all of a stream that has none such; a stream without identities is an error."""
+    o = _obs(spark, sf_dir)
+    found = pipeline.shown(pipeline.cluster_entities(o, CFG))
+    report = pipeline.required(pipeline.run_report(o, found, CFG))
+    return found.join(report.select("stream_id", "n_identities"), "stream_id").select("stream_id", "entity_id", "n_obs", "best_obs", "n_identities")
+
+
 @query()
 def run_report(spark, sf_dir):
     """The run summary with the number of identities."""

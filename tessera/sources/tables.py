@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,50 @@ def required_duration() -> Column:
     return F.when(F.col("duration_ms") > 0, F.col("duration_ms")).otherwise(F.raise_error(F.lit("invalid source: no duration")).cast("long"))
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Sink: files appear only when the job has committed."""
-    df.write.mode("overwrite").parquet(path)
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def publish(df: DataFrame, path: str) -> str:
+    """Two-phase sink: the data are written as a new version in a pending folder of ``path``; once they are complete, one rename of a pointer file makes
+    them the current version. Whatever fails before it leaves the last version as it was, and what was pending goes. Returns the version.
+    """
+    spark = df.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    jvm, _, fs = _files(spark, path)
+    place = jvm.org.apache.hadoop.fs.Path
+    before = current_version(spark, path)
+    try:
+        df.write.parquet(f"{path}/{version}")
+        out = fs.create(place(f"{path}/_pending-{version}"), True)
+        out.write(bytearray(version.encode()))
+        out.close()
+    except Exception:
+        fs.delete(place(f"{path}/{version}"), True)
+        raise
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(place(f"{path}/_pending-{version}")), fs.makeQualified(place(f"{path}/current.txt")), how)
+    for status in fs.listStatus(place(path)):  # the version before stays for those that read it now
+        name = status.getPath().getName()
+        if name.startswith("version-") and name not in (version, before):
+            fs.delete(status.getPath(), True)
+    return version
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    _, at, fs = _files(spark, f"{path}/current.txt")
+    if not fs.exists(at):
+        return None
+    return spark.read.text(f"{path}/current.txt").first()[0]
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """What was published last."""
+    version = current_version(spark, path)
+    if version is None:
+        raise ValueError(f"nothing has been published at {path}")
+    return spark.read.parquet(f"{path}/{version}")

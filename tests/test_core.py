@@ -99,7 +99,7 @@ def test_scene_split_equals_whole_fold(spark):
     pdf["vec"] = [np.asarray(v, float) for v in pdf.embedding]
     want = []
     for sid, g in pdf.groupby("stream_id"):
-        want += [(sid, t.first, t.last, len(t.rows)) for t in tracking.track_frames(((ts, list(f.itertuples())) for ts, f in g.groupby("ts_ms")), registry.CFG)]
+        want += [(sid, t.first, t.last, t.n) for t in tracking.track_frames(((ts, list(f.itertuples())) for ts, f in g.groupby("ts_ms")), registry.CFG)]
     assert got == sorted(want)
     n = pipeline.cluster_entities(obs, registry.CFG).agg(F.sum("n_obs")).first()[0]
     assert n == len(pdf)
@@ -112,8 +112,10 @@ def test_live_sessions_equal_batch(spark, tmp_path):
     q = live.run_available(live.live_sessions(stream, ["user_id"], "ts", "6 hours", "1 day"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     closed = spark.read.schema("user_id long, start_ts timestamp, end_ts timestamp, n long").parquet(str(tmp_path / "out"))
-    whole = live.flush(events, closed, ["user_id"], "ts", "6 hours")
-    assert whole.count() == registry.sessions_lag(spark, SF).count()
+    whole = live.flush(closed, str(tmp_path / "cp"), ["user_id"])
+    got = whole.select("user_id", F.unix_micros("start_ts").alias("a"), F.unix_micros("end_ts").alias("b"), "n").collect()
+    assert sorted(map(tuple, got)) == sorted((r.user_id, r.start_us, r.end_us, r.n) for r in registry.sessions_window(spark, SF).collect())
+    assert 0 < closed.count() < whole.count()
 
 
 def test_empty_and_literal_edges(spark):
@@ -299,19 +301,26 @@ def test_live_tracks_equal_batch(spark, tmp_path):
 
     o = tables.observations(spark, SF, registry.CFG).where("obs_id < 260").withColumn("ts_ms", F.col("ts_ms") + 3_600_000)  # the first watermark is 0
     o.where("obs_id < 150 and obs_id % 7 <> 3").coalesce(1).write.parquet(str(tmp_path / "in"))
-    o.where("obs_id >= 150 or obs_id % 7 = 3").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", live_tracking.PROVIDER)
-    try:
+
+    def run_on():
         stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         q = live_tracking.live_tracks(stream, registry.CFG, "10 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination(180)
+
+    try:
+        run_on()
+        tracks, waiting = live_tracking.open_state(spark, str(tmp_path / "cp"))
+        assert tracks.count() + waiting.count() > 0 and set(live_tracking.TRACK_NAMES) < set(tracks.columns)
+        o.where("obs_id >= 150 or obs_id % 7 = 3").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run_on()  # a restart from the checkpoint
         quick = live_tracking.live_tracks(spark.readStream.schema(o.schema).parquet(str(tmp_path / "in")), registry.CFG, "0 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out2")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
         quick.awaitTermination(180)
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     want = sorted((r.stream_id, r.start_ms, r.last_ms, r.n_obs, r.best_obs, r.peak_obs) for r in tracking.track(o, registry.CFG).collect())
-    for out in ("out", "out2"):
+    for out, cp in (("out", "cp"), ("out2", "cp2")):
         closed = spark.read.schema(tracking.SEGMENTS).parquet(str(tmp_path / out))
-        got = live_tracking.flush(o, closed, registry.CFG).collect()
+        got = live_tracking.flush(spark, closed, str(tmp_path / cp), registry.CFG).collect()
         assert sorted((r.stream_id, r.start_ms, r.last_ms, r.n_obs, r.best_obs, r.peak_obs) for r in got) == want
     assert 0 < closed.count()
