@@ -64,4 +64,5 @@ def centroid(df: DataFrame, keys: list[str], vector: str, dim: int, weight: Colu
     v = doubles(F.col(vector))
     rows = df.where(v.isNotNull()).select(*keys, w.alias("w"), F.when(F.size(v) == dim, v).otherwise(F.raise_error(F.lit(f"vectors must have {dim} components")).cast("array<double>")).alias("v"))
     sums = rows.groupBy(*keys).agg(F.sum("w").alias("w"), *(F.sum(F.col("w") * F.get("v", F.lit(k))).alias(f"s{k}") for k in range(dim)))
-    return sums.select(*keys, normalized(F.array(*(F.col(f"s{k}") / F.col("w") for k in range(dim)))).alias("centroid"))
+    means = sums.select(*keys, F.transform(F.array(*(f"s{k}" for k in range(dim))), lambda s: s / F.col("w")).alias("m"))
+    return means.select(*keys, normalized(F.col("m")).alias("centroid"))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tessera.functions import vectors as V
 from tessera.sources.tables import settled
 
-MAX_BROADCAST_BYTES, MAX_PIVOTS, BLOCK = 32 << 20, 1024, 1000
+MAX_BROADCAST_BYTES, FEW, MAX_PIVOTS, BLOCK = 32 << 20, 500, 1024, 1000
 _EDGE = 1e-6  # angles are compared with this much room, so rounding never hides a pair
 
 
@@ -149,17 +149,21 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> D
 def nearest_centroid(rows: DataFrame, centroids: DataFrame, vec: str, threshold: float | None = None) -> DataFrame:
     """Adds centroid_id and sim: the most similar centroid, the smaller id among equals; sims of -1 match none, NULL vectors neither.
 
-    centroids(centroid_id, centroid) has one row an id; those with NULLs are left out. They are written once and measured. Up to MAX_BROADCAST_BYTES they go to every task
+    centroids(centroid_id, centroid) has one row an id; those with NULLs are left out. A few hundred are read at once; more are written and measured. Up to MAX_BROADCAST_BYTES they go to every task
     as a matrix, and a batch of rows is one matrix product, without a shuffle. Beyond that, lists of numbered rows meet lists of centroids, and each row
     keeps its best; equal rows stay apart by their number.
     """
     spark, kind = rows.sparkSession, dict(centroids.dtypes)["centroid_id"]
-    known = settled(centroids.select(F.col("centroid_id").cast("long").alias("id"), F.col("centroid").cast("array<double>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL"))
-    size = known.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()[0] * 8
+    known = centroids.select(F.col("centroid_id").cast("long").alias("id"), F.col("centroid").cast("array<double>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
+    few = known.limit(FEW + 1).toArrow()
+    if few.num_rows > FEW:
+        known = settled(known)
+        few = None
+    size = few.nbytes if few is not None else known.agg(F.sum(F.size("vec"))).first()[0] * 8
     floor = -1.0 if threshold is None else max(-1.0, float(np.nextafter(threshold, -2)))
     schema = T.StructType([*rows.schema.fields, T.StructField("_id", T.LongType()), T.StructField("_sim", T.DoubleType())])
     if size <= MAX_BROADCAST_BYTES:
-        sorted_ = known.orderBy("id").toArrow()
+        sorted_ = (known.toArrow() if few is None else few).sort_by("id")
         shared = spark.sparkContext.broadcast((sorted_.column("id").to_numpy(), _unit_rows(sorted_.column("vec").combine_chunks())))
         at = rows.columns.index(vec)
 

@@ -92,19 +92,21 @@ def closing_frames(segments: DataFrame, frames: DataFrame, gap: int, bucket: int
     segment's bucket, else the first frame of a later bucket, which a table of buckets carries back. A stream's frames are never
     in one window; its buckets are, and its segments for the rank unless ``spread``, which ranks in two levels.
     """
-    at = F.col("last_ms") + gap
-    cell = lambda t: F.floor(t / bucket).alias("_cell")
-    cells = frames.groupBy("stream_id", cell(F.col("ts_ms"))).agg(F.min("ts_ms").alias("_first"), F.array_sort(F.collect_set(F.col("ts_ms").cast("long"))).alias("_times"))
-    wanted = segments.select("stream_id", cell(at)).distinct()
-    every = cells.join(wanted, ["stream_id", "_cell"], "full")
+    more = [f for f in segments.schema.fields if f.name not in ("stream_id", "segment_id", "last_ms")]
+    blank = [F.lit(None).cast("long").alias("segment_id"), F.lit(None).cast("long").alias("last_ms"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in more)]
+    line = frames.select("stream_id", F.col("ts_ms").cast("long").alias("_at"), F.lit(1).alias("_frame"), *blank)
+    line = line.unionByName(segments.select("stream_id", (F.col("last_ms") + gap).cast("long").alias("_at"), F.lit(0).alias("_frame"), "segment_id", "last_ms", *(f.name for f in more)))
+    line = line.withColumn("_cell", F.floor(F.col("_at") / bucket))
+    frame = F.when(F.col("_frame") == 1, F.col("_at"))
+    # frames sort before segments of the same time, so only later ones count
+    behind = Window.partitionBy("stream_id", "_cell").orderBy(F.col("_at").desc(), F.col("_frame").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = line.withColumn("_here", F.min(frame).over(behind)).where("_frame = 0")
     later = Window.partitionBy("stream_id").orderBy("_cell").rowsBetween(1, Window.unboundedFollowing)
-    every = every.withColumn("_next", F.min("_first").over(later))
-    met = segments.withColumn("_cell", F.floor(at / bucket)).join(every.drop("_first"), ["stream_id", "_cell"], "left")
-    here = F.array_min(F.filter("_times", lambda t: t > at))
-    closed = met.withColumn("close_ms", F.coalesce(here, "_next").cast("long")).drop("_cell", "_times", "_next")
+    cells = line.groupBy("stream_id", "_cell").agg(F.min(frame).alias("_first")).withColumn("_next", F.min("_first").over(later)).drop("_first")
+    closed = inside.join(cells, ["stream_id", "_cell"], "left").withColumn("close_ms", F.coalesce("_here", "_next"))
+    closed = closed.select("stream_id", "segment_id", "last_ms", "close_ms", *(f.name for f in more))
     if spread:
         closed = ranked(closed.withColumn("_never", F.col("close_ms").isNull()), ["stream_id"], ["_never", "close_ms", "segment_id"], "close_rank").drop("_never")
     else:
         closed = closed.withColumn("close_rank", F.row_number().over(Window.partitionBy("stream_id").orderBy(F.col("close_ms").asc_nulls_last(), "segment_id")))
-    more = [c for c in segments.columns if c not in ("stream_id", "segment_id", "last_ms")]
-    return closed.select("stream_id", "segment_id", "last_ms", "close_ms", "close_rank", *more)
+    return closed.select("stream_id", "segment_id", "last_ms", "close_ms", "close_rank", *(f.name for f in more))

@@ -40,15 +40,25 @@ def observations(spark: SparkSession, sf_dir: str, cfg: Config = Config()) -> Da
     return e.withColumn("rep_score", scoring.representative_score(cfg)).withColumn("is_rep", scoring.representative_gate(cfg))
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; in one process (tests) a fresh one will do."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _OWN.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; in one process (tests) a fresh one will do."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if base is None and sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    """df written once to the shared folder and read back: it is computed once, its lineage is cut, and it survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def duration(text: Column) -> Column:
