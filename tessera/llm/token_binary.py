@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Cache, open_fs, publish, scratch, slices, stored, table
 
 SEQ_LEN, BATCH_ROWS, END_ID = 1024, 256, 0
-CACHE_BYTES = 32 << 20
+CACHE_BYTES, SLICE_BYTES = 72 << 20, 4 << 20
 _MERGING_SPACE = re.compile(r"\s (?:\s|\Z)")
 # a word the pre-tokenizer surely keeps whole, and the punctuation that it surely cuts off it as one piece
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
@@ -173,7 +173,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, seq_len: int = SEQ_L
 
             batch = first
             while batch is not None:
-                for some in slices(batch, 1):
+                for some in slices(batch, 1, SLICE_BYTES):
                     lengths = []
                     for raw in encoder.encode([t or "" for t in some.column(1).to_pylist()]):
                         pending += (raw, end)
