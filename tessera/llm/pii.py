@@ -48,7 +48,8 @@ _NATIONAL = re.compile(r"(?<![0-9+.(-])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[
 _ABROAD = r"(?<![0-9+.(-])0[0-9]{2,4}[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9])"
 _NATIONAL = re.compile(f"{_NATIONAL.pattern}|{_ABROAD}")
 # a value that is assigned to a name of credentials, and keys that show themselves by their form
-_ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?)[\x20]?[:=][\x20]?[\"']?([A-Za-z0-9+/_.=-]{8,}+)")
+_NAME = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?)[\x20]?\Z")
+_VALUE = re.compile(r"[:=][\x20]?[\"']?([A-Za-z0-9+/_.=-]{8,}+)")
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})(?![A-Za-z0-9])")
 _BARE = re.compile(r"(?<![0-9A-Za-z.,+(/_-])[0-9]{7,11}(?![0-9A-Za-z_-]|[.,/][0-9])")
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
@@ -110,8 +111,13 @@ def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         out += [("phone", m.start(), m.end()) for m in pattern.finditer(text)]
     out += [("card", m.start(), m.end()) for m in _CARD.finditer(text) if 12 <= m.end() - m.start() <= 37 and 12 <= sum(map(str.isdigit, m.group())) <= 19]
     out += [("ip", m.start(), m.end()) for m in _IP.finditer(text)]
-    for pattern in (_ASSIGNED, _KEY):
-        out += [("secret", *m.span(m.lastindex or 0)) for m in pattern.finditer(text)]
+    m = _VALUE.search(text)
+    while m:  # signs of assignment are rare, so the names before them are looked at, not searched for
+        named = _NAME.search(text, max(0, m.start() - 16), m.start())
+        if named:
+            out.append(("secret", *m.span(1)))
+        m = _VALUE.search(text, m.end() if named else m.start() + 1)
+    out += [("secret", m.start(), m.end()) for m in _KEY.finditer(text)]
     out += [("secret", m.start(), m.end()) for m in _LONG.finditer(text) if any(map(str.isdigit, m.group())) and any(map(str.isalpha, m.group()))]
     out.sort(key=lambda s: (s[1], ALL_KINDS.index(s[0]), -s[2]))
     # one sweep: a loose span goes where a base span, or a loose one of its kind, covers part of it
