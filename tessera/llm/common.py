@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -79,9 +80,21 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator
             yield batch.slice(a, b - a)
 
 
+def tidy(run):
+    """A task's function that gives freed memory back to the system at its end: workers stay for the next stage, and should hold little till then."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return inner
+
+
 def map_rows(rows: DataFrame, run, schema) -> DataFrame:
     """mapInArrow by place: it can't read column names with a dot."""
-    return rows.toDF(*(f"_{k}" for k in range(len(rows.columns)))).mapInArrow(run, schema)
+    return rows.toDF(*(f"_{k}" for k in range(len(rows.columns)))).mapInArrow(tidy(run), schema)
 
 
 class Cache(dict):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
-from tessera.llm.common import discard, small_batches, stored
+from tessera.llm.common import discard, small_batches, stored, tidy
 from tessera.llm.simhash import _WORD, components, lower_ascii
 
 PART, FREQUENT, ORDERED, SLICE, CHUNK, WORDS_HELD, BATCH, ACCEPT = 16, 3, 1_000_000, 2048, 200_000, 150_000, 1000, 14
@@ -270,15 +270,15 @@ class _Check:
     def near(self, pairs: DataFrame) -> DataFrame:
         k = self.known.select("fp", "n", "sketch")
         both = pairs.distinct().join(k.toDF("a", "na", "x"), "a").join(k.toDF("b", "nb", "y"), "b")
-        return stored(both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y").mapInArrow(_near(self.least), "a long, b long"), "jaccard-near")
+        return stored(both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y").mapInArrow(tidy(_near(self.least)), "a long, b long"), "jaccard-near")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
         rows = stored(self.known.select("fp", "row").join(ends, "fp", "left_semi"), "jaccard-ends")
         wanted = self.docs.sparkSession.sparkContext.broadcast(_bits(rows))
-        tokens = self.docs.select(_row_key(), "text").mapInArrow(_tokens(self.shingle, self.word, wanted), "fp long, tokens binary")
+        tokens = self.docs.select(_row_key(), "text").mapInArrow(tidy(_tokens(self.shingle, self.word, wanted)), "fp long, tokens binary")
         tokens = stored(tokens.join(rows.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "jaccard-tokens")
-        links = stored(pairs.join(tokens.toDF("a", "x"), "a").join(tokens.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(self.least), "a long, b long"), "jaccard-links")
+        links = stored(pairs.join(tokens.toDF("a", "x"), "a").join(tokens.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(tidy(_similar(self.least)), "a long, b long"), "jaccard-links")
         discard(rows, tokens)
         return links
 
@@ -296,12 +296,12 @@ def similar(docs: DataFrame, least: float, shingle: int, word: str = _WORD.patte
 def _similar_rows(docs: DataFrame, least: float, shingle: int, word: str, radius: int, parts: int | None, accept: int) -> DataFrame:
     spark = docs.sparkSession
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0).select("text").mapInArrow(_counts(shingle, word), "token long, n long")
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0).select("text").mapInArrow(tidy(_counts(shingle, word)), "token long, n long")
     often = part.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(ORDERED).toArrow()
     token, freq = (often.column(k).to_numpy() for k in ("token", "n"))
     by = np.argsort(token)
     order = spark.sparkContext.broadcast((token[by], freq[by]))
-    sets = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), _row_key(), "text").mapInArrow(_sets(shingle, word, order, least), _SETS), "jaccard-sets")
+    sets = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), _row_key(), "text").mapInArrow(tidy(_sets(shingle, word, order, least)), _SETS), "jaccard-sets")
     once = sets.groupBy("fp").agg(*[F.min(c).alias(c) for c in ("row", "sim", "n", *_SKETCH)])
     known = stored(once.join(sets.select("row", "sketch").dropDuplicates(["row"]), "row"), "jaccard-known")
     check = _Check(docs, known, least, shingle, word)
@@ -323,7 +323,7 @@ def _similar_rows(docs: DataFrame, least: float, shingle: int, word: str, radius
     rows = rows.withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     lists = rows.groupBy("token", F.least("cut", "other").alias("low"), F.greatest("cut", "other").alias("high")).agg(F.collect_list(F.struct("fp", "n", "pos", F.coalesce("root", "fp").alias("root"), "cut", *_SKETCH)).alias("m"))
     lists = lists.where(F.size("m") > 1).select("m", (F.col("low") < F.col("high")).alias("across"))
-    pairs = check.near(lists.mapInArrow(_pairs(least), "a long, b long"))
+    pairs = check.near(lists.mapInArrow(tidy(_pairs(least)), "a long, b long"))
     # each set with its least partner first: that joins most of a crowded family, and only pairs of different groups are left
     least_of = pairs.groupBy("a").agg(F.min("b").alias("b")).union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct()
     member = stored(components(check.links(stored(least_of, "jaccard-least")).union(member.toDF("a", "b"))), "jaccard-member")
