@@ -17,7 +17,6 @@ from __future__ import annotations
 import functools
 import os
 import re
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,10 +30,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Cache, open_fs, publish, scratch, slices, stored, table
 
 SEQ_LEN, BATCH_ROWS, END_ID = 1024, 256, 0
-CACHE_BYTES, SLICE_BYTES = 72 << 20, 4 << 20
+CACHE_BYTES, SLICE_BYTES, CHUNK = 64 << 20, 8 << 20, 1 << 20
 _MERGING_SPACE = re.compile(r"\s (?:\s|\Z)")
-# a word the pre-tokenizer surely keeps whole, and the punctuation that it surely cuts off it as one piece
-_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
 
 
 def id_type(vocabulary: int) -> str:
@@ -52,9 +49,10 @@ class Encoder:
     """Whole texts to ids with a ``tokenizers`` file, as little-endian bytes of the narrowest type that holds them.
 
     In a byte-level BPE, the pre-tokenizer always cuts before a single space that follows or leads
-    a word, so the pieces of ``text.split(" ")`` encode alone and repeated pieces come from a
-    bounded cache; a new plain word goes straight to the library's BPE model. Texts in which a run of white space could cross such a cut, or which hold the
-    string of an added token, go to the library whole.
+    a word, so the pieces of a text split at spaces encode alone. Arrow splits texts and numbers the distinct pieces of a
+    chunk; their ids come from a bounded cache, and ids of texts are gathered by number. New pieces go to the library joined by
+    spaces: only a piece's first token begins with a space, which tells them apart again. Texts in which a run of white space
+    could cross such a cut, or which hold the string of an added token, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -64,55 +62,66 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = Cache(CACHE_BYTES)
-        self.marks: dict[str, bytes] = {}  # punctuation at the end of a word; apart from the pieces, which follow a space
         self.dtype = id_type(self.tokenizer.get_vocab_size())
-        self.letters, self.model = _byte_letters(), self.tokenizer.model
-
-    def _model(self, piece: str) -> bytes:
-        spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(spelled)]
-        return struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Cache the ids of pieces that follow a space."""
-        cache, odd, plain_ids = self.cache, [], {}
-        for piece in pieces:
-            plain = _PLAIN.fullmatch(piece)
-            if not plain:
-                odd.append(piece)
-                continue
-            word, marks = plain.groups()
-            ids = cache.get(word) or plain_ids.get(word)
-            if ids is None:
-                ids = plain_ids[word] = self._model(" " + word)
-            if marks:
-                if marks not in self.marks:
-                    self.marks[marks] = self._model(marks)
-                plain_ids[piece] = ids + self.marks[marks]
-        cache.add(plain_ids, plain_ids.values())
-        for k in range(0, len(odd), 5_000):
-            part = odd[k : k + 5_000]
-            cache.add(part, self._library([" " + p for p in part]))
+        space = _byte_letters()[32]
+        self.leads = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids of tokens that begin with a space
+        self.leads[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(space)]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in done]
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without spaces at their ends, each with the space before it."""
+        ids = np.frombuffer(self._library([" " + " ".join(pieces)])[0], self.dtype)
+        starts = np.flatnonzero(self.leads[ids])
+        if len(starts) != len(pieces):
+            return self._library([" " + p for p in pieces])
+        raw, edges = ids.tobytes(), [*(starts * ids.itemsize).tolist(), ids.nbytes]
+        return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Cache the ids of pieces that follow a space."""
+        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
+        odd = [p for p in pieces if not p or p[0].isspace() or p[-1].isspace()]
+        for some, ids_of in ((plain, self._joined), (odd, lambda part: self._library([" " + p for p in part]))):
+            for k in range(0, len(some), 20_000):
+                part = some[k : k + 20_000]
+                self.cache.add(part, ids_of(part))
+
+    def _gathered(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in order, number of ids of each)."""
+        coded = pieces.dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn(self.cache.missing(distinct))
+        values = [self.cache[p] for p in distinct]
+        flat = np.frombuffer(b"".join(values), self.dtype)
+        n = np.fromiter(map(len, values), np.int64, len(values)) // flat.itemsize
+        lengths = n[at]
+        shift = (np.cumsum(n) - n)[at] - (np.cumsum(lengths) - lengths)
+        return flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))], lengths
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if _MERGING_SPACE.search(t) or any(a in t for a in self.added)]
         slow = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True)) if whole else {}
-        cache = self.cache
-        if len(self.marks) > 10_000:
-            self.marks.clear()
-        out, heads, pieces = [], [], []
-        for i, t in enumerate(texts):
-            head, *rest = ("",) if i in slow else t.split(" ")
-            heads.append(head)
-            pieces.append(rest)
-        self._learn(cache.missing(set().union(*pieces)))
-        firsts = self._library(heads)
-        for i, rest in enumerate(pieces):
-            out.append(slow[i] if i in slow else firsts[i] + b"".join(map(cache.__getitem__, rest)))
+        cut = [("", "", "") if i in slow else t.partition(" ") for i, t in enumerate(texts)]
+        out = self._library([head for head, _, _ in cut])
+        with_rest = [i for i, (_, space, _) in enumerate(cut) if space]
+        split = pc.split_pattern(pa.array([cut[i][2] for i in with_rest], pa.large_string()), " ")
+        del cut
+        pieces, ends = split.flatten(), np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        parts: list[list[bytes]] = [[] for _ in with_rest]
+        for k in range(0, len(pieces), CHUNK):
+            ids, lengths = self._gathered(pieces.slice(k, CHUNK))
+            before = np.concatenate([[0], np.cumsum(lengths)])
+            first, last = np.searchsorted(ends, [k, k + len(lengths) - 1], side="right")
+            for j in range(first, last + 1):  # the texts that reach into this chunk
+                a, b = max(0, (ends[j - 1] if j else 0) - k), min(len(lengths), ends[j] - k)
+                parts[j].append(ids[before[a] : before[b]].tobytes())
+        for j, i in enumerate(with_rest):
+            out[i] = b"".join((out[i], *parts[j]))
+        for i, ids in slow.items():
+            out[i] = ids
         return out
 
 

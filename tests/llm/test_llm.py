@@ -75,6 +75,18 @@ def test_encoder_equals_library():
     bits = [" ", "  ", "\n", "\t", "\x00", "\x00!", "\x1f", "hi!", "!", "a", "Bc", "'s", "'", "12", "é", ".", "!!", "　", "<|endoftext|>", "\U0001f600"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(3000)]
     assert enc.encode(texts) == enc._library(texts)
+    assert enc.encode([]) == []
+
+
+def test_encoder_of_chunks_and_a_full_cache(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_binary, "CHUNK", 7)  # texts that end inside a chunk, at its end, and reach over several
+    monkeypatch.setattr(token_binary, "CACHE_BYTES", 2000)
+    enc = token_binary.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(2)
+    texts = [prose(rng, rng.randrange(40)) + rng.choice(["", " ", "\n", " \n x", "\u0085 y", " don't"]) for _ in range(300)]
+    assert enc.encode(texts) == enc._library(texts)
 
 
 def test_warc(spark):
