@@ -314,8 +314,8 @@ def _similar_rows(docs: DataFrame, least: float, shingle: int, word: str, radius
     member = stored(components(check.links(check.near(apart.union(same)))), "jaccard-member")
 
     # 2. prefixes, for the pairs that these groups don't hold
-    postings = sets.select("fp", "prefix", "n").mapInArrow(_postings, _POSTINGS)
-    live = stored(postings.repartition(wide, "token").sortWithinPartitions("token", "fp").mapInArrow(_shared, _POSTINGS), "jaccard-postings")
+    postings = sets.select("fp", "prefix", "n").mapInArrow(tidy(_postings), _POSTINGS)
+    live = stored(postings.repartition(wide, "token").sortWithinPartitions("token", "fp").mapInArrow(tidy(_shared), _POSTINGS), "jaccard-postings")
     # a crowded token is dealt in blocks, and each pair of its blocks is a list of its own
     crowded = live.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > SLICE).select(F.col("token").alias("hot"), F.ceil(F.col("c") / SLICE).cast("int").alias("cuts"))
     rows = live.join(member, live.fp == member.node, "left").join(known.select(F.col("fp").alias("of"), *_SKETCH), F.col("fp") == F.col("of"))

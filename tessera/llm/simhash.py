@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import stored, table, tidy
 
 RADIUS, PARTS, WIDER, BLOCK, SHINGLE, SEED = 3, 4, 30_000_000, 512, 3, 42
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, word: str = _WORD.patt
             values = np.array([fingerprint(t or "", shingle, pattern) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def bit_groups(fps: DataFrame, parts: int = PARTS) -> list[list[int]]:
@@ -82,7 +82,7 @@ def bit_groups(fps: DataFrame, parts: int = PARTS) -> list[list[int]]:
         if n:
             yield pa.RecordBatch.from_pydict({"at": pa.array(range(4097), pa.int32()), "n": pa.array([*both.ravel(), float(n)], pa.float64())})
 
-    got = dict(fps.select("fp").mapInArrow(count, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect())
+    got = dict(fps.select("fp").mapInArrow(tidy(count), "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect())
     if not got:
         return [list(range(64 * i // parts, 64 * (i + 1) // parts)) for i in range(parts)]
     joint = np.array([got[i] for i in range(4096)]).reshape(64, 64) / got[4096]
@@ -270,7 +270,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int | None = None, b
     spread = distinct.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
 
     def blocks(name: str, probing: bool) -> DataFrame:
-        rows = spread.mapInArrow(_rows(groups, bc, radius, block, probing), "fp long, part int, own int, value int, cut int, lists int")
+        rows = spread.mapInArrow(tidy(_rows(groups, bc, radius, block, probing)), "fp long, part int, own int, value int, cut int, lists int")
         return rows.groupBy("part", "value", "own", "cut").agg(F.collect_list("fp").alias(name), F.first("lists").alias("lists"))
 
     # each list of probes meets each list of the value under a key of its own, so a crowded value is many keys
@@ -279,7 +279,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int | None = None, b
     # a row gives many probes, which size estimates do not see, so broadcasting is ruled out
     met = left.hint("merge").join(right.hint("merge"), ["part", "value", "cut"])
     met = met.where((F.size("left") > 1) | (F.size("right") > 1) | (F.col("left")[0] != F.col("right")[0]))
-    found = met.select("left", "right").mapInArrow(_links(radius if accept is None else accept), "a long, b long, apart int")
+    found = met.select("left", "right").mapInArrow(tidy(_links(radius if accept is None else accept)), "a long, b long, apart int")
     # a crowded part value meets in many block pairs, and each of them may give the same link either way round
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").distinct()
 
