@@ -27,10 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Cache, open_fs, publish, scratch, slices, stored, table
+from tessera.llm.common import Cache, open_fs, publish, scratch, slices, small_batches, stored, table, tidy
 
 SEQ_LEN, BATCH_ROWS, END_ID = 1024, 256, 0
-CACHE_BYTES, SLICE_BYTES, CHUNK = 64 << 20, 8 << 20, 1 << 20
+CACHE_BYTES, SLICE_BYTES, CHUNK, BATCH_LIMIT = 64 << 20, 4 << 20, 1 << 20, 1000
 _MERGING_SPACE = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -180,7 +180,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, seq_len: int = SEQ_L
                     rest = rest[:0]
                 pending, held = [rest.tobytes()], len(rest)
 
-            batch = first
+            batch, first = first, None
             while batch is not None:
                 for some in slices(batch, 1, SLICE_BYTES):
                     lengths = []
@@ -203,7 +203,8 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, seq_len: int = SEQ_L
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    return stored(ranged.mapInArrow(write, _MANIFEST), "token-manifest")
+    with small_batches(spark, BATCH_LIMIT):
+        return stored(ranged.mapInArrow(tidy(write), _MANIFEST), "token-manifest")
 
 
 class Shard:
