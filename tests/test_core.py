@@ -278,6 +278,43 @@ def test_theta_join_equals_all_pairs(spark, threshold):
     assert matching.similar_pairs(df.limit(0), threshold).count() == 0
 
 
+def _shuffled(spark) -> int:
+    """Rows that all stages so far have written to shuffles."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_theta_join_copies_a_row_once_a_list(spark):
+    """Vectors without clusters reach every cell: 3,000 rows go to three lists each, not to 55 cells."""
+    m = np.random.default_rng(9).normal(size=(3000, 64)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(3000), "vec": m.tolist()}), "id long, vec array<float>")
+    before = _shuffled(spark)
+    got = {(r.id_a, r.id_b): r.sim for r in matching.similar_pairs(df, 0.35).collect()}
+    assert 3000 * 3 <= _shuffled(spark) - before <= 3000 * 4
+    unit = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    sims = np.triu(unit @ unit.T, 1)
+    assert set(got) == {(int(a), int(b)) for a, b in zip(*np.nonzero(sims >= 0.35), strict=True)}
+    assert max(abs(s - sims[p]) for p, s in got.items()) < 1e-12
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.2, -0.2])
+def test_theta_join_with_a_cell_of_many_lists(spark, threshold):
+    """150 copies in lists of 20, ids below 0 and used twice, each pair of rows once: a table with itself and two tables, also in order."""
+    rng = np.random.default_rng(2)
+    m = np.concatenate([np.tile(rng.normal(size=8), (150, 1)), rng.normal(size=(60, 8)), np.zeros((2, 8))])
+    ids = np.concatenate([np.arange(-100, 110), [108, 109]])
+    df = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(ids, m, strict=True)], "id long, vec array<double>")
+    sims = np.array([[slow_cos(a, b) for b in m] for a in m])
+    assert not (abs(sims - threshold) < 1e-9).any()
+    want = sorted((int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(sims >= threshold), strict=True))
+    assert sorted((r.id_a, r.id_b) for r in matching.similar_pairs(df, threshold, block=20).collect()) == [p for p in want if p[0] < p[1]]
+    other = df.select("*")
+    assert sorted((r.id_a, r.id_b) for r in matching.theta_join(df, other, threshold, block=20).collect()) == want
+    assert sorted((r.id_a, r.id_b) for r in matching.theta_join(df, other, threshold, True, block=20).collect()) == [p for p in want if p[0] < p[1]]
+
+
 def test_similarity_join_without_keys(spark):
     a = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [0.0, 1.0]), ("p", [1.0, 0.0])], "x string, u array<double>")
     b = spark.createDataFrame([("r", [2.0, 0.1]), ("s", [-1.0, 0.0])], "y string, w array<double>")
